@@ -205,3 +205,370 @@ def q_query_bad(spark, sf):
     f"FROM lab WHERE source_system = 'GAZETTE' AND list_has_any(labels, ['Justice'])"))
 def q_feed_view(spark, sf):
     return srch.feed_view(labelled(spark, sf), "GAZETTE", "Justice").select("seq", "id", "pos")
+
+
+# ------------------------------------------------------------------ shared
+import datetime as _dt  # noqa: E402
+
+from actlens.functions.dates import normalise_date  # noqa: E402
+from actlens.operators import display as disp  # noqa: E402
+from actlens.operators import snapshot as snap  # noqa: E402
+from actlens.operators import stats as st  # noqa: E402
+from actlens.operators import validate as val  # noqa: E402
+from actlens.operators import versions as ver  # noqa: E402
+
+RUN_TS = _dt.datetime(2025, 12, 16, 9, 30, 0)
+RUN_DATE = RUN_TS.strftime("%Y-%m-%d")
+
+_WS = o.WS
+_VALIDATOR_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%Y/%m/%d", "%d %B %Y", "%d %b %Y", "%B %d, %Y"]
+
+
+def _duck_parse(expr: str, formats: list[str]) -> str:
+    s = o.ustrip(expr)
+    return "coalesce(" + ", ".join(f"try_strptime({s}, {o.q(f)})" for f in formats) + ")"
+
+
+def _duck_collapse(expr: str) -> str:
+    return f"regexp_replace({o.ustrip(expr)}, '{_WS}+', ' ', 'g')"
+
+
+_PREDEF = "[" + ", ".join(o.q(x) for x in lab.rules.LABELS) + "]"
+
+_VALIDATE_CTE = f""", v0 AS (
+  SELECT a.*,
+    CASE WHEN labels_in IS NULL THEN []::VARCHAR[] ELSE list_filter(string_split(labels_in, '|'), lambda s: s <> '') END AS labels0,
+    strftime({_duck_parse('date', _VALIDATOR_FORMATS)}, '%Y-%m-%d') AS parsed_date,
+    lower(regexp_replace(id, '[^a-zA-Z0-9-]', '', 'g')) AS cleaned_id,
+    {o.ustrip('url')} AS u
+  FROM a
+), v1 AS (
+  SELECT v0.*,
+    CASE WHEN url IS NULL OR url = '' THEN url
+         WHEN starts_with(u, 'http://') OR starts_with(u, 'https://') THEN u
+         WHEN starts_with(u, 'www.') THEN 'https://' || u
+         WHEN contains(u, '.') AND NOT starts_with(u, '/') THEN 'https://' || u ELSE u END AS new_url,
+    CASE WHEN id IS NULL OR id = '' THEN NULL
+         WHEN regexp_matches(id, '^[a-z]{{3,8}}-\\d{{4}}-\\d{{3,6}}$') THEN id
+         WHEN regexp_matches(cleaned_id, '^[a-z]{{3,8}}-\\d{{4}}-\\d{{3,6}}$') THEN cleaned_id ELSE id END AS new_id,
+    CASE WHEN date IS NULL OR date = '' THEN '{RUN_DATE}' WHEN parsed_date IS NOT NULL THEN parsed_date
+         WHEN regexp_matches({o.ustrip('date')}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN {o.ustrip('date')}
+         ELSE '{RUN_DATE}' END AS new_date,
+    regexp_replace({_duck_collapse('title')}, '(?i)^(?:New Zealand |NZ |Government |Official )+', '') AS new_title,
+    CASE WHEN length({_duck_collapse('summary')}) > 1000 THEN substring({_duck_collapse('summary')}, 1, 997) || '...'
+         ELSE {_duck_collapse('summary')} END AS new_summary,
+    list_sort(list_distinct(list_filter(labels0, lambda x: list_contains({_PREDEF}, x)))) AS new_labels
+  FROM v0
+), v AS (
+  SELECT v1.*,
+    CASE WHEN primary_entity IS NOT NULL AND primary_entity <> '' THEN primary_entity
+         WHEN portfolio = 'Finance' THEN 'Hon Nicola Willis' WHEN portfolio = 'Health' THEN 'Hon Dr Shane Reti'
+         WHEN source_system = 'GAZETTE' AND contains(lower(new_title), 'appointment') THEN 'Governor-General'
+         WHEN source_system IN ('PARLIAMENT', 'LEGISLATION') THEN 'Parliament' ELSE 'Government' END AS new_entity,
+    list_concat(
+      list_filter([
+        CASE WHEN NOT regexp_matches(id, '^[a-z]{{3,8}}-\\d{{4}}-\\d{{3,6}}$')
+              AND NOT regexp_matches(cleaned_id, '^[a-z]{{3,8}}-\\d{{4}}-\\d{{3,6}}$')
+             THEN 'Item ' || seq || ': Invalid ID format ''' || id || '''' END,
+        CASE WHEN parsed_date IS NULL AND NOT regexp_matches({o.ustrip('date')}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')
+             THEN 'Item ' || seq || ': Invalid date format ''' || date || '''' END
+      ], lambda x: x IS NOT NULL),
+      list_transform(list_filter(labels0, lambda x: NOT list_contains({_PREDEF}, x)),
+                     lambda x: 'Item ' || seq || ': Unknown label ''' || x || '''')) AS errors
+  FROM v1
+)"""
+
+
+def validated(spark, sf):
+    return val.validate(adapter.actions(spark, sf), RUN_TS)
+
+
+@register("validate", o.with_actions(_VALIDATE_CTE + """
+SELECT seq, new_id AS id, new_date AS date, new_url AS url, new_title AS title, new_entity AS primary_entity,
+       new_summary AS summary, array_to_string(new_labels, '|') AS labels,
+       array_to_string(errors, '|') AS errors,
+       (new_id <> id OR new_date <> date OR new_url <> url OR new_title <> title OR primary_entity IS NULL
+        OR primary_entity = '' OR new_summary <> summary OR (len(labels0) > 0 AND new_labels <> labels0)) AS fixed
+FROM v"""))
+def q_validate(spark, sf):
+    return validated(spark, sf).select(
+        "seq", "id", "date", "url", "title", "primary_entity", "summary", _labels_str(),
+        F.array_join("_errors", "|").alias("errors"), F.col("_fixed").alias("fixed"))
+
+
+@register("validate_strict", o.with_actions(_VALIDATE_CTE + " SELECT seq, new_id AS id FROM v WHERE len(errors) = 0"))
+def q_validate_strict(spark, sf):
+    return val.validate(adapter.actions(spark, sf), RUN_TS, strict=True).select("seq", "id")
+
+
+@register("validation_summary", o.with_actions(_VALIDATE_CTE + """
+SELECT CAST(sum(len(errors)) AS BIGINT) AS row_errors,
+       CAST(sum(CASE WHEN new_id <> id OR new_date <> date OR new_url <> url OR new_title <> title
+                OR primary_entity IS NULL OR primary_entity = '' OR new_summary <> summary
+                OR (len(labels0) > 0 AND new_labels <> labels0) THEN 1 ELSE 0 END) AS BIGINT) AS items_fixed,
+       CAST(0 AS BIGINT) AS total_errors, CAST(count(*) AS BIGINT) AS rows FROM v"""))
+def q_validation_summary(spark, sf):
+    return val.validation_summary(validated(spark, sf))
+
+
+@register("normalise_date", o.with_actions(
+    f"SELECT seq, date AS raw, strftime({_duck_parse('date', _VALIDATOR_FORMATS)}, '%Y-%m-%d') AS iso FROM a"))
+def q_normalise_date(spark, sf):
+    return adapter.actions(spark, sf).select("seq", F.col("date").alias("raw"),
+                                             normalise_date(F.col("date"), "validator").alias("iso"))
+
+
+_SCHEMA_OK = (
+    "regexp_matches(new_id, '^[a-z]{3,8}-\\d{4}-\\d{3,6}(?:-v\\d+)?$') "
+    "AND regexp_matches(new_date, '^\\d{4}-(?:1[0-2]|0[1-9]|[1-9])-(?:3[01]|[12]\\d|0[1-9]|[1-9])$') "
+    "AND try_strptime(new_date, '%Y-%m-%d') IS NOT NULL"
+)
+
+
+@register("schema_check", o.with_actions(_VALIDATE_CTE + f" SELECT seq, new_id AS id FROM v WHERE {_SCHEMA_OK}"))
+def q_schema_check(spark, sf):
+    return val.schema_check(validated(spark, sf)).select("seq", "id")
+
+
+# ------------------------------------------------------------------ versions
+_BASE = ("CASE WHEN base_id IS NOT NULL AND base_id <> '' THEN base_id "
+         "WHEN contains(id, '-v') THEN regexp_replace(id, '^(.*)-v.*$', '\\1') ELSE id END")
+_VNUM = ("coalesce(TRY_CAST(CASE WHEN regexp_matches(regexp_replace(coalesce(nullif(version, ''), '1'), '^v', ''), "
+         "'^\\s*[+-]?\\d+\\s*$') THEN trim(regexp_replace(coalesce(nullif(version, ''), '1'), '^v', '')) END AS INTEGER), 1)")
+
+
+@register("fill_base_id", o.with_actions(f"SELECT seq, {_BASE} AS base_id FROM a"))
+def q_fill_base_id(spark, sf):
+    return ver.fill_base_id(adapter.actions(spark, sf)).select("seq", "base_id")
+
+
+@register("version_number", o.with_actions(f"SELECT seq, version, {_VNUM} AS version_num FROM a"))
+def q_version_number(spark, sf):
+    return adapter.actions(spark, sf).select("seq", "version", ver.version_number(F.col("version")).alias("version_num"))
+
+
+@register("group_versions", o.with_actions(f"""
+, g AS (SELECT seq, {_BASE} AS base_id, {_VNUM} AS version_num FROM a),
+f AS (SELECT base_id, min(seq) AS group_seq FROM g GROUP BY base_id)
+SELECT g.seq, g.base_id, g.version_num,
+       CAST(row_number() OVER (ORDER BY f.group_seq, g.version_num DESC, g.seq) AS BIGINT) AS pos
+FROM g JOIN f USING (base_id)"""))
+def q_group_versions(spark, sf):
+    return ver.group_versions(adapter.actions(spark, sf)).select("seq", "base_id", "version_num", "pos")
+
+
+@register("version_stats", o.with_actions(f"""
+, s AS (SELECT {_BASE} AS base_id, count(*) AS n FROM a GROUP BY 1)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_processed,
+       CAST(coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0) AS BIGINT) AS duplicates_found,
+       CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS versions_preserved,
+       CAST(count(CASE WHEN n > 1 THEN 1 END) AS BIGINT) AS base_actions FROM s"""))
+def q_version_stats(spark, sf):
+    return ver.version_stats(adapter.actions(spark, sf))
+
+
+@register("latest_version", o.with_actions(f"""
+, g AS (SELECT seq, {_BASE} AS base_id, {_VNUM} AS version_num FROM a)
+SELECT base_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY version_num DESC, seq) AS rn FROM g)
+WHERE rn = 1"""))
+def q_latest_version(spark, sf):
+    return ver.latest_version(adapter.actions(spark, sf)).select("base_id", "seq")
+
+
+@register("drop_same_url", o.with_actions(
+    "SELECT url, min(seq) AS seq FROM a GROUP BY url"))
+def q_drop_same_url(spark, sf):
+    return ver.drop_same_url(adapter.actions(spark, sf)).select("url", "seq")
+
+
+# bills x stages: every PARLIAMENT action's stage entries
+_BILL_STAGES = """, bs AS (
+  SELECT seq, bill_number, stage1 AS stage FROM a WHERE source_system = 'PARLIAMENT' AND stage1 IS NOT NULL
+  UNION ALL
+  SELECT seq, bill_number, stage2 AS stage FROM a WHERE source_system = 'PARLIAMENT' AND stage2 IS NOT NULL)"""
+
+
+def _bill_stages(spark, sf):
+    acts = adapter.actions(spark, sf).filter(F.col("source_system") == "PARLIAMENT")
+    return acts.select("seq", F.col("metadata.bill_number").alias("bill_number"),
+                       F.explode("metadata.stage_history").alias("s")).select("seq", "bill_number", "s.stage")
+
+
+@register("latest_bill_per_stage", o.with_actions(_BILL_STAGES + """
+SELECT split_part(bill_number, '-', 1) AS bill_base, stage, bill_number, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY split_part(bill_number, '-', 1), stage ORDER BY bill_number DESC, seq) AS rn
+  FROM bs) WHERE rn = 1"""))
+def q_latest_bill_per_stage(spark, sf):
+    return ver.latest_bill_per_stage(_bill_stages(spark, sf)).select("bill_base", "stage", "bill_number", "seq")
+
+
+_STAGE_CODES = ["1", "2", "SC", "COWH", "3", "RA", "X"]
+
+
+@register("stage_name", """
+SELECT conv_id, turn, code, CASE code WHEN '1' THEN 'First Reading' WHEN '2' THEN 'Second Reading'
+  WHEN 'SC' THEN 'Select Committee' WHEN 'COWH' THEN 'Committee of Whole House' WHEN '3' THEN 'Third Reading'
+  WHEN 'RA' THEN 'Royal Assent' ELSE code END AS stage
+FROM (SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'SC' WHEN 3 THEN 'COWH'
+  WHEN 4 THEN '3' WHEN 5 THEN 'RA' ELSE 'X' END AS code FROM conversations)""")
+def q_stage_name(spark, sf):
+    from actlens.session import table
+    conv = table(spark, sf, "conversations")
+    code = F.element_at(F.array(*[F.lit(c) for c in _STAGE_CODES]), (F.col("turn") % 7 + 1).cast("int"))
+    return conv.select("conv_id", "turn", code.alias("code")).withColumn("stage", ver.stage_name(F.col("code")))
+
+
+# ------------------------------------------------------------ stats / export
+@register("source_counts", o.with_actions("SELECT source_system, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY 1"))
+def q_source_counts(spark, sf):
+    return st.source_counts(adapter.actions(spark, sf))
+
+
+@register("available_sources", o.with_actions(
+    "SELECT s.source_system, CAST(count(a.seq) AS BIGINT) AS n FROM "
+    "(SELECT unnest(['PARLIAMENT', 'LEGISLATION', 'GAZETTE', 'BEEHIVE']) AS source_system) s "
+    "LEFT JOIN a ON a.source_system = s.source_system GROUP BY 1"))
+def q_available_sources(spark, sf):
+    return st.available_sources(adapter.actions(spark, sf))
+
+
+@register("source_view", o.with_actions(
+    "SELECT seq FROM a WHERE source_system = 'BEEHIVE' OR NOT EXISTS (SELECT 1 FROM a WHERE source_system = 'BEEHIVE')"))
+def q_source_view(spark, sf):
+    return srch.source_view(adapter.actions(spark, sf), "BEEHIVE").select("seq")
+
+
+@register("source_view_fallback", o.with_actions(
+    "SELECT seq FROM a WHERE source_system = 'UNKNOWN' OR NOT EXISTS (SELECT 1 FROM a WHERE source_system = 'UNKNOWN')"))
+def q_source_view_fallback(spark, sf):
+    return srch.source_view(adapter.actions(spark, sf), "UNKNOWN").select("seq")
+
+
+@register("date_range", o.with_actions(_VALIDATE_CTE + """
+SELECT coalesce(min(nullif(new_date, '')), '') AS earliest, coalesce(max(nullif(new_date, '')), '') AS latest FROM v"""))
+def q_date_range(spark, sf):
+    return st.date_range(validated(spark, sf))
+
+
+@register("export_table", o.with_actions(_VALIDATE_CTE + """
+SELECT seq, new_id AS id, new_date AS date, array_to_string(new_labels, '|') AS labels,
+       CAST(row_number() OVER (ORDER BY new_date DESC, new_title DESC, seq) AS BIGINT) AS pos FROM v"""))
+def q_export_table(spark, sf):
+    return st.export_table(validated(spark, sf)).select("seq", "id", "date", _labels_str(), "pos")
+
+
+@register("export_audit", o.with_actions("""
+, i AS (SELECT id, count(*) AS n FROM a GROUP BY id), u AS (SELECT url, count(*) AS n FROM a GROUP BY url),
+m AS (SELECT count(*) AS total_actions,
+             count(CASE WHEN id IS NULL OR id = '' THEN 1 END) AS missing_id,
+             count(CASE WHEN title IS NULL OR title = '' THEN 1 END) AS missing_title,
+             count(CASE WHEN url IS NULL OR url = '' THEN 1 END) AS missing_url FROM a),
+ii AS (SELECT count(*) AS unique_ids, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_ids FROM i),
+uu AS (SELECT count(*) AS unique_urls, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_urls FROM u)
+SELECT CAST(total_actions AS BIGINT) AS total_actions, CAST(unique_ids AS BIGINT) AS unique_ids,
+       CAST(unique_urls AS BIGINT) AS unique_urls, CAST(missing_id AS BIGINT) AS missing_id,
+       CAST(missing_title AS BIGINT) AS missing_title, CAST(missing_url AS BIGINT) AS missing_url,
+       duplicate_ids, duplicate_urls,
+       CAST(missing_id + missing_title + missing_url + duplicate_ids AS BIGINT) AS n_errors,
+       duplicate_urls AS n_warnings, (missing_id + missing_title + missing_url + duplicate_ids) = 0 AS valid
+FROM m, ii, uu"""))
+def q_export_audit(spark, sf):
+    return st.export_audit(adapter.actions(spark, sf))
+
+
+@register("audit_flags", o.with_actions("""
+SELECT seq, seq > min(seq) OVER (PARTITION BY id) AS dup_id, seq > min(seq) OVER (PARTITION BY url) AS dup_url FROM a"""))
+def q_audit_flags(spark, sf):
+    return st.audit_flags(adapter.actions(spark, sf)).select("seq", "dup_id", "dup_url")
+
+
+@register("export_summary", o.with_labelled(f"""
+SELECT '{RUN_TS.isoformat()}' AS last_updated, CAST(count(*) AS BIGINT) AS total_count,
+  CAST(count(CASE WHEN source_system = 'PARLIAMENT' THEN 1 END) AS BIGINT) AS n_parliament,
+  CAST(count(CASE WHEN source_system = 'LEGISLATION' THEN 1 END) AS BIGINT) AS n_legislation,
+  CAST(count(CASE WHEN source_system = 'GAZETTE' THEN 1 END) AS BIGINT) AS n_gazette,
+  CAST(count(CASE WHEN source_system = 'BEEHIVE' THEN 1 END) AS BIGINT) AS n_beehive,
+  CAST(sum(len(labels)) AS BIGINT) AS n_labels,
+  coalesce(min(nullif(date, '')), '') AS earliest, coalesce(max(nullif(date, '')), '') AS latest,
+  'actlens' AS generated_by, '1.0' AS version FROM lab"""))
+def q_export_summary(spark, sf):
+    s = st.export_summary(labelled(spark, sf), RUN_TS)
+    sc = lambda k: F.coalesce(F.col("source_counts")[k], F.lit(0)).cast("long")
+    return s.select(
+        "last_updated", "total_count",
+        sc("PARLIAMENT").alias("n_parliament"), sc("LEGISLATION").alias("n_legislation"),
+        sc("GAZETTE").alias("n_gazette"), sc("BEEHIVE").alias("n_beehive"),
+        F.aggregate(F.map_values("label_counts"), F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_labels"),
+        "earliest", "latest", "generated_by", "version")
+
+
+# ---------------------------------------------------------------- snapshots
+# old snapshot: doc_id % 10 <> 0; new: doc_id % 10 <> 1, titles changed where doc_id % 10 = 2
+def _snapshots(spark, sf):
+    acts = adapter.actions(spark, sf)
+    old = acts.filter(F.col("seq") % 10 != 0)
+    new = acts.filter(F.col("seq") % 10 != 1).withColumn(
+        "title", F.when(F.col("seq") % 10 == 2, F.concat(F.col("title"), F.lit(" (amended)"))).otherwise(F.col("title")))
+    return old, new
+
+
+@register("snapshot_diff", o.with_actions("""
+SELECT id, CASE WHEN seq % 10 = 0 THEN 'added' WHEN seq % 10 = 1 THEN 'removed' ELSE 'changed' END AS status,
+       CAST(CASE WHEN seq % 10 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_old,
+       CAST(CASE WHEN seq % 10 = 1 THEN 0 ELSE 1 END AS BIGINT) AS n_new
+FROM a WHERE seq % 10 IN (0, 1, 2)"""))
+def q_snapshot_diff(spark, sf):
+    old, new = _snapshots(spark, sf)
+    return snap.snapshot_diff(old, new)
+
+
+@register("last_change", o.with_actions("""
+SELECT id, max(run_ts) AS last_changed FROM (
+  SELECT id, TIMESTAMP '2025-12-15 00:00:00' AS run_ts FROM a WHERE seq % 10 IN (0, 1, 2)
+  UNION ALL
+  SELECT id, TIMESTAMP '2025-12-16 00:00:00' AS run_ts FROM a WHERE seq % 10 = 3) GROUP BY id"""))
+def q_last_change(spark, sf):
+    old, new = _snapshots(spark, sf)
+    newer = new.withColumn("title", F.when(F.col("seq") % 10 == 3, F.concat(F.col("title"), F.lit(" (2)")))
+                           .otherwise(F.col("title")))
+    d1 = snap.snapshot_diff(old, new).withColumn("run_ts", F.lit(_dt.datetime(2025, 12, 15)))
+    d2 = snap.snapshot_diff(new, newer).withColumn("run_ts", F.lit(_dt.datetime(2025, 12, 16)))
+    return snap.last_change(d1.unionByName(d2))
+
+
+# ------------------------------------------------------------------ display
+def _first_sentence_sql(expr: str, n: int = 200) -> str:
+    clean = f"regexp_replace(regexp_replace(regexp_replace({expr}, '<[^>]+>', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g')"
+    first = o.ustrip(f"regexp_extract({clean}, '^([^.!?]*)', 1)")
+    cut = f"CASE WHEN length({first}) > {n} THEN substring({first}, 1, {n - 3}) || '...' ELSE {first} END"
+    return (f"CASE WHEN {expr} IS NULL OR {expr} = '' THEN '[No content]' WHEN {clean} = '' THEN '[No readable content]' "
+            f"WHEN ({cut}) = '' THEN '[Empty content]' ELSE {cut} END")
+
+
+@register("first_sentence", f"SELECT page_id, {_first_sentence_sql('html')} AS first_sentence FROM pages")
+def q_first_sentence(spark, sf):
+    from actlens.session import table
+    return table(spark, sf, "pages").select("page_id", disp.first_sentence(F.col("html")).alias("first_sentence"))
+
+
+@register("audit_lines", o.with_actions(f"""
+SELECT seq, title, {_first_sentence_sql('summary')} AS first_sentence, date,
+       substring(url, 1, 80) || CASE WHEN length(url) > 80 THEN '...' ELSE '' END AS url,
+       CAST(row_number() OVER (ORDER BY seq) AS BIGINT) AS item_number FROM a"""))
+def q_audit_lines(spark, sf):
+    return disp.audit_lines(adapter.actions(spark, sf))
+
+
+@register("card_view", o.with_actions("""
+SELECT seq, CASE source_system WHEN 'PARLIAMENT' THEN 'Parliament' WHEN 'LEGISLATION' THEN 'Legislation'
+         WHEN 'GAZETTE' THEN 'Gazette' WHEN 'BEEHIVE' THEN 'Beehive' END AS source_label,
+  coalesce(CAST(day(try_strptime(date, '%Y-%m-%d')) AS VARCHAR) || ' ' || strftime(try_strptime(date, '%Y-%m-%d'), '%B %Y'),
+           'Invalid Date') AS date_text,
+  CASE WHEN document_type IS NOT NULL AND document_type <> '' THEN document_type ||
+       CASE WHEN portfolio IS NOT NULL AND portfolio <> '' THEN ' · ' || portfolio ELSE '' END END AS document_line,
+  CASE WHEN act_number <> '' THEN act_number END AS act_line,
+  CASE WHEN bill_number IS NOT NULL AND bill_number <> '' AND source_system = 'PARLIAMENT'
+       THEN 'Bill ' || bill_number || ' · Latest: ' || coalesce(CASE WHEN stage2 IS NOT NULL THEN stage2 ELSE stage1 END, '') END AS bill_line
+FROM a"""))
+def q_card_view(spark, sf):
+    return disp.card_view(adapter.actions(spark, sf))
