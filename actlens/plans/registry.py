@@ -572,3 +572,320 @@ SELECT seq, CASE source_system WHEN 'PARLIAMENT' THEN 'Parliament' WHEN 'LEGISLA
 FROM a"""))
 def q_card_view(spark, sf):
     return disp.card_view(adapter.actions(spark, sf))
+
+
+# ------------------------------------------------------- greedy de-duplication
+from actlens.operators import dedupe as dd  # noqa: E402
+
+# The sequential scan replayed by a recursive CTE (one step per row).
+_GREEDY_SQL = o.with_actions("""
+, r0 AS (SELECT CAST(row_number() OVER (ORDER BY seq) AS BIGINT) AS i, seq, coalesce(url, '') AS ku,
+                coalesce(title, 'None') || '_' || coalesce(date, 'None') AS kt FROM a),
+scan AS (
+  WITH RECURSIVE s(i, urls, tds, kept) AS (
+    SELECT CAST(0 AS BIGINT), []::VARCHAR[], []::VARCHAR[], []::BIGINT[]
+    UNION ALL
+    SELECT s.i + 1,
+      CASE WHEN NOT list_contains(s.urls, r0.ku) AND NOT list_contains(s.tds, r0.kt) THEN list_append(s.urls, r0.ku) ELSE s.urls END,
+      CASE WHEN NOT list_contains(s.urls, r0.ku) AND NOT list_contains(s.tds, r0.kt) THEN list_append(s.tds, r0.kt) ELSE s.tds END,
+      CASE WHEN NOT list_contains(s.urls, r0.ku) AND NOT list_contains(s.tds, r0.kt) THEN list_append(s.kept, r0.seq) ELSE s.kept END
+    FROM s JOIN r0 ON r0.i = s.i + 1)
+  SELECT kept FROM s ORDER BY i DESC LIMIT 1)
+SELECT a.seq, a.url, a.title, a.date FROM a WHERE list_contains((SELECT kept FROM scan), a.seq)""")
+
+
+@register("greedy_dedupe", _GREEDY_SQL)
+def q_greedy_dedupe(spark, sf):
+    return dd.greedy_dedupe(adapter.actions(spark, sf).select("seq", "url", "title", "date"))
+
+
+# ----------------------------------------------------------------- builders
+from actlens import raw as rawmod  # noqa: E402
+from actlens.operators import build as bld  # noqa: E402
+
+_RAW = rawmod.raw_sql("documents")
+
+
+def _with_raw(select: str) -> str:
+    return f"WITH r AS ({_RAW})\n{select}"
+
+
+def _x(expr: str, pat: str, group: int = 1) -> str:
+    """DuckDB: first match group or NULL."""
+    return f"CASE WHEN regexp_matches({expr}, {o.q(pat)}) THEN regexp_extract({expr}, {o.q(pat)}, {group}) END"
+
+
+def _clean_version_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN '1' ELSE coalesce({_x(x, r'(\d+)\.?\d*')}, '1') END"
+
+
+def _raw(spark, sf):
+    return rawmod.raw_items(spark, sf)
+
+
+_C_VERSION = o.ustrip(_x("content", r"Version:\s*([^<]+)"))
+
+
+@register("clean_version", _with_raw(
+    f"SELECT seq, {_clean_version_sql(_C_VERSION)} AS v_content, {_clean_version_sql('title')} AS v_title FROM r"))
+def q_clean_version(spark, sf):
+    c = bld.parse_content_fields(F.col("content"))
+    return _raw(spark, sf).select("seq", bld.clean_version(c["c_version"]).alias("v_content"),
+                                  bld.clean_version(F.col("title")).alias("v_title"))
+
+
+@register("parse_content_fields", _with_raw(f"""
+SELECT seq, {_x('content', r'Year:\s*(\d{4})')} AS c_year, {_x('content', r'No:\s*(\d+)')} AS c_number,
+  {_C_VERSION} AS c_version,
+  {o.ustrip(_x('content', r'Current as at date:\s*([^<]+)'))} AS c_current_as_at,
+  {o.ustrip(_x('content', r'Status:\s*([^<]+)'))} AS c_status,
+  {o.ustrip(_x('content', r'Legislation type:\s*([^<]+)'))} AS c_legislation_type FROM r"""))
+def q_parse_content_fields(spark, sf):
+    return _raw(spark, sf).select("seq", *[c.alias(k) for k, c in bld.parse_content_fields(F.col("content")).items()])
+
+
+_U_YEAR = f"coalesce({_x('url', r'/act/public/(\d{4})/')}, '{RUN_TS.year}')"
+_U_NUMBER = f"coalesce(CAST(CAST({_x('url', r'/act/public/\d{4}/(\d+)/')} AS BIGINT) AS VARCHAR), '')"
+_U_VERSION = f"coalesce({_x('url', r'/(\d+)\.0/')}, {_x('url', r'/version/(\d+)')}, '1')"
+
+
+@register("act_parts_from_url", _with_raw(
+    f"SELECT seq, {_U_YEAR} AS u_year, {_U_NUMBER} AS u_number, {_U_VERSION} AS u_version FROM r"))
+def q_act_parts_from_url(spark, sf):
+    return _raw(spark, sf).select("seq", *[c.alias(k) for k, c in bld.act_parts_from_url(F.col("url"), RUN_TS).items()])
+
+
+@register("act_entity", _with_raw(
+    f"SELECT seq, {o.case_map('lower(title)', lab.rules.ACT_ENTITY, o.q('Parliament'), contains=True)} AS primary_entity FROM r"))
+def q_act_entity(spark, sf):
+    return _raw(spark, sf).select("seq", bld.act_entity(F.col("title")).alias("primary_entity"))
+
+
+_ACT_PROFILE = ["%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%d %B %Y", "%d %b %Y"]
+_COMMENCE_PROFILE = ["%d/%m/%Y", "%d-%m-%Y", "%Y-%m-%d", "%d %B %Y", "%d %b %Y"]
+_ACT_ITEM_CTE = f""", ai AS (
+  SELECT seq, {o.ustrip("coalesce(title, '')")} AS title, url,
+    coalesce({_x('content', r'Year:\s*(\d{4})')}, {_U_YEAR}) AS year,
+    coalesce({_x('content', r'No:\s*(\d+)')}, {_U_NUMBER}) AS number,
+    coalesce({_C_VERSION}, {_U_VERSION}) AS version,
+    {o.ustrip(_x('content', r'Current as at date:\s*([^<]+)'))} AS current_as_at,
+    {o.case_map("lower(coalesce(title, ''))", lab.rules.ACT_ENTITY, o.q('Parliament'), contains=True)} AS primary_entity,
+    coalesce(CASE WHEN contains(published, 'T') THEN strftime(try_strptime(split_part(published, 'T', 1), '%Y-%m-%d'), '%Y-%m-%d')
+                  ELSE strftime({_duck_parse('published', _ACT_PROFILE)}, '%Y-%m-%d') END, '{RUN_DATE}') AS date
+  FROM r WHERE contains(content, 'Information type: Acts'))"""
+
+
+@register("parse_act_entry", _with_raw(_ACT_ITEM_CTE + """
+SELECT seq, title, url, CASE WHEN year <> '' AND number <> '' THEN year || ' No ' || number ELSE '' END AS act_number,
+       year, number, primary_entity, date, version FROM ai"""))
+def q_parse_act_entry(spark, sf):
+    return bld.parse_act_entry(_raw(spark, sf), RUN_TS).select(
+        "seq", "title", "url", "act_number", "year", "number", "primary_entity", "date", "version")
+
+
+@register("build_act", _with_raw(_ACT_ITEM_CTE + f"""
+SELECT seq, 'leg-' || year || '-' || CASE WHEN length(number) < 3 THEN lpad(number, 3, '0') ELSE number END
+            || '-v' || {_clean_version_sql('version')} AS id,
+       'Version ' || {_clean_version_sql('version')} || ' of ' || title AS summary, date,
+       CASE WHEN current_as_at IS NOT NULL AND current_as_at <> ''
+            THEN strftime({_duck_parse('current_as_at', _COMMENCE_PROFILE)}, '%Y-%m-%d') END AS commencement_date
+FROM ai"""))
+def q_build_act(spark, sf):
+    acts = bld.build_act(bld.parse_act_entry(_raw(spark, sf), RUN_TS), RUN_TS)
+    return acts.select("seq", "id", "summary", "date", F.col("metadata.commencement_date").alias("commencement_date"))
+
+
+_NOTICE_PATS = [r"/notice/id/(\d{4})-([a-z]{2})(\d+)", r"/notice/(\d{4})-([a-z]{2})(\d+)", r"/(\d{4})-([a-z]{2})(\d+)"]
+
+
+def _notice_sql() -> tuple[str, str]:
+    whens_n = " ".join(f"WHEN regexp_matches(url, {o.q(p)}) THEN regexp_extract(url, {o.q(p)}, 1) || '-' || "
+                       f"regexp_extract(url, {o.q(p)}, 2) || regexp_extract(url, {o.q(p)}, 3)" for p in _NOTICE_PATS)
+    whens_c = " ".join(f"WHEN regexp_matches(url, {o.q(p)}) THEN regexp_extract(url, {o.q(p)}, 2)" for p in _NOTICE_PATS)
+    number = f"CASE {whens_n} ELSE '' END"
+    code = f"CASE {whens_c} END"
+    ntype = f"coalesce({o.case_map(code, lab.rules.NOTICE_TYPES)}, 'General')"
+    return number, ntype
+
+
+_NN, _NT = _notice_sql()
+
+
+@register("notice_info", _with_raw(f"SELECT seq, {_NN} AS notice_number, {_NT} AS notice_type FROM r"))
+def q_notice_info(spark, sf):
+    return _raw(spark, sf).select("seq", *[c.alias(k) for k, c in bld.notice_info(F.col("url")).items()])
+
+
+_NPORT = o.case_map("lower(coalesce(title, '') || ' ' || coalesce(creator, ''))", lab.rules.NOTICE_PORTFOLIO, "''", contains=True)
+
+
+@register("notice_portfolio", _with_raw(f"SELECT seq, {_NPORT} AS portfolio FROM r"))
+def q_notice_portfolio(spark, sf):
+    return _raw(spark, sf).select("seq", bld.notice_portfolio(F.col("title"), F.col("creator")).alias("portfolio"))
+
+
+_HON = r"Hon\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+
+
+@register("notice_entity", _with_raw(f"""
+SELECT seq, CASE WHEN ({_NT}) = 'Vice Regal' THEN 'Governor-General'
+  WHEN regexp_matches(title, {o.q(_HON)}) THEN 'Hon ' || regexp_extract(title, {o.q(_HON)}, 1)
+  ELSE {o.case_map('lower(title)', lab.rules.NOTICE_DEPARTMENT, o.q('Government'), contains=True)} END AS primary_entity FROM r"""))
+def q_notice_entity(spark, sf):
+    info = bld.notice_info(F.col("url"))
+    return _raw(spark, sf).select("seq", bld.notice_entity(F.col("title"), info["notice_type"]).alias("primary_entity"))
+
+
+_NOTICE_PROFILE = ["%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%d %B %Y", "%d %b %Y", "%B %d, %Y",
+                   "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ"]
+
+
+def _notice_items(spark, sf):
+    r = _raw(spark, sf).filter((F.col("source_system") == "GAZETTE") & (F.col("title") != "") & (F.col("url") != ""))
+    info = bld.notice_info(F.col("url"))
+    return r.select(
+        "seq", "title", "url",
+        F.coalesce(normalise_date(F.col("published"), "notice"), F.lit(RUN_DATE)).alias("date"),
+        F.coalesce(F.when(F.col("creator") != "", F.col("creator")), F.lit("Government")).alias("primary_entity"),
+        F.col("body").alias("summary"), info["notice_number"].alias("notice_number"),
+        info["notice_type"].alias("notice_type"),
+        bld.notice_portfolio(F.col("title"), F.col("creator")).alias("portfolio"))
+
+
+_CLEAN_PUB = f"regexp_replace({o.ustrip('published')}, '[^\\w\\s,/:T-]', '', 'g')"
+
+
+@register("build_notice", _with_raw(f"""
+, ni AS (SELECT seq, {_NN} AS notice_number,
+           coalesce(strftime(coalesce({', '.join(f"try_strptime({_CLEAN_PUB}, {o.q(f)})" for f in _NOTICE_PROFILE)}), '%Y-%m-%d'), '{RUN_DATE}') AS date
+         FROM r WHERE source_system = 'GAZETTE' AND title <> '' AND url <> ''),
+nd AS (SELECT *, right(regexp_replace(notice_number, '[^0-9]', '', 'g'), 6) AS last6 FROM ni)
+SELECT seq, CASE WHEN notice_number <> '' THEN 'gaz-{RUN_TS.year}-' ||
+         CASE WHEN last6 = '' THEN '{RUN_TS.strftime('%m%d%H')}' WHEN length(last6) < 3 THEN lpad(last6, 3, '0') ELSE last6 END
+       ELSE 'gaz-{RUN_TS.year}-{RUN_TS.strftime('%H%M%S')[:3]}' END || '-v1' AS id, notice_number, date FROM nd"""))
+def q_build_notice(spark, sf):
+    return bld.build_notice(_notice_items(spark, sf), RUN_TS).select(
+        "seq", "id", F.col("metadata.notice_number").alias("notice_number"), "date")
+
+
+_URL_PATH = "regexp_extract(coalesce(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_LAST_PART = f"list_filter(string_split({_URL_PATH}, '/'), lambda p: p <> '')[-1]"
+
+
+@register("bill_number", _with_raw(f"""
+SELECT seq, coalesce({_x('url', r'BILL(\d+)')}, {_x('title', r'(?i)Bill\s+(\d+)')},
+                     CASE WHEN url IS NOT NULL AND url <> '' THEN {_LAST_PART} END, '') AS bill_number FROM r"""))
+def q_bill_number(spark, sf):
+    return _raw(spark, sf).select("seq", bld.bill_number(F.col("title"), F.col("url")).alias("bill_number"))
+
+
+_BILL_PROFILE = ["%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%d %B %Y", "%d %b %Y", "%B %d, %Y"]
+
+
+@register("build_bill", _with_raw(f"""
+, b AS (SELECT seq, substring(regexp_replace(coalesce(bill_number_raw, '000'), '[^0-9]', '', 'g'), 1, 6) AS d6,
+               published FROM r WHERE source_system = 'PARLIAMENT')
+SELECT seq, 'parl-{RUN_TS.year}-' || CASE WHEN d6 = '' THEN '000' WHEN length(d6) < 3 THEN lpad(d6, 3, '0') ELSE d6 END || '-v1' AS id,
+  CASE WHEN published IS NULL OR published = '' THEN '{RUN_DATE}'
+       ELSE coalesce(strftime({_duck_parse('published', _BILL_PROFILE)}, '%Y-%m-%d'), '{RUN_DATE}') END AS date,
+  CAST(54 AS INTEGER) AS parliament_number FROM b"""))
+def q_build_bill(spark, sf):
+    r = _raw(spark, sf).filter(F.col("source_system") == "PARLIAMENT").select(
+        "seq", "title", "url", F.col("bill_number_raw").alias("bill_number"),
+        F.col("published").alias("introduction_date"), F.col("creator").alias("primary_entity"),
+        F.lit(None).cast("int").alias("parliament_number"), F.lit(None).cast("string").alias("summary"))
+    return bld.build_bill(r, RUN_TS).select("seq", "id", "date", F.col("metadata.parliament_number").alias("parliament_number"))
+
+
+_PERSON_TITLE = (f"CASE WHEN regexp_matches(title, {o.q(_HON)}) THEN 'Hon ' || regexp_extract(title, {o.q(_HON)}, 1) "
+                 f"WHEN regexp_matches(title, {o.q(bld.RT_HON_RE)}) THEN 'Rt Hon ' || regexp_extract(title, {o.q(bld.RT_HON_RE)}, 1) "
+                 f"ELSE {o.case_map('lower(title)', lab.rules.MINISTER_SURNAMES, o.q('Government'), contains=True)} END")
+
+
+@register("person_in_title", _with_raw(f"SELECT seq, {_PERSON_TITLE} AS primary_entity FROM r"))
+def q_person_in_title(spark, sf):
+    return _raw(spark, sf).select("seq", bld.person_in_title(F.col("title")).alias("primary_entity"))
+
+
+_P1 = r"(?:Minister|Hon\.?\s+)" + bld.NAME_SEQ
+_P2 = r"(?:Rt\.?\s+Hon\.?\s+)" + bld.NAME_SEQ
+
+
+@register("person_in_text", _with_raw(f"""
+SELECT seq, coalesce({_x("concat(title, ' ', body)", _P1, 0)}, {_x("concat(title, ' ', body)", _P2, 0)}, {_PERSON_TITLE}) AS primary_entity FROM r"""))
+def q_person_in_text(spark, sf):
+    r = _raw(spark, sf)
+    return r.select("seq", bld.person_in_text(F.concat(F.col("title"), F.lit(" "), F.col("body")), F.col("title"))
+                    .alias("primary_entity"))
+
+
+def _url_portfolio_sql() -> str:
+    parts = []
+    for k, v in lab.rules.RELEASE_PORTFOLIO:
+        parts.append(f"WHEN contains(lower(url), {o.q(k.replace(' ', '-'))}) OR contains(lower(url), {o.q(k.replace(' ', '_'))}) THEN {o.q(v)}")
+    return "CASE WHEN url IS NULL OR url = '' THEN 'General' " + " ".join(parts) + " ELSE 'General' END"
+
+
+_TAGS = "CASE WHEN tags IS NULL THEN []::VARCHAR[] ELSE string_split(tags, '|') END"
+
+
+@register("portfolio_in", _with_raw(f"""
+SELECT seq, {o.case_map('lower(title)', lab.rules.RELEASE_PORTFOLIO, "''", contains=True)} AS from_title,
+  {_url_portfolio_sql()} AS from_url,
+  coalesce(list_filter(list_transform({_TAGS}, lambda t: {o.case_map('lower(t)', lab.rules.RELEASE_PORTFOLIO, 'NULL', contains=True)}),
+                       lambda x: x IS NOT NULL)[1],
+           nullif({o.case_map('lower(title)', lab.rules.RELEASE_PORTFOLIO, "''", contains=True)}, ''), 'General') AS from_feed
+FROM r"""))
+def q_portfolio_in(spark, sf):
+    r = _raw(spark, sf)
+    tags = F.when(F.col("tags").isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col("tags"), r"\|"))
+    return r.select("seq", bld.portfolio_in_title(F.col("title")).alias("from_title"),
+                    bld.portfolio_from_url(F.col("url")).alias("from_url"),
+                    bld.portfolio_from_feed(tags, F.col("title")).alias("from_feed"))
+
+
+@register("standardise_doc_type", _with_raw(f"""
+SELECT seq, feed_type, coalesce({o.case_map('lower(feed_type)', lab.rules.DOCUMENT_TYPES)}, feed_type) AS document_type,
+  CASE WHEN ends_with(feed_type, 's') THEN regexp_replace(upper(left(feed_type, 1)) || lower(substring(feed_type, 2)), 's+$', '')
+       ELSE upper(left(feed_type, 1)) || lower(substring(feed_type, 2)) END AS feed_document_type FROM r"""))
+def q_standardise_doc_type(spark, sf):
+    r = _raw(spark, sf)
+    return r.select("seq", "feed_type", bld.standardise_doc_type(F.col("feed_type")).alias("document_type"),
+                    bld.feed_doc_type(F.col("feed_type")).alias("feed_document_type"))
+
+
+_RKEY = (f"CASE WHEN url IS NOT NULL AND url <> '' AND {_LAST_PART} IS NOT NULL "
+         f"THEN 'beehive_' || substring(regexp_replace({_LAST_PART}, '[^a-zA-Z0-9]', '', 'g'), 1, 15) "
+         f"ELSE 'beehive_' || substring(md5(coalesce(title, '') || '_' || coalesce(published, '')), 1, 12) END")
+
+
+@register("release_key", _with_raw(f"SELECT seq, {_RKEY} AS release_key FROM r"))
+def q_release_key(spark, sf):
+    return _raw(spark, sf).select("seq", bld.release_key(F.col("url"), F.col("title"), F.col("published")).alias("release_key"))
+
+
+_RFC = r"(?i)^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+(\d{4})(?:\s|$)"
+
+
+@register("keep_valid_release", _with_raw(f"""
+SELECT seq FROM r WHERE source_system = 'BEEHIVE' AND title <> '' AND url <> '' AND published <> ''
+  AND starts_with(url, 'https://www.beehive.govt.nz/') AND length(title) BETWEEN 10 AND 500
+  AND ((regexp_matches(published, '^\\d{{4}}-(?:1[0-2]|0[1-9]|[1-9])-(?:3[01]|[12]\\d|0[1-9]|[1-9])$')
+        AND try_strptime(published, '%Y-%m-%d') IS NOT NULL)
+       OR (regexp_matches(published, {o.q(_RFC)})
+           AND try_strptime(regexp_extract(published, {o.q(_RFC)}, 1) || ' ' || regexp_extract(published, {o.q(_RFC)}, 2)
+                            || ' ' || regexp_extract(published, {o.q(_RFC)}, 3), '%d %b %Y') IS NOT NULL))"""))
+def q_keep_valid_release(spark, sf):
+    r = _raw(spark, sf).filter(F.col("source_system") == "BEEHIVE").withColumnRenamed("published", "date")
+    return bld.keep_valid_release(r).select("seq")
+
+
+@register("build_release", _with_raw(f"""
+SELECT seq, 'bee-{RUN_TS.year}-' || substring(regexp_replace(coalesce({_LAST_PART}, 'unknown'), '[^a-zA-Z0-9]', '', 'g'), 1, 10)
+       || '-v1' AS id FROM r WHERE source_system = 'BEEHIVE'"""))
+def q_build_release(spark, sf):
+    r = _raw(spark, sf).filter(F.col("source_system") == "BEEHIVE").select(
+        "seq", "title", "url", F.col("published").alias("date"), F.lit(None).cast("string").alias("primary_entity"),
+        F.col("body").alias("summary"), F.lit(None).cast("string").alias("document_type"),
+        F.lit(None).cast("string").alias("portfolio"))
+    return bld.build_release(r, RUN_TS).select("seq", "id")
