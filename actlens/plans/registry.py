@@ -889,3 +889,169 @@ def q_build_release(spark, sf):
         F.col("body").alias("summary"), F.lit(None).cast("string").alias("document_type"),
         F.lit(None).cast("string").alias("portfolio"))
     return bld.build_release(r, RUN_TS).select("seq", "id")
+
+
+# ------------------------------------------------------------------ sources
+from actlens.session import scratch_path, table  # noqa: E402
+from actlens.sources import combine as comb  # noqa: E402
+from actlens.sources import feeds as fd  # noqa: E402
+from actlens.sources import pages as pg  # noqa: E402
+
+_TIERS = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END"
+_EV_SOURCE = "CASE user_id % 4 WHEN 0 THEN 'PARLIAMENT' WHEN 1 THEN 'LEGISLATION' WHEN 2 THEN 'GAZETTE' ELSE 'BEEHIVE' END"
+# tier 1 exists only for two sources, tier 2 for three: each source falls through differently
+_EV_FILTER = "NOT (event_type = 'purchase' AND user_id % 4 >= 2) AND NOT (event_type = 'signup' AND user_id % 4 = 3)"
+
+
+def _tiered_events(spark, sf):
+    return table(spark, sf, "events").filter(F.expr(_EV_FILTER)).select(
+        "event_id", F.expr(_EV_SOURCE).alias("source_system"), F.expr(_TIERS).alias("tier"))
+
+
+@register("first_nonempty", f"""
+WITH t AS (SELECT event_id, {_EV_SOURCE} AS source_system, {_TIERS} AS tier FROM events WHERE {_EV_FILTER})
+SELECT source_system, event_id, tier FROM t WHERE tier = (SELECT min(tier) FROM t t2 WHERE t2.source_system = t.source_system)""")
+def q_first_nonempty(spark, sf):
+    return comb.first_nonempty(_tiered_events(spark, sf)).select("source_system", "event_id", "tier")
+
+
+@register("union_sources", o.with_actions("""
+SELECT seq, source_system, CAST(CASE source_system WHEN 'PARLIAMENT' THEN 0 WHEN 'LEGISLATION' THEN 1
+  WHEN 'GAZETTE' THEN 2 ELSE 3 END AS INTEGER) AS source_rank FROM a"""))
+def q_union_sources(spark, sf):
+    acts = adapter.actions(spark, sf).select("seq", "source_system")
+    parts = [(s, acts.filter(F.col("source_system") == s).drop("source_system")) for s in reversed(lab.rules.SOURCES)]
+    return comb.union_sources(*parts).select("seq", "source_system", "source_rank")
+
+
+@register("limit_per_source", o.with_actions("""
+SELECT seq, source_system FROM (SELECT seq, source_system, row_number() OVER (PARTITION BY source_system ORDER BY seq) AS rn
+FROM a) WHERE rn <= 25"""))
+def q_limit_per_source(spark, sf):
+    return comb.limit_per_source(adapter.actions(spark, sf), 25).select("seq", "source_system")
+
+
+@register("limit_per_source_none", o.with_actions("SELECT seq, source_system FROM a"))
+def q_limit_per_source_none(spark, sf):
+    return comb.limit_per_source(adapter.actions(spark, sf), 0).select("seq", "source_system")
+
+
+_DETAIL_SQL = """, det AS (SELECT l.doc_id AS seq, a.url, 'quality ' || CAST(l.quality AS VARCHAR) || ', toxic ' || CAST(l.toxic AS VARCHAR) AS summary
+                FROM labels l JOIN a ON a.seq = l.doc_id),
+d1 AS (SELECT url, min_by(summary, seq) AS summary FROM det GROUP BY url)"""
+
+
+@register("enrich_from_detail", o.with_actions(_DETAIL_SQL + """
+SELECT a.seq, a.url, coalesce(d1.summary, a.summary) AS summary FROM a LEFT JOIN d1 USING (url)"""))
+def q_enrich_from_detail(spark, sf):
+    acts = adapter.actions(spark, sf)
+    labels_t = table(spark, sf, "labels")
+    detail = labels_t.join(acts.select("seq", "url"), labels_t["doc_id"] == acts["seq"]).select(
+        "seq", "url", F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "),
+                               F.col("toxic").cast("string")).alias("summary"))
+    return comb.enrich_from_detail(acts, detail).select("seq", "url", "summary")
+
+
+_HREF_RE = 'href="([^"]*)"'
+
+
+@register("absolute_url", f"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_HREF_RE}', 1)) AS href FROM pages)
+SELECT page_id, href, CASE WHEN starts_with(href, 'http') THEN href
+  WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || href
+  WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
+  ELSE CASE WHEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)', 1) <> ''
+            THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)', 1)
+            ELSE regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/' END || href END AS abs_url
+FROM l""")
+def q_absolute_url(spark, sf):
+    p = table(spark, sf, "pages")
+    links = p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(_HREF_RE), 1)).alias("href"))
+    return links.select("page_id", "href", comb.absolute_url(F.col("url"), F.col("href")).alias("abs_url"))
+
+
+def _make_extract(kind):
+    def run(spark, sf):
+        pages_t = table(spark, sf, "pages")
+        if pages_t.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            pages_t = pages_t.repartition(spark.sparkContext.defaultParallelism)
+        return pg.extract(pages_t, kind)
+    return run
+
+
+for _kind, _name in [("bill_rows", "extract_bill_rows"), ("notice_rows", "extract_notice_rows"),
+                     ("notice_list", "extract_notice_list"), ("announcement_rows", "extract_page_rows"),
+                     ("bill_detail", "extract_bill_detail"), ("announcement_detail", "extract_announcement_detail")]:
+    register(_name)(_make_extract(_kind))
+
+
+def _act_feed_path(spark, sf):
+    r = rawmod.raw_items(spark, sf).filter(F.col("source_system") == "LEGISLATION")
+    path = scratch_path(spark, "act-feed")
+    (r.select("title", F.struct(F.col("url").alias("_href")).alias("link"), "published", "content")
+      .write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path))
+    return path
+
+
+@register("read_act_feed", _with_raw(_ACT_ITEM_CTE + """
+SELECT title, url, CASE WHEN year <> '' AND number <> '' THEN year || ' No ' || number ELSE '' END AS act_number,
+       year, number, primary_entity, date, version FROM ai"""))
+def q_read_act_feed(spark, sf):
+    return fd.read_act_feed(spark, _act_feed_path(spark, sf), RUN_TS).select(
+        "title", "url", "act_number", "year", "number", "primary_entity", "date", "version")
+
+
+@register("read_release_feed")
+def q_read_release_feed(spark, sf):
+    r = rawmod.raw_items(spark, sf).filter(F.col("source_system") == "BEEHIVE")
+    path = scratch_path(spark, "release-feed")
+    tags = F.when(F.col("tags").isNull(), F.array().cast("array<string>")).otherwise(F.split("tags", r"\|"))
+    (r.select("title", F.col("url").alias("link"), F.col("published").alias("pubDate"),
+              F.col("body").alias("description"), tags.alias("category"))
+      .write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path))
+    return fd.read_release_feed(spark, path, "releases", RUN_TS)
+
+
+def _payloads(spark, sf, source, build_item, wrap):
+    """Landed JSON documents of <= 50 items each, built by Spark from raw items."""
+    r = rawmod.raw_items(spark, sf).filter(F.col("source_system") == source)
+    items = r.select((F.col("seq") / 200).cast("long").alias("doc_seq"), "seq", build_item.alias("j"))
+    docs = items.groupBy("doc_seq").agg(F.array_sort(F.collect_list(F.struct("seq", "j"))).alias("xs"))
+    body = F.array_join(F.transform("xs", lambda x: x["j"]), ",")
+    return docs.select("doc_seq", wrap(body).alias("payload"))
+
+
+@register("read_bill_json")
+def q_read_bill_json(spark, sf):
+    alt = F.col("seq") % 2 == 0
+    item = F.to_json(F.struct(
+        F.when(alt, F.col("bill_number_raw")).alias("billNumber"), F.when(~alt, F.col("bill_number_raw")).alias("bill_number"),
+        F.when(alt, F.col("title")).alias("title"), F.when(~alt, F.col("title")).alias("name"),
+        F.when(alt, F.col("url")).alias("url"), F.when(~alt, F.regexp_replace("url", "^https://[^/]+", "")).alias("link"),
+        F.when(alt, F.col("creator")).alias("sponsor"),
+        F.when(~alt, F.struct(F.col("creator").alias("displayName"))).alias("sponsoringMember"),
+        F.col("published").alias("introductionDate")))
+    key = lambda body: F.concat(F.lit('{"'), F.element_at(F.array(F.lit("items"), F.lit("bills"), F.lit("results")),
+                                                          (F.col("doc_seq") % 3 + 1).cast("int")),
+                                F.lit('": ['), body, F.lit("]}"))
+    return fd.read_bill_json(_payloads(spark, sf, "PARLIAMENT", item, key))
+
+
+@register("read_notice_json")
+def q_read_notice_json(spark, sf):
+    item = F.to_json(F.struct(F.col("title"), F.col("body").alias("description"), F.col("url").alias("landing_url"),
+                              F.col("published").alias("date"),
+                              F.when(F.col("creator").isNotNull(), F.array("creator")).alias("creator")))
+    wrap = lambda body: F.concat(F.lit('{"search": {"results": ['), body, F.lit("]}}"))
+    return fd.read_notice_json(_payloads(spark, sf, "GAZETTE", item, wrap), RUN_TS)
+
+
+@register("read_person_feeds")
+def q_read_person_feeds(spark, sf):
+    r = rawmod.raw_items(spark, sf).filter(F.col("source_system") == "BEEHIVE")
+    term = F.element_at(F.array(*[F.lit(t) for _, t in lab.rules.PERSON_FEEDS]), (F.col("seq") % 5 + 1).cast("int"))
+    items = r.select("seq", "title", "url", "published", F.col("body").alias("summary"),
+                     F.when(F.col("tags").isNull(), F.array().cast("array<string>")).otherwise(F.split("tags", r"\|")).alias("tags"),
+                     term.alias("term_id"))
+    main = fd.release_items(items.filter(F.col("seq") < 0).drop("term_id"), "releases", RUN_TS)  # main feeds: empty
+    return fd.person_feed_fallback(main, fd.read_person_feeds(spark, items, RUN_TS), limit=10)
