@@ -27,12 +27,13 @@ def one_row(*aggs: DataFrame) -> DataFrame:
 EXPORT_FIELDS = ["id", "title", "date", "source_system", "url", "primary_entity", "summary", "labels", "metadata"]
 
 
-def export_table(df: DataFrame) -> DataFrame:
+def export_table(df: DataFrame, tie: str = "seq") -> DataFrame:
     """O.17: the nine exported fields, labels sorted, ordered by date then
-    title, both descending; ties keep arrival order (``pos``)."""
-    projected = df.select("seq", *[F.sort_array("labels").alias("labels") if c == "labels" else F.col(c)
-                                    for c in EXPORT_FIELDS])
-    return with_position(projected, F.col("date").desc(), F.col("title").desc(), F.col("seq"))
+    title, both descending; ties keep input order (``tie``), giving ``pos``."""
+    keep = ["seq"] + ([tie] if tie != "seq" else [])
+    projected = df.select(*keep, *[F.sort_array("labels").alias("labels") if c == "labels" else F.col(c)
+                                   for c in EXPORT_FIELDS])
+    return with_position(projected, F.col("date").desc(), F.col("title").desc(), F.col(tie))
 
 
 def source_counts(df: DataFrame) -> DataFrame:

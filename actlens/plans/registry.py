@@ -1055,3 +1055,94 @@ def q_read_person_feeds(spark, sf):
                      term.alias("term_id"))
     main = fd.release_items(items.filter(F.col("seq") < 0).drop("term_id"), "releases", RUN_TS)  # main feeds: empty
     return fd.person_feed_fallback(main, fd.read_person_feeds(spark, items, RUN_TS), limit=10)
+
+
+# ----------------------------------------------------------------- pipeline
+from actlens.plans import pipeline as pl  # noqa: E402
+
+_PIPE_CTE = _VALIDATE_CTE + f""", pv AS (
+  SELECT seq, new_id AS id, new_title AS title, new_date AS date, source_system, new_url AS url,
+         new_entity AS primary_entity, new_summary AS summary, nullif(trim(bill_number), '') AS bill_number,
+         parliament_number, nullif(trim(act_number), '') AS act_number, nullif(trim(commencement_date), '') AS commencement_date,
+         nullif(trim(notice_number), '') AS notice_number, nullif(trim(notice_type), '') AS notice_type,
+         nullif(trim(document_type), '') AS document_type, nullif(trim(portfolio), '') AS portfolio,
+         version, base_id, labels_in, stage1, stage1_date, stage2, stage2_date
+  FROM v WHERE {_SCHEMA_OK.replace('new_id', 'new_id').replace('new_date', 'new_date')}),
+gv AS (SELECT pv.seq, {_BASE} AS gbase, {_VNUM} AS vnum FROM pv),
+gf AS (SELECT gbase, min(seq) AS gseq FROM gv GROUP BY gbase),
+gp AS (SELECT gv.seq, row_number() OVER (ORDER BY gf.gseq, gv.vnum DESC, gv.seq) AS group_pos FROM gv JOIN gf USING (gbase)),
+{o.labelled_ctes('pv')}"""
+
+
+@register("pipeline", o.with_actions(_PIPE_CTE + """
+SELECT lab.seq, lab.id, lab.date, array_to_string(lab.labels, '|') AS labels,
+       CAST(row_number() OVER (ORDER BY lab.date DESC, lab.title DESC, gp.group_pos) AS BIGINT) AS pos
+FROM lab JOIN gp USING (seq)"""))
+def q_pipeline(spark, sf):
+    out, _ = pl.pipeline(adapter.actions(spark, sf), RUN_TS, observe=False)
+    return out.select("seq", "id", "date", _labels_str(), "pos")
+
+
+@register("run_report")
+def q_run_report(spark, sf):
+    out, obs = pl.pipeline(adapter.actions(spark, sf), RUN_TS)
+    out.write.format("noop").mode("overwrite").save()
+    return pl.run_report(spark, obs, RUN_TS)
+
+
+def _convert_parts(spark, sf):
+    r = rawmod.raw_items(spark, sf)
+    acts = bld.parse_act_entry(r.filter(F.col("source_system") == "LEGISLATION"), RUN_TS)
+    notices = _notice_items(spark, sf)
+    bills = r.filter(F.col("source_system") == "PARLIAMENT").select(
+        "seq", "title", "url", F.col("bill_number_raw").alias("bill_number"),
+        F.col("published").alias("introduction_date"), F.col("creator").alias("primary_entity"),
+        F.lit(None).cast("int").alias("parliament_number"), F.lit(None).cast("string").alias("summary"))
+    rel = fd.release_items(r.filter(F.col("source_system") == "BEEHIVE").select(
+        "seq", "title", "url", "published", F.col("body").alias("summary"),
+        F.when(F.col("tags").isNull(), F.array().cast("array<string>")).otherwise(F.split("tags", r"\\|")).alias("tags")),
+        "releases", RUN_TS)
+    rel = bld.keep_valid_release(bld.enhance_release(rel))
+    return {"LEGISLATION": acts, "GAZETTE": notices, "PARLIAMENT": bills, "BEEHIVE": rel}
+
+
+_ID_OK = "regexp_matches(id, '^[a-z]{3,8}-\\d{4}-\\d{3,6}(?:-v\\d+)?$')"
+_DATE_OK = ("regexp_matches(date, '^\\d{4}-(?:1[0-2]|0[1-9]|[1-9])-(?:3[01]|[12]\\d|0[1-9]|[1-9])$') "
+            "AND try_strptime(date, '%Y-%m-%d') IS NOT NULL")
+_URL_OK = "regexp_matches(url, " + o.q(val.URL_RE.replace("(?i)", "(?i)")) + ")"
+
+
+@register("convert", f"""
+WITH r AS ({_RAW}),
+acts AS (SELECT b.seq, b.id, b.date, r.url, 'LEGISLATION' AS source_system, b.commencement_date
+         FROM ({ORACLES['build_act']}) b JOIN r USING (seq)),
+notices AS (SELECT b.seq, b.id, b.date, r.url, 'GAZETTE' AS source_system, NULL AS commencement_date
+            FROM ({ORACLES['build_notice']}) b JOIN r USING (seq)),
+bills AS (SELECT b.seq, b.id, b.date, r.url, 'PARLIAMENT' AS source_system, NULL AS commencement_date
+          FROM ({ORACLES['build_bill']}) b JOIN r USING (seq)),
+rel AS (SELECT seq, 'bee-{RUN_TS.year}-' || substring(regexp_replace(coalesce({_LAST_PART}, 'unknown'), '[^a-zA-Z0-9]', '', 'g'), 1, 10)
+              || '-v1' AS id, '2025-01-01' AS date, url, 'BEEHIVE' AS source_system, NULL AS commencement_date
+            FROM r WHERE source_system = 'BEEHIVE' AND title <> '' AND url <> ''
+              AND starts_with(url, 'https://www.beehive.govt.nz/') AND length(title) BETWEEN 10 AND 500),
+u AS (SELECT * FROM acts UNION ALL SELECT * FROM notices UNION ALL SELECT * FROM bills UNION ALL SELECT * FROM rel)
+SELECT seq, id, source_system FROM u WHERE {_ID_OK} AND {_DATE_OK} AND {_URL_OK}
+  AND (commencement_date IS NULL OR (regexp_matches(commencement_date, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$')
+       AND try_strptime(commencement_date, '%Y-%m-%d') IS NOT NULL))""")
+def q_convert(spark, sf):
+    ok, _ = pl.convert(_convert_parts(spark, sf), RUN_TS)
+    return ok.select("seq", "id", "source_system")
+
+
+@register("convert_rejects")
+def q_convert_rejects(spark, sf):
+    _, bad = pl.convert(_convert_parts(spark, sf), RUN_TS)
+    return bad.select("seq", "id", "source_system", "reject_reason")
+
+
+@register("enhance_release", _with_raw(f"""
+SELECT seq, coalesce({o.case_map('lower(feed_type)', lab.rules.DOCUMENT_TYPES)}, feed_type) AS document_type,
+  {_url_portfolio_sql()} AS portfolio, {_RKEY} AS release_key, 'BEEHIVE' AS source_system FROM r"""))
+def q_enhance_release(spark, sf):
+    r = _raw(spark, sf).select("seq", "title", "url", F.col("published").alias("date"),
+                               F.col("feed_type").alias("document_type"), F.lit(None).cast("string").alias("portfolio"))
+    return bld.enhance_release(r).select("seq", "document_type", "portfolio", "release_key", "source_system")
