@@ -1146,3 +1146,41 @@ def q_enhance_release(spark, sf):
     r = _raw(spark, sf).select("seq", "title", "url", F.col("published").alias("date"),
                                F.col("feed_type").alias("document_type"), F.lit(None).cast("string").alias("portfolio"))
     return bld.enhance_release(r).select("seq", "document_type", "portfolio", "release_key", "source_system")
+
+
+# ------------------------------------------ similar titles, streams, sinks
+from actlens.operators import similar as sim  # noqa: E402
+from actlens.streaming import incremental as inc  # noqa: E402
+
+
+@register("similar_titles")
+def q_similar_titles(spark, sf):
+    return sim.similar_titles(adapter.actions(spark, sf))
+
+
+@register("ingest_incremental")
+def q_ingest_incremental(spark, sf):
+    acts = adapter.actions(spark, sf).drop("lang")
+    landing, output, ckpt = (scratch_path(spark, n) for n in ("landing", "ingested", "stream-ckpt"))
+    for part in range(2):  # two nightly drops; the second re-delivers some URLs
+        drop = acts.filter(F.col("seq") % 2 == part) if part == 0 else acts
+        drop.withColumn("landed_at", F.lit(_dt.datetime(2025, 12, 15 + part))).write.mode("append").json(landing)
+    inc.ingest_incremental(spark, landing, output, ckpt, RUN_TS)
+    return spark.read.parquet(output).select("seq", "id", "url", _labels_str(), "batch_id")
+
+
+@register("write_snapshot")
+def q_write_snapshot(spark, sf):
+    old, new = _snapshots(spark, sf)
+    path = scratch_path(spark, "snapshots")
+    snap.write_snapshot(old, path, _dt.datetime(2025, 12, 15))
+    snap.write_snapshot(new, path, RUN_TS)
+    return snap.latest_snapshot(spark, path).select("seq", "id", "title", "run_date", "source_system")
+
+
+@register("export_json")
+def q_export_json(spark, sf):
+    path = scratch_path(spark, "export")
+    rows = st.export_table(validated(spark, sf)).select("pos", "id", "title", "date", "source_system", "url", _labels_str())
+    snap.export_json(rows, path, st.export_audit(adapter.actions(spark, sf)))
+    return spark.read.json(f"{path}/actions")
