@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlens.session import checkpoint_dir, scratch_path
+from actlens.session import checkpoint_dir, materialize, scratch_path
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -45,10 +45,10 @@ def greedy_dedupe(df: DataFrame, max_rounds: int | None = None) -> DataFrame:
         kept = (undecided.join(first_u, "_ku").join(first_t, "_kt")
                 .filter((F.col("seq") == F.col("_mu")) & (F.col("seq") == F.col("_mt")))
                 .select("seq", "_ku", "_kt"))
-        kept = kept.checkpoint()
+        kept = materialize(kept, "greedy-round")
         kept.select("seq").write.mode("append").parquet(out_path)
-        undecided = (undecided.join(kept.select("_ku"), "_ku", "left_anti")
-                     .join(kept.select("_kt"), "_kt", "left_anti")).checkpoint()
+        undecided = materialize(undecided.join(kept.select("_ku"), "_ku", "left_anti")
+                                .join(kept.select("_kt"), "_kt", "left_anti"), "greedy-undecided")
         rounds += 1
         if undecided.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
             break

@@ -76,10 +76,9 @@ def let(value: Column, body) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, body)
 
 
-def keyword_mask(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """Bit ``i`` set when label ``i`` (of ``rules.LABELS``) has a keyword hit.
-
-    One regex per label, each evaluated exactly once per row."""
+def keyword_mask_per_label(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+    """Bit ``i`` set when label ``i`` (of ``rules.LABELS``) has a keyword hit;
+    one whole-text regex scan per label (kept as the plain formulation)."""
     keywords = keywords or rules.LABEL_KEYWORDS
     mask = F.lit(0)
     for i, label in enumerate(rules.LABELS):
@@ -88,6 +87,42 @@ def keyword_mask(text: Column, keywords: dict[str, list[str]] | None = None) ->
     return mask
 
 
+def _is_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def keyword_closure(keywords: dict[str, list[str]]) -> dict[str, int]:
+    """keyword -> label mask of itself and of every keyword that is its prefix
+    ending at a word boundary (those match at the same position whenever it
+    does: 'water quality' also carries the labels of 'water')."""
+    own: dict[str, int] = {}
+    for i, label in enumerate(rules.LABELS):
+        for k in keywords.get(label, []):
+            own[k] = own.get(k, 0) | (1 << i)
+    closure = {}
+    for k, m in own.items():
+        for k2, m2 in own.items():
+            if len(k2) < len(k) and k.startswith(k2) and not _is_word(k[len(k2)]):
+                m |= m2
+        closure[k] = m
+    return closure
+
+
+def keyword_mask(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+    """Bit ``i`` set when label ``i`` (of ``rules.LABELS``) has a keyword hit.
+
+    A single scan for all labels: a zero-width lookahead visits every
+    position and captures the longest whole-word keyword starting there; a
+    fixed map turns each captured keyword into the labels of all keywords
+    matching at that position.  Same result as one scan per label."""
+    keywords = keywords or rules.LABEL_KEYWORDS
+    closure = keyword_closure(keywords)
+    pattern = rf"(?U)(?=\b({trie_regex(list(closure))})\b)"
+    lookup = F.create_map(*[x for k, m in sorted(closure.items()) for x in (F.lit(k), F.lit(m))])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
+    return F.aggregate(found, F.lit(0), lambda acc, k: acc.bitwiseOR(F.coalesce(F.element_at(lookup, k), F.lit(0))))
+
+
 def _bit(mask: Column, label: str) -> Column:
     return mask.bitwiseAND(F.lit(1 << rules.LABELS.index(label))) != 0
 

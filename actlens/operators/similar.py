@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actlens.session import checkpoint_dir
+from actlens.session import checkpoint_dir, materialize
 
 
 def norm_title(c: Column) -> Column:
@@ -37,13 +37,13 @@ def components(buckets: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(seq, cluster): cluster = smallest seq reachable through shared buckets."""
     spark = buckets.sparkSession
     checkpoint_dir(spark)
-    buckets = buckets.checkpoint()
+    buckets = materialize(buckets, "buckets")
     label = buckets.select("seq").distinct().withColumn("cluster", F.col("seq"))
     rounds = 0
     while True:
         per_bucket = buckets.join(label, "seq").groupBy("bucket").agg(F.min("cluster").alias("bmin"))
-        new = (buckets.join(per_bucket, "bucket").groupBy("seq").agg(F.min("bmin").alias("cluster"))
-               .checkpoint())
+        new = materialize(buckets.join(per_bucket, "bucket").groupBy("seq").agg(F.min("bmin").alias("cluster")),
+                          "components")
         moved = new.join(label.withColumnRenamed("cluster", "old"), "seq").filter(F.col("cluster") < F.col("old"))
         label = new
         rounds += 1

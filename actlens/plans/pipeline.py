@@ -18,7 +18,7 @@ from actlens.operators import labels as lab
 from actlens.operators import stats as st
 from actlens.operators import validate as val
 from actlens.operators import versions as ver
-from actlens.session import checkpoint_dir
+from actlens.session import checkpoint_dir, materialize
 
 STAGES = ["input", "validated", "schema_ok", "grouped", "labelled", "exported"]
 
@@ -49,11 +49,12 @@ def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
     df = mark(raw, "input")
     df = mark(val.validate(df, run_ts), "validated")
     df = mark(val.schema_check(df).drop("reject_reason", "_errors", "_fixed"), "schema_ok")
-    # lineage cut (reliable checkpoint in the shared folder): the validated
-    # rows are computed once, and the later plans stay small
-    df = df.checkpoint()
+    # lineage cuts: stage tables written to the shared folder are computed
+    # once (a global sort's sampling pass would otherwise recompute them) and
+    # keep the later plans small
+    df = materialize(df, "validated")
     df = mark(ver.group_versions(df).withColumnRenamed("pos", "group_pos"), "grouped")
-    df = mark(lab.assign_labels(df), "labelled").checkpoint()
+    df = materialize(mark(lab.assign_labels(df), "labelled"), "labelled")
     out = mark(st.export_table(val.schema_check(df).drop("reject_reason"), tie="group_pos"), "exported")
     return out, obs
 

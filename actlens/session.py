@@ -71,10 +71,23 @@ def ensure_parallel(df: DataFrame) -> DataFrame:
     A Parquet file with one row group is one scan task; the text work that
     follows (regexes over whole documents) would then run on one core.  The
     check is a planning-time partition count, so large inputs -- already
-    split into many tasks -- pay no extra shuffle.
+    split into many tasks -- pay nothing.  A coarse input is spread once and
+    written to the shared folder: a plain ``repartition`` would not be
+    enough, because Catalyst pushes (expensive) filters below it, back into
+    the single scan task.
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return materialize(df.repartition(target), "spread")
     return df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the plan runs once, lineage is cut, and a lost executor re-reads
+    files instead of recomputing the stage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
