@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from actlens import rules
 from actlens.functions.dates import normalise_date
 from actlens.functions.text import WS, collapse_ws, first_match, map_lookup, utrim, zfill
+from actlens.operators.labels import let
 
 ID_RE = r"^[a-z]{3,8}-\d{4}-\d{3,6}$"
 ID_RE_VERSIONED = r"^[a-z]{3,8}-\d{4}-\d{3,6}(?:-v\d+)?$"
@@ -107,10 +108,17 @@ def validate(df: DataFrame, run_ts: dt.datetime, strict: bool = False) -> DataFr
     ent0 = F.col("primary_entity")
     new_entity = F.when(_falsy(ent0), entity_guess).otherwise(ent0)
 
-    # 8. summary: collapse whitespace, cap at 1000 characters
-    s = collapse_ws(F.col("summary"))
-    new_summary = F.when(_falsy(F.col("summary")), F.col("summary")).otherwise(
-        F.when(F.length(s) > 1000, F.concat(F.substring(s, 1, 997), F.lit("..."))).otherwise(s))
+    # 8. summary: collapse whitespace, cap at 1000 characters.  The collapse
+    # runs over whole texts, so it is bound once (``let``) and the result
+    # carries its own "changed" flag.
+    summary0 = F.col("summary")
+
+    def _cap(s):
+        capped = F.when(F.length(s) > 1000, F.concat(F.substring(s, 1, 997), F.lit("..."))).otherwise(s)
+        return F.struct(capped.alias("v"), F.coalesce(capped != summary0, F.lit(False)).alias("changed"))
+
+    summary_fix = F.when(_falsy(summary0), F.struct(summary0.alias("v"), F.lit(False).alias("changed"))) \
+        .otherwise(let(collapse_ws(summary0), _cap))
 
     # 9. labels: predefined only, distinct, sorted
     labels0 = F.coalesce(F.col("labels"), F.array().cast("array<string>"))
@@ -145,18 +153,19 @@ def validate(df: DataFrame, run_ts: dt.datetime, strict: bool = False) -> DataFr
         F.coalesce(new_url != url0, F.lit(False)),
         F.coalesce(new_title != title0, F.lit(False)),
         _falsy(ent0),
-        F.coalesce(new_summary != F.col("summary"), F.lit(False)),
+        F.col("_summary_fix.changed"),
         (F.size(labels0) > 0) & (new_labels != labels0),
         meta_changed,
     ]
     fixed = changed[0]
     for c in changed[1:]:
         fixed = fixed | c
-    out = df.withColumns({
+    staged = df.withColumn("_summary_fix", summary_fix)
+    out = staged.withColumns({
         "title": new_title, "url": new_url, "source_system": source, "id": new_id, "date": new_date,
-        "primary_entity": new_entity, "summary": new_summary, "labels": new_labels, "metadata": new_meta,
+        "primary_entity": new_entity, "summary": F.col("_summary_fix.v"), "labels": new_labels, "metadata": new_meta,
         "_errors": errors, "_fixed": fixed,
-    })
+    }).drop("_summary_fix")
     if strict:
         out = out.filter(F.size("_errors") == 0)
     return out

@@ -41,7 +41,7 @@ def labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels are computed once, and a global sort's sampling pass scans the
     table instead of recomputing them."""
     from actlens.session import materialize
-    return materialize(labelled(spark, sf_dir), "labelled")
+    return materialize(labelled(spark, sf_dir), "labelled", partition_by=["source_system"])
 
 
 def _labels_str(c: str = "labels"):
@@ -462,7 +462,8 @@ def q_date_range(spark, sf):
 SELECT seq, new_id AS id, new_date AS date, array_to_string(new_labels, '|') AS labels,
        CAST(row_number() OVER (ORDER BY new_date DESC, new_title DESC, seq) AS BIGINT) AS pos FROM v"""))
 def q_export_table(spark, sf):
-    return st.export_table(validated(spark, sf)).select("seq", "id", "date", _labels_str(), "pos")
+    from actlens.session import materialize
+    return st.export_table(materialize(validated(spark, sf), "validated")).select("seq", "id", "date", _labels_str(), "pos")
 
 
 @register("export_audit", o.with_actions("""

@@ -83,11 +83,16 @@ def ensure_parallel(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: the plan runs once, lineage is cut, and a lost executor re-reads
-    files instead of recomputing the stage."""
+    files instead of recomputing the stage.  ``partition_by`` lays the table
+    out in directories so equality filters on those columns prune files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    out = spark.read.parquet(path)
+    return out.select(*df.columns) if partition_by else out
