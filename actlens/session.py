@@ -18,7 +18,7 @@ _LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "8g",
+    "spark.driver.memory": "16g",
     # Dimension tables of this package are tiny literal tables; data tables
     # never rely on auto-broadcast beyond this bound.
     "spark.sql.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
