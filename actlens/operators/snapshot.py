@@ -71,3 +71,12 @@ def export_json(df: DataFrame, path: str, summary: DataFrame | None = None) -> N
     rows.write.mode("overwrite").json(f"{path}/actions")
     if summary is not None:
         summary.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def write_feed(df: DataFrame, path: str) -> None:
+    """O.22 sink: a feed view written as RSS-style ``<item>`` elements
+    (title, link, pubDate, description, categories), newest first."""
+    rows = df.orderBy("pos") if "pos" in df.columns else df
+    (rows.select(F.col("title"), F.col("url").alias("link"), F.col("date").alias("pubDate"),
+                 F.col("summary").alias("description"), F.col("labels").alias("category"))
+     .write.mode("overwrite").format("xml").option("rootTag", "channel").option("rowTag", "item").save(path))

@@ -1193,3 +1193,57 @@ def q_export_json(spark, sf):
     rows = st.export_table(validated(spark, sf)).select("pos", "id", "title", "date", "source_system", "url", _labels_str())
     snap.export_json(rows, path, st.export_audit(adapter.actions(spark, sf)))
     return spark.read.json(f"{path}/actions")
+
+
+# ------------------------------------------- stage parsing, date profiles, feed sink
+from actlens.functions.dates import PROFILES as _PROFILES  # noqa: E402
+
+_STAGE_TEXT = """CASE turn % 6 WHEN 0 THEN 'First Reading' WHEN 1 THEN 'Second Reading' WHEN 2 THEN 'Select Committee'
+  WHEN 3 THEN 'Committee of Whole House' WHEN 4 THEN 'Third Reading' ELSE 'Royal Assent' END
+  || CASE conv_id % 4 WHEN 0 THEN ' - ' || CAST(1 + conv_id % 28 AS STRING) || '/' || CAST(1 + turn % 12 AS STRING) || '/2024'
+                      WHEN 1 THEN ' - ' || CAST(1 + conv_id % 28 AS STRING) || ' March 2024'
+                      WHEN 2 THEN ' - ' || role ELSE '' END"""
+_STAGE_DATE_CELL = "CASE WHEN conv_id % 4 = 3 THEN '2024-0' || CAST(1 + turn % 9 AS STRING) || '-15' END"
+
+
+@register("parse_stage", f"""
+WITH s AS (SELECT conv_id, turn, {_STAGE_TEXT} AS text, {_STAGE_DATE_CELL} AS date_cell FROM conversations),
+p AS (SELECT conv_id, turn,
+        CASE WHEN contains(text, ' - ') THEN nullif(split_part(text, ' - ', 1), '') END AS st0,
+        CASE WHEN contains(text, ' - ') THEN nullif(substring(text, instr(text, ' - ') + 3), '') END AS dt0,
+        text, date_cell FROM s),
+q AS (SELECT conv_id, turn, coalesce(st0, text) AS stage, coalesce(dt0, date_cell) AS date_s FROM p),
+r AS (SELECT *, strftime({_duck_parse('date_s', _BILL_PROFILE)}, '%Y-%m-%d') AS iso FROM q)
+SELECT conv_id, turn, CASE WHEN stage <> '' AND date_s <> '' AND iso IS NOT NULL THEN stage END AS stage,
+       CASE WHEN stage <> '' AND date_s <> '' AND iso IS NOT NULL THEN iso END AS date FROM r""")
+def q_parse_stage(spark, sf):
+    conv = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.expr(_STAGE_TEXT).alias("text"), F.expr(_STAGE_DATE_CELL).alias("date_cell"))
+    parsed = bld.parse_stage(F.col("text"), F.col("text"), F.col("date_cell"))
+    return conv.select("conv_id", "turn", parsed["stage"].alias("stage"), parsed["date"].alias("date"))
+
+
+def _profile_sql(profile: str) -> str:
+    src = "published"
+    if profile in ("notice", "release"):
+        src = f"regexp_replace({o.ustrip('published')}, '[^\\w\\s,/:T-]', '', 'g')"
+    parsed = "coalesce(" + ", ".join(f"try_strptime({o.ustrip(src)}, {o.q(f)})" for f in _PROFILES[profile]) + ")"
+    if profile == "act":
+        parsed = (f"CASE WHEN contains(published, 'T') THEN try_strptime(split_part(published, 'T', 1), '%Y-%m-%d') "
+                  f"ELSE {parsed} END")
+    return f"strftime({parsed}, '%Y-%m-%d') AS {profile}"
+
+
+@register("date_profiles", _with_raw(
+    "SELECT seq, published, " + ", ".join(_profile_sql(p) for p in _PROFILES) + " FROM r"))
+def q_date_profiles(spark, sf):
+    r = _raw(spark, sf)
+    return r.select("seq", "published", *[normalise_date(F.col("published"), p).alias(p) for p in _PROFILES])
+
+
+@register("write_feed")
+def q_write_feed(spark, sf):
+    path = scratch_path(spark, "feed")
+    snap.write_feed(srch.feed_view(labelled_table(spark, sf), "ALL", "Housing"), path)
+    return (spark.read.format("xml").option("rowTag", "item")
+            .schema("title string, link string, pubDate string, description string, category array<string>").load(path))
