@@ -16,12 +16,14 @@ from actlens.functions.order import with_position
 from actlens.operators.labels import label_counts
 
 def one_row(*aggs: DataFrame) -> DataFrame:
-    """Side-by-side combination of single-row aggregates (equi-join on a
-    constant key; each input has exactly one row)."""
-    out = aggs[0].withColumn("_k", F.lit(0))
-    for a in aggs[1:]:
-        out = out.join(F.broadcast(a.withColumn("_k", F.lit(0))), "_k")
-    return out.drop("_k")
+    """Side-by-side combination of single-row aggregates: the first is the
+    frame, each other one becomes a scalar subquery (one struct per input,
+    evaluated once) -- no join operator at all."""
+    cols = [F.col(c) for c in aggs[0].columns]
+    for i, a in enumerate(aggs[1:]):
+        packed = a.select(F.struct(*a.columns).alias("s")).scalar()
+        cols += [packed.getField(c).alias(c) for c in a.columns]
+    return aggs[0].select(*cols)
 
 
 EXPORT_FIELDS = ["id", "title", "date", "source_system", "url", "primary_entity", "summary", "labels", "metadata"]

@@ -89,10 +89,9 @@ def read_person_feeds(spark: SparkSession, items: DataFrame, run_ts: dt.datetime
 def person_feed_fallback(main: DataFrame, person: DataFrame, limit: int | None = None) -> DataFrame:
     """O.3 gate: person-feed rows are used only when the main feeds gave no
     rows, or fewer than ``limit``."""
-    n_main = main.agg(F.count(F.lit(1)).alias("_n"))
-    need = F.broadcast(n_main.filter((F.col("_n") == 0) | (F.col("_n") < F.lit(limit or 0))).select(F.lit(1).alias("_k")))
-    return main.unionByName(person.withColumn("_k", F.lit(1)).join(need, "_k", "left_semi").drop("_k"),
-                            allowMissingColumns=True)
+    n_main = main.agg(F.count(F.lit(1)).alias("_n")).scalar()  # scalar subquery, one value
+    use_person = (n_main == 0) | (n_main < F.lit(limit or 0))
+    return main.unionByName(person.filter(use_person), allowMissingColumns=True)
 
 
 BILL_ITEM = ("struct<billNumber:string,bill_number:string,title:string,name:string,url:string,link:string,"
