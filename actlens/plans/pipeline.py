@@ -39,24 +39,28 @@ def convert(parts: dict[str, DataFrame], run_ts: dt.datetime) -> tuple[DataFrame
 
 
 def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
-    """O.80 over action records; returns (export-ordered rows, observations)."""
+    """O.80 over action records; returns (export-ordered rows, observations).
+
+    Two stage tables are written to the shared folder (after the schema
+    check, and after labelling): each is computed once -- a global sort's
+    sampling pass would otherwise recompute it -- and every observed stage
+    lies below one of those writes, so the report counts each row once
+    whatever the caller later does with the result."""
+    checkpoint_dir(raw.sparkSession)
     obs = {name: Observation(name) for name in STAGES} if observe else {}
 
     def mark(df, name):
         return df.observe(obs[name], F.count(F.lit(1)).alias("rows")) if observe else df
 
-    checkpoint_dir(raw.sparkSession)
     df = mark(raw, "input")
     df = mark(val.validate(df, run_ts), "validated")
     df = mark(val.schema_check(df).drop("reject_reason", "_errors", "_fixed"), "schema_ok")
-    # lineage cuts: stage tables written to the shared folder are computed
-    # once (a global sort's sampling pass would otherwise recompute them) and
-    # keep the later plans small
     df = materialize(df, "validated")
     df = mark(ver.group_versions(df).withColumnRenamed("pos", "group_pos"), "grouped")
-    df = materialize(mark(lab.assign_labels(df), "labelled"), "labelled")
-    out = mark(st.export_table(val.schema_check(df).drop("reject_reason"), tie="group_pos"), "exported")
-    return out, obs
+    df = mark(lab.assign_labels(df), "labelled")
+    df = mark(val.schema_check(df).drop("reject_reason"), "exported")
+    df = materialize(df, "labelled")
+    return st.export_table(df, tie="group_pos"), obs
 
 
 def run_report(spark, obs: dict, run_ts: dt.datetime) -> DataFrame:

@@ -134,3 +134,51 @@ def test_incremental_stream(spark):
     assert got.count() == 6
     assert got.filter(F.col("url") == "https://a.nz/11").count() == 1
     assert all("Housing" in r.labels for r in got.collect())
+
+
+def test_run_report_and_pipeline_stages(spark):
+    from actlens.plans import pipeline as pl
+    from tests.test_operators import actions
+
+    rows = [dict(seq=i, id=f"parl-2024-{i:03d}-v1", title="Housing Bill", source_system="PARLIAMENT",
+                 url=f"https://a.nz/{i}", date="2024-01-0" + str(1 + i % 9), summary="s") for i in range(6)]
+    out, obs = pl.pipeline(actions(spark, rows), RUN)
+    got = out.orderBy("pos").collect()
+    assert len(got) == 6 and all("Housing" in r.labels for r in got)
+    assert [r.date for r in got] == sorted((r.date for r in got), reverse=True)
+    report = {r.stage: (r.input_rows, r.output_rows) for r in pl.run_report(spark, obs, RUN).collect()}
+    assert report["input"] == (6, 6) and report["exported"] == (6, 6)
+
+
+def test_snapshot_and_json_sinks(spark):
+    df = spark.createDataFrame([(1, "a", "PARLIAMENT"), (2, "b", "GAZETTE")], "seq long, id string, source_system string")
+    path = scratch_path(spark, "snap-test")
+    snapshot.write_snapshot(df, path, dt.datetime(2025, 12, 15))
+    snapshot.write_snapshot(df.filter("seq = 1"), path, RUN)
+    latest = snapshot.latest_snapshot(spark, path).collect()
+    assert [(r.seq, str(r.run_date)) for r in latest] == [(1, "2025-12-16")]
+    out = scratch_path(spark, "json-test")
+    snapshot.export_json(df.withColumn("pos", F.col("seq")), out, df.agg(F.count(F.lit(1)).alias("n")))
+    assert spark.read.json(f"{out}/actions").count() == 2
+    assert spark.read.json(f"{out}/metadata").collect()[0].n == 2
+
+
+def test_release_feed_and_person_feeds(spark):
+    rss = ("<rss><channel><item><title>Hon Nicola Willis announces budget</title>"
+           "<link>https://www.beehive.govt.nz/release/budget-2025</link><pubDate>Mon, 15 Dec 2025 10:00:00 +1300</pubDate>"
+           "<description>Minister Willis said.</description><category>Finance</category></item>"
+           "<item><title></title><link>https://x</link></item></channel></rss>")
+    path = scratch_path(spark, "rss-test")
+    spark.createDataFrame([(rss,)], "value string").coalesce(1).write.text(path)
+    rows = feeds.read_release_feed(spark, path, "speeches", RUN).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.date, r.document_type, r.portfolio) == ("2025-12-15", "Speeche", "Finance")  # S.16
+    assert r.primary_entity == "Hon Nicola Willis"
+    items = spark.createDataFrame([(1, "Housing update for families", "https://www.beehive.govt.nz/release/h", "2025-01-02",
+                                    "text", [], 6820)],
+                                  "seq long, title string, url string, published string, summary string, "
+                                  "tags array<string>, term_id int")
+    main = feeds.release_items(items.drop("term_id").limit(0), "releases", RUN)
+    got = feeds.person_feed_fallback(main, feeds.read_person_feeds(spark, items, RUN), limit=5).collect()
+    assert len(got) == 1 and got[0].primary_entity == "Housing" and got[0].document_type == "Press Release"
