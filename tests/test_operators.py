@@ -155,3 +155,13 @@ def test_empty_inputs(spark):
     assert stats.export_table(df).count() == 0
     assert search.query(df, "a").count() == 0
     assert stats.export_audit(df).collect()[0].valid
+
+
+def test_keyword_mask_single_scan_equals_per_label(spark):
+    texts = ["water quality and tax credit rules", "co-governance of kāinga ora homes", "railways", "rentals",
+             "public transport safety", "te whatu ora pharmac", "", "taxation", "work and income support"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    a = [r[0] for r in df.select(labels.keyword_mask(F.col("t"))).collect()]
+    b = [r[0] for r in df.select(labels.keyword_mask_per_label(F.col("t"))).collect()]
+    assert a == b
+    assert a[2] == 0 and a[3] == 0  # no whole-word keyword inside 'railways' / 'rentals'
