@@ -53,9 +53,10 @@ def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
         return df.observe(obs[name], F.count(F.lit(1)).alias("rows")) if observe else df
 
     df = mark(raw, "input")
-    df = mark(val.validate(df, run_ts), "validated")
-    df = mark(val.schema_check(df).drop("reject_reason", "_errors", "_fixed"), "schema_ok")
-    df = materialize(df, "validated")
+    # written before the schema check: its filter would otherwise be pushed
+    # below the repair projection and evaluate the repairs twice
+    df = materialize(mark(val.validate(df, run_ts), "validated").drop("_errors", "_fixed"), "validated")
+    df = mark(val.schema_check(df).drop("reject_reason"), "schema_ok")
     df = mark(ver.group_versions(df).withColumnRenamed("pos", "group_pos"), "grouped")
     df = mark(lab.assign_labels(df), "labelled")
     df = mark(val.schema_check(df).drop("reject_reason"), "exported")
