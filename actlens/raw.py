@@ -46,7 +46,7 @@ SELECT
                 WHEN 1 THEN concat('https://bills.parliament.nz/bills/', source, '-', CAST(doc_id AS STRING), '/')
                 ELSE '' END
     ELSE CASE doc_id % 5
-         WHEN 0 THEN concat('https://www.beehive.govt.nz/release/', replace(replace(lower(substring(text, 1, 40)), ' ', '-'), chr(10), '-'))
+         WHEN 0 THEN concat('https://www.beehive.govt.nz/release/', lang, '-', source, '-update-', CAST(doc_id * 7 AS STRING))
          WHEN 1 THEN concat('https://www.beehive.govt.nz/speech/', source, '_', CAST(doc_id AS STRING))
          WHEN 2 THEN concat('https://www.beehive.govt.nz/portfolio/social-development/', CAST(doc_id AS STRING))
          WHEN 3 THEN 'https://www.beehive.govt.nz/'
