@@ -10,8 +10,10 @@ from actlens import rules
 
 def first_nonempty(df: DataFrame, source_col: str = "source_system", tier_col: str = "tier") -> DataFrame:
     """O.12: per source, keep the rows of the first (lowest) tier that has rows."""
-    best = df.groupBy(source_col).agg(F.min(tier_col).alias("_best"))  # one row per source
-    return df.join(F.broadcast(best), source_col).filter(F.col(tier_col) == F.col("_best")).drop("_best")
+    # one row per distinct source; no broadcast hint -- its size depends on
+    # the data, so AQE picks a broadcast at runtime only when it is small
+    best = df.groupBy(source_col).agg(F.min(tier_col).alias("_best"))
+    return df.join(best, source_col).filter(F.col(tier_col) == F.col("_best")).drop("_best")
 
 
 def union_sources(*parts: tuple[str, DataFrame]) -> DataFrame:
