@@ -55,16 +55,21 @@ def read_release_feed(spark: SparkSession, path: str, feed_type: str, run_ts: dt
         F.col("category").alias("tags")), feed_type, run_ts)
 
 
-def release_items(items: DataFrame, feed_type: str, run_ts: dt.datetime) -> DataFrame:
-    """Feed item rows (seq, title, url, published, summary, tags) -> raw release items."""
+def release_items(items: DataFrame, feed_type: str, run_ts: dt.datetime, entity: str | None = None) -> DataFrame:
+    """Feed item rows (seq, title, url, published, summary, tags) -> raw release
+    items.  ``entity`` names a column that overrides the person found in the
+    text (per-person feeds)."""
     title, url = F.col("title"), F.col("url")
+    person = bld.person_in_text(F.coalesce("summary", F.lit("")), title)
+    if entity is not None:
+        person = F.col(entity)
     date = F.coalesce(F.date_format(rfc2822_date(F.col("published")), "yyyy-MM-dd"),
                       normalise_date(F.col("published"), "release"), F.lit(run_ts.strftime("%Y-%m-%d")))
     return items.filter(nonempty(title).isNotNull() & nonempty(url).isNotNull()).select(
         "seq", "title", "url", date.alias("date"), F.coalesce("summary", F.lit("")).alias("summary"),
         F.lit("BEEHIVE").alias("source_system"),
         bld.feed_doc_type(F.lit(feed_type)).alias("document_type"),
-        bld.person_in_text(F.coalesce("summary", F.lit("")), title).alias("primary_entity"),
+        person.alias("primary_entity"),
         bld.portfolio_from_feed(F.col("tags"), title).alias("portfolio"),
     )
 
@@ -80,10 +85,8 @@ def read_person_feeds(spark: SparkSession, items: DataFrame, run_ts: dt.datetime
     items with entity from the feed name and type Press Release."""
     dim = F.broadcast(person_feeds(spark))  # fixed 5-row table
     joined = items.join(dim, "term_id")
-    out = release_items(joined.select("seq", "title", "url", "published", "summary", "tags", "entity"),
-                        "release", run_ts)
-    return out.join(joined.select("seq", "entity"), "seq").withColumn("primary_entity", F.col("entity")) \
-        .withColumn("document_type", F.lit("Press Release")).drop("entity")
+    out = release_items(joined, "release", run_ts, entity="entity")
+    return out.withColumn("document_type", F.lit("Press Release"))
 
 
 def person_feed_fallback(main: DataFrame, person: DataFrame, limit: int | None = None) -> DataFrame:
