@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from actlens import rules
 from actlens.functions.dates import normalise_date
-from actlens.functions.text import WS, collapse_ws, first_match, map_lookup, utrim, zfill
+from actlens.functions.text import collapse_ws, first_match, map_lookup, utrim, zfill
 from actlens.operators.labels import let
 
 ID_RE = r"^[a-z]{3,8}-\d{4}-\d{3,6}$"
