@@ -6,7 +6,8 @@ an explicit schema.  ``trigger(availableNow=True)`` processes whatever has
 landed and stops, so a nightly scheduler gets exactly-once, incremental
 runs from the checkpoint.  Re-delivered items (same URL) inside the
 watermark are dropped; each micro-batch is converted, validated and
-labelled, then appended to the output table.
+labelled, then written to its own ``batch_id=N`` directory of the output
+table (idempotent when a batch is retried).
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from actlens.operators import labels as lab
 from actlens.operators import validate as val
@@ -36,8 +36,10 @@ def ingest_incremental(spark: SparkSession, landing: str, output: str, checkpoin
               .dropDuplicatesWithinWatermark(["url"]))
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        # idempotent: a micro-batch re-run after a failure overwrites its own
+        # directory instead of appending its rows a second time
         done = lab.assign_labels(val.schema_check(val.validate(batch, run_ts)).drop("reject_reason"))
-        done.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(output)
+        done.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
