@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
-def with_position(df: DataFrame, *order: Column | str, pos_col: str = "pos") -> DataFrame:
-    """Sort by ``order`` and add ``pos`` (1-based, consecutive, stable)."""
+def with_position(df: DataFrame, *order: Column | str, pos_col: str = "pos",
+                  total_col: str | None = None) -> DataFrame:
+    """Sort by ``order`` and add ``pos`` (1-based, consecutive, stable);
+    ``total_col`` adds the row total (taken from the per-partition counts)."""
     sorted_df = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
     sorted_df = sorted_df.withColumn("_pid", F.shiftright("_mid", 33))
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    extra = [F.sum("_n").over(Window.partitionBy()).cast("long").alias(total_col)] if total_col else []
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
     out = sorted_df.join(F.broadcast(offsets), "_pid").withColumn(
         pos_col, (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1).cast("long")
     )

@@ -110,9 +110,9 @@ def sort_order(order: str = "newest") -> list[Column]:
     return [first, F.col("seq").asc()]
 
 
-def sort_by_date(df: DataFrame, order: str = "newest") -> DataFrame:
+def sort_by_date(df: DataFrame, order: str = "newest", total_col: str | None = None) -> DataFrame:
     """O.64: newest/oldest, unparseable dates last in both orders, stable."""
-    return with_position(df, *sort_order(order))
+    return with_position(df, *sort_order(order), total_col=total_col)
 
 
 def validate_state(query=None, source=None, labels=None, order=None) -> tuple[str, str, list[str], str]:
@@ -125,22 +125,21 @@ def validate_state(query=None, source=None, labels=None, order=None) -> tuple[st
 
 
 def query(df: DataFrame, text: str = "", source: str = "ALL", labels: list[str] | None = None,
-          order: str = "newest", cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """O.69: search -> source -> labels -> sort; rows carry ``pos``."""
+          order: str = "newest", cfg: SearchConfig = SearchConfig(), total_col: str | None = None) -> DataFrame:
+    """O.69: search -> source -> labels -> sort; rows carry ``pos`` (and the
+    number of matched rows in ``total_col`` when given)."""
     text, source, labels, order = validate_state(text, source, labels, order)
     out = filter_source(df, source)  # cheapest, pruning predicate first
     out = search(out, text, cfg)
     out = filter_labels(out, labels)
-    return sort_by_date(out, order)
+    return sort_by_date(out, order, total_col=total_col)
 
 
-def query_with_total(df: DataFrame, *args, **kwargs):
-    """``query`` plus an ``Observation`` carrying ``total_matched``."""
-    from pyspark.sql import Observation
-
-    obs = Observation("query")
-    out = query(df, *args, **kwargs).observe(obs, F.count(F.lit(1)).alias("total_matched"))
-    return out, obs
+def query_with_total(df: DataFrame, *args, **kwargs) -> DataFrame:
+    """``query`` whose rows also carry ``total_matched``: exact, taken from the
+    per-partition counts of the ordering step (an ``observe`` metric would be
+    counted again by every re-execution, e.g. a sort's sampling pass)."""
+    return query(df, *args, total_col="total_matched", **kwargs)
 
 
 def feed_view(df: DataFrame, source: str = "ALL", label: str | None = None) -> DataFrame:

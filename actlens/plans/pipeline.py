@@ -41,11 +41,11 @@ def convert(parts: dict[str, DataFrame], run_ts: dt.datetime) -> tuple[DataFrame
 def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
     """O.80 over action records; returns (export-ordered rows, observations).
 
-    Two stage tables are written to the shared folder (after the schema
-    check, and after labelling): each is computed once -- a global sort's
-    sampling pass would otherwise recompute it -- and every observed stage
-    lies below one of those writes, so the report counts each row once
-    whatever the caller later does with the result."""
+    Stage tables are written to the shared folder (validated, checked,
+    labelled): each is computed once -- a global sort's sampling pass would
+    otherwise recompute it -- and every observed stage lies directly below
+    one of those writes with no sort in between, so the report counts each
+    row once whatever the caller later does with the result."""
     checkpoint_dir(raw.sparkSession)
     obs = {name: Observation(name) for name in STAGES} if observe else {}
 
@@ -56,7 +56,7 @@ def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
     # written before the schema check: its filter would otherwise be pushed
     # below the repair projection and evaluate the repairs twice
     df = materialize(mark(val.validate(df, run_ts), "validated").drop("_errors", "_fixed"), "validated")
-    df = mark(val.schema_check(df).drop("reject_reason"), "schema_ok")
+    df = materialize(mark(val.schema_check(df).drop("reject_reason"), "schema_ok"), "checked")
     df = mark(ver.group_versions(df).withColumnRenamed("pos", "group_pos"), "grouped")
     df = mark(lab.assign_labels(df), "labelled")
     df = mark(val.schema_check(df).drop("reject_reason"), "exported")

@@ -165,3 +165,17 @@ def test_keyword_mask_single_scan_equals_per_label(spark):
     b = [r[0] for r in df.select(labels.keyword_mask_per_label(F.col("t"))).collect()]
     assert a == b
     assert a[2] == 0 and a[3] == 0  # no whole-word keyword inside 'railways' / 'rentals'
+
+
+def test_query_total_matched_and_strict_split(spark):
+    rows = [dict(seq=i, id=f"parl-2024-{i:03d}", title="Housing Bill" if i % 2 else "Roads", source_system="PARLIAMENT",
+                 url=f"https://a.nz/{i}", date=f"2024-01-{1 + i:02d}", summary="s") for i in range(6)]
+    df = labels.assign_labels(actions(spark, rows))
+    out = search.query_with_total(df, "housing", "PARLIAMENT", ["Housing"], "newest")
+    got = out.orderBy("pos").collect()
+    assert [r.seq for r in got] == [5, 3, 1]
+    assert {r.total_matched for r in got} == {3}
+    bad = actions(spark, rows[:2] + [dict(seq=9, title="t", url="https://a.nz/9", source_system="nowhere")])
+    ok, rejected = validate.split_strict(validate.validate(bad, RUN))
+    assert sorted(r.seq for r in ok.collect()) == [0, 1]
+    assert [r.seq for r in rejected.collect()] == [9]

@@ -147,7 +147,7 @@ def test_run_report_and_pipeline_stages(spark):
     assert len(got) == 6 and all("Housing" in r.labels for r in got)
     assert [r.date for r in got] == sorted((r.date for r in got), reverse=True)
     report = {r.stage: (r.input_rows, r.output_rows) for r in pl.run_report(spark, obs, RUN).collect()}
-    assert report["input"] == (6, 6) and report["exported"] == (6, 6)
+    assert all(out_rows == 6 for _, out_rows in report.values()), report
 
 
 def test_snapshot_and_json_sinks(spark):
