@@ -1247,3 +1247,11 @@ def q_write_feed(spark, sf):
     snap.write_feed(srch.feed_view(labelled_table(spark, sf), "ALL", "Housing"), path)
     return (spark.read.format("xml").option("rowTag", "item")
             .schema("title string, link string, pubDate string, description string, category array<string>").load(path))
+
+
+@register("extract_bill_stages")
+def q_extract_bill_stages(spark, sf):
+    """O.10 stage list: stage elements of detail pages parsed by O.36."""
+    rows = _make_extract("bill_stages")(spark, sf)
+    parsed = bld.parse_stage(F.col("title"), F.nullif(F.col("extra"), F.lit("")), F.nullif(F.col("date_text"), F.lit("")))
+    return rows.select("page_id", "pos", parsed["stage"].alias("stage"), parsed["date"].alias("date"))

@@ -42,8 +42,8 @@ class _Node:
         self.tag, self.attrs, self.parent = tag, dict(attrs), parent
         self.children, self.texts = [], []
 
-    def text(self) -> str:
-        """Text content in document order (iterative: deep markup is fine)."""
+    def strings(self) -> list[str]:
+        """Text nodes in document order (iterative: deep markup is fine)."""
         out, stack = [], [iter(self.texts)]
         while stack:
             item = next(stack[-1], None)
@@ -53,7 +53,10 @@ class _Node:
                 out.append(item)
             else:
                 stack.append(iter(item.texts))
-        return "".join(out)
+        return out
+
+    def text(self) -> str:
+        return "".join(self.strings())
 
 
 class _Builder(HTMLParser):
@@ -91,7 +94,7 @@ def parse_html(html: str) -> _Node:
     return b.root
 
 
-_SIMPLE = re.compile(r'([a-zA-Z0-9]+)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^$]?=)"([^"]*)")?\]')
+_SIMPLE = re.compile(r'([a-zA-Z0-9]+)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^$]?=)"([^"]*)")?\]|:(first-child|last-child)')
 
 
 def _compile_simple(s: str):
@@ -102,7 +105,7 @@ def _compile_simple(s: str):
 
 
 def _match(node: _Node, parts) -> bool:
-    for tag, cls, idv, attr, op, val in parts:
+    for tag, cls, idv, attr, op, val, pseudo in parts:
         if tag and node.tag != tag.lower():
             return False
         if cls and cls not in (node.attrs.get("class") or "").split():
@@ -117,6 +120,10 @@ def _match(node: _Node, parts) -> bool:
                 return False
             if op == "=" and v != val:
                 return False
+        if pseudo:
+            siblings = node.parent.children if node.parent is not None else [node]
+            if node is not (siblings[0] if pseudo == "first-child" else siblings[-1]):
+                return False
     return True
 
 
@@ -155,10 +162,14 @@ def select_one(root: _Node, selector: str):
 
 
 def text_of(node: _Node | None, strip: bool = True) -> str:
+    """Element text; ``strip`` strips every text node and joins them with no
+    separator (the ``get_text(strip=True)`` behaviour the extraction rules
+    assume)."""
     if node is None:
         return ""
-    t = node.text()
-    return " ".join(t.split()) if strip else t
+    if not strip:
+        return node.text()
+    return "".join(t.strip() for t in node.strings() if t.strip())
 
 
 def _absolute(base: str, href: str) -> str:
@@ -291,7 +302,22 @@ def _rows_announcement_detail(page_id, url, root):
     return [(page_id, url, 0, text_of(select_one(root, "h1")), "", date, summary)]
 
 
+STAGE_CELL = ".stage-name, .stage, th, td:first-child"
+DATE_CELL = ".date, .stage-date, td:last-child"
+
+
+def _rows_bill_stages(page_id, url, root):
+    """One row per stage element: its text (title), the stage cell (extra)
+    and the date cell (date_text); parsing and date checks run in Spark."""
+    rows = []
+    for i, el in enumerate(_first_elements(root, STAGES)):
+        rows.append((page_id, url, i, text_of(el), "", text_of(select_one(el, DATE_CELL)),
+                     text_of(select_one(el, STAGE_CELL))))
+    return rows
+
+
 _KINDS = {
+    "bill_stages": _rows_bill_stages,
     "bill_rows": _rows_bills, "notice_rows": _rows_notices, "notice_list": _rows_notice_list,
     "announcement_rows": _rows_announcements, "bill_detail": _rows_bill_detail,
     "announcement_detail": _rows_announcement_detail,

@@ -182,3 +182,17 @@ def test_release_feed_and_person_feeds(spark):
     main = feeds.release_items(items.drop("term_id").limit(0), "releases", RUN)
     got = feeds.person_feed_fallback(main, feeds.read_person_feeds(spark, items, RUN), limit=5).collect()
     assert len(got) == 1 and got[0].primary_entity == "Housing" and got[0].document_type == "Press Release"
+
+
+def test_bill_detail_stages(spark):
+    html = ("<html><body><table class='stage-history'>"
+            "<tr><td>First Reading</td><td>5 June 2024</td></tr>"
+            "<tr><td>Select Committee - 12/07/2024</td></tr>"
+            "<tr><th>Royal Assent</th><td>soon</td></tr></table></body></html>")
+    pages_df = spark.createDataFrame([(7, "https://bills.example.nz/b/1", html)], "page_id long, url string, html string")
+    rows = pages.extract(pages_df, "bill_stages")
+    from actlens.operators import build
+    parsed = build.parse_stage(F.col("title"), F.nullif(F.col("extra"), F.lit("")), F.nullif(F.col("date_text"), F.lit("")))
+    got = [(r.s.stage, r.s.date) if r.s else None for r in rows.orderBy("pos").select(parsed.alias("s")).collect()]
+    # cell text joins without a separator, so row 1 has no ' - ' and uses its cells
+    assert got == [("First Reading", "2024-06-05"), ("Select Committee", "2024-07-12"), None]
