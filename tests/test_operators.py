@@ -179,3 +179,15 @@ def test_query_total_matched_and_strict_split(spark):
     ok, rejected = validate.split_strict(validate.validate(bad, RUN))
     assert sorted(r.seq for r in ok.collect()) == [0, 1]
     assert [r.seq for r in rejected.collect()] == [9]
+
+
+def test_with_position_matches_python_sort(spark):
+    from actlens.functions.order import with_position
+
+    rnd = random.Random(11)
+    rows = [(i, rnd.randrange(50), rnd.choice(["a", "b", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, k int, s string").repartition(37)
+    got = {r.seq: r.pos for r in with_position(df, F.col("k").desc(), F.col("s").asc_nulls_last(), F.col("seq"),
+                                               total_col="n").collect()}
+    expect = sorted(rows, key=lambda r: (-r[1], r[2] is None, r[2] or "", r[0]))
+    assert [got[r[0]] for r in expect] == list(range(1, len(rows) + 1))
