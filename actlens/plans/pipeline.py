@@ -2,8 +2,10 @@
 
 convert -> validate -> schema check -> group versions -> label -> schema
 check -> export order.  Stage row counts are collected with
-``DataFrame.observe`` while the single final action runs; a failing stage
-keeps its input (the step is skipped and reported).
+``DataFrame.observe`` below the stage-table writes.  Lost executors are
+handled by Spark's task retries and the stored stage tables; a stage whose
+logic fails fails the run (the reference skips such a stage and keeps its
+input).
 """
 
 from __future__ import annotations
