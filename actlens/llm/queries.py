@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from actlens.llm import decontaminate
+from actlens.llm import decontaminate, language, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_language": language.op2_language,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
 }
