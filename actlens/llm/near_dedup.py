@@ -14,9 +14,11 @@ and every order is sorted as a whole:
 2. The rest.  Regions of ``LEAST`` equal values that still hold several
    components are compared in full, in blocks of bounded size: every node
    outside the region's main component against every node of another
-   component.  Signatures that agree in fewer than ``AGREE`` places are left
-   out (at the threshold, a share of 1e-9 of the pairs), the others are
-   confirmed on the full sets as before.
+   component, once for each pair.  Signatures that agree in fewer than
+   ``AGREE`` places are left out (at the threshold, a share of 1e-8 of the
+   pairs), the others are compared by their sets where they are; of the
+   links that each node has to another component, one per block goes on to
+   be confirmed on the full sets.
 
 So a link is missed only if its two sets share no region in any order:
 at a similarity of 0.75, with probability 2e-6.  No group of copies is ever
@@ -51,7 +53,7 @@ PERCENT = 75
 #: Six standard deviations below the share of equal signature values expected at the threshold.
 AGREE = math.floor(HASHES * (PERCENT / 100 - 6 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / HASHES)))
 #: Rows of a region that are compared with as many others at a time.
-BLOCK = 1024
+BLOCK = 512
 
 _BYTES = 4 * DEPTH
 _WORDS_KEPT = 1 << 19
@@ -246,40 +248,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> (node, items): the size of the set, then 32 bits of each hash, ascending and distinct."""
+    hashes = WordHashes()
+    for batch in batches:
+        items = []
+        for text in binary_column(batch.column(1)):
+            full = shingles(text, hashes)
+            items.append(np.concatenate([[len(full)], np.unique(full >> np.uint64(32))]).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["node", "items"])
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """False only if the full sets are not linked: hashes cut to 32 bits can hide as many shared shingles as
+    collide within a set, and those are counted as shared."""
+    shared = len(x) + len(y) - 2 - len(np.unique(np.concatenate([x[1:], y[1:]])))
+    shared += int(x[0]) - (len(x) - 1) + int(y[0]) - (len(y) - 1)
+    return 100 * shared >= PERCENT * (int(x[0]) + int(y[0]) - shared)
+
+
+def _linked(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Of one block: for each open row (side 0) and other component, one member (side 1) that may be linked.
+    A pair that shares regions in several orders is compared in the first of them."""
+    members = [r for r in rows if r[1]]
+    opened = [r for r in rows if not r[1]]
+    if not members or not opened:
+        return []
+    tree = rows[0][0][0] - 65
+    grid = np.frombuffer(b"".join(r[4] for r in members), np.uint32).reshape(-1, HASHES)
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for _, _, node, component, sig, items, _ in opened:
+        same = grid == np.frombuffer(sig, np.uint32)
+        agree = same.sum(axis=1)
+        near = np.flatnonzero(agree >= AGREE)
+        near = near[same[near].reshape(-1, TREES, DEPTH)[:, :, :LEAST].all(axis=2).argmax(axis=1) == tree]
+        own, joined = np.frombuffer(items, np.uint32), {component}
+        for k in near[np.argsort(-agree[near], kind="stable")].tolist():
+            _, _, other, other_component, _, other_items, other_open = members[k]
+            # a pair of two open rows is met twice
+            if other_component in joined or other_open and other < node:
+                continue
+            if k not in sets:
+                sets[k] = np.frombuffer(other_items, np.uint32)
+            if _may_link(own, sets[k]):
+                joined.add(other_component)
+                out.append((min(node, other), max(node, other)))
+    return out
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key..., side, node, component, sig): open rows (side 0) against members (side 1) of a key."""
-
-    def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        members = [r for r in rows if r[1] == 1]
-        opened = [r for r in rows if r[1] == 0]
-        if not members or not opened:
-            return []
-        grid = np.frombuffer(b"".join(r[4] for r in members), np.uint32).reshape(-1, HASHES)
-        out = []
-        for _, _, node, component, sig in opened:
-            agree = (grid == np.frombuffer(sig, np.uint32)).sum(axis=1)
-            for k in np.flatnonzero(agree >= AGREE).tolist():
-                other = members[k]
-                if other[3] != component:
-                    out.append((min(node, other[2]), max(node, other[2])))
-        return out
+    """Rows (key, side, node, component, sig, items, open) sorted by key -> pairs (a, b)."""
+
+    def rows(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     held: list[tuple] = []
     for batch in batches:
         out: list[tuple[bytes, bytes]] = []
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        for row in zip(*columns):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][0] != row[0]:
-                out += pairs(held)
+                out += _linked(held)
                 held = []
             held.append(row)
-        out = list(dict.fromkeys(out))
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-    last = list(dict.fromkeys(pairs(held)))
-    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in last], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        yield rows(out)
+    if held:
+        yield rows(_linked(held))
 
 
-def open_candidates(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def open_candidates(nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates (a, b) of different components within regions of LEAST equal values."""
     labelled = nodes.join(labels, "node", "left").select(
         "node", "sig", F.coalesce("component", "node").alias("component"))
@@ -292,19 +329,19 @@ def open_candidates(nodes: DataFrame, labels: DataFrame) -> DataFrame:
         .where("parts > 1")
         .select("region", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
                 F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("open_blocks")))
-    found = stored(rows.join(mixed, "region"), "mixed-regions")
-    sig = nodes.select("node", "sig")
+    found = stored(rows.join(mixed, "region").withColumn("open", F.col("component") != F.col("main")), "mixed-regions")
+    items = stored(texts.mapInArrow(_compact, "node binary, items binary"), "compact-sets")
+    payload = nodes.join(items, "node").select("node", "sig", "items")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = found.withColumn("block", block("blocks")).withColumn("open_block", every("open_blocks")).withColumn("side", F.lit(1))
-    opened = found.where("component <> main").withColumn("open_block", block("open_blocks")).withColumn(
-        "block", every("blocks")).withColumn("side", F.lit(0))
-    names = ["region", "block", "open_block", "side", "node", "component"]
-    dealt = members.select(*names).unionByName(opened.select(*names)).join(sig, "node")
+    names = ["region", "block", "open_block", "side", "node", "component", "open"]
+    members = found.withColumn("block", block("blocks")).withColumn("open_block", every("open_blocks"))
+    opened = found.where("open").withColumn("open_block", block("open_blocks")).withColumn("block", every("blocks"))
+    dealt = members.withColumn("side", F.lit(1)).select(*names).unionByName(
+        opened.withColumn("side", F.lit(0)).select(*names)).join(payload, "node")
     keyed = dealt.select(F.concat("region", F.encode(F.concat_ws(" ", "block", "open_block"), "utf-8")).alias("key"),
-                         "side", "node", "component", "sig")
-    return keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(
-        _compare, "a binary, b binary").distinct()
+                         "side", "node", "component", "sig", "items", "open")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -324,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("node", "text").dropDuplicates(["node"]), "candidate-texts")
     checked = confirmed(near.where("a < b"), texts, "checked")
     labels = components(checked.where("linked"))
-    rest = open_candidates(nodes, labels).join(checked, ["a", "b"], "left_anti")
+    rest = open_candidates(nodes, labels, texts).join(checked, ["a", "b"], "left_anti")
     again = confirmed(rest, texts, "checked-rest")
     more = again.where("linked")
     if not more.isEmpty():
