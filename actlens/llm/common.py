@@ -62,19 +62,21 @@ def u64(value: int) -> np.uint64:
     return np.uint64(value & 0xFFFFFFFFFFFFFFFF)
 
 
+_S30, _S27, _S31, _S11 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(11)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers that scatters them."""
     with np.errstate(over="ignore"):
-        x = x ^ (x >> u64(30))
-        x = x * u64(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> u64(27))
-        x = x * u64(0x94D049BB133111EB)
-        return x ^ (x >> u64(31))
+        x = (x ^ (x >> _S30)) * _M1
+        x = (x ^ (x >> _S27)) * _M2
+        return x ^ (x >> _S31)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashed 64-bit integers."""
-    return ((mix64(x) >> u64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mix64(x) >> _S11).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def broadcast_rows(spark: SparkSession, df: DataFrame, limit: int, what: str) -> list:

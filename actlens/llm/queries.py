@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from actlens.llm import decontaminate, language, near_dedup, substring_dedup
+from actlens.llm import (chat, decontaminate, language, lattice, near_dedup, substring_dedup, token_files, warc)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language": language.op2_language,
+    "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_chat": chat.op7_chat,
+    "op8_token_files": token_files.op8_token_files,
+    "op9_sampled_pieces": lattice.op9_sampled_pieces,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
+    "op7_chat": chat.ORACLE,
 }
