@@ -1,12 +1,14 @@
 """Distributed total order with consecutive positions.
 
 ``row_number()`` over an un-partitioned window moves every row into one
-task.  Instead: one global sort (range-partitioned, parallel), a
-``monotonically_increasing_id`` that is order-preserving across the sorted
-partitions, a per-partition row count (one row per partition -- bounded by
-the partition count, not the data), and a broadcast of the running offsets.
-The sort exchange is shared by both branches (exchange reuse), so the data
-is sorted once.
+task.  Instead the rows are range-partitioned and sorted once, and each row
+gets its partition and its place there *as data* before the table is written
+to the shared folder.  What follows reads that stored table, so all of it
+sees the same partitions: the row counts (one row per partition, bounded by
+the partition count) become running offsets, which are broadcast.  A
+partition without an offset fails the query instead of losing rows.
+
+Callers that need an order but no position use ``orderBy`` alone.
 """
 
 from __future__ import annotations
@@ -14,20 +16,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.session import materialize
+
 _LOW_BITS = (1 << 33) - 1
 
 
 def with_position(df: DataFrame, *order: Column | str, pos_col: str = "pos",
                   total_col: str | None = None) -> DataFrame:
-    """Sort by ``order`` and add ``pos`` (1-based, consecutive, stable);
+    """Sort by ``order`` and add ``pos`` (1-based, consecutive);
     ``total_col`` adds the row total (taken from the per-partition counts)."""
-    sorted_df = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    sorted_df = sorted_df.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "_pid": F.spark_partition_id(),
+        "_idx": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)),
+    })
+    held = materialize(placed, "ordered")
+    counts = held.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_n").over(Window.partitionBy()).cast("long").alias(total_col)] if total_col else []
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
-    out = sorted_df.join(F.broadcast(offsets), "_pid").withColumn(
-        pos_col, (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1).cast("long")
-    )
-    return out.drop("_mid", "_pid", "_off")
+    start = F.coalesce("_off", F.raise_error(F.lit("a partition has no offset")).cast("long"))
+    out = held.join(F.broadcast(offsets), "_pid", "left").withColumn(pos_col, (start + F.col("_idx") + 1).cast("long"))
+    return out.drop("_idx", "_pid", "_off")
