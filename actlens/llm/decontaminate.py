@@ -289,6 +289,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a word inside any occurrence of a benchmark window.  Columns stay; rows with equal
+    doc_id are one document here, and go if any of them has such a word."""
+    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hits = phrase_hits(build_index(key), benchmark).where("n_hit > 0").select(
+        F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")), "left_anti")
+
+
 ORACLE = r"""
 WITH lowered AS (
   SELECT doc_id, regexp_extract_all(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from actlens.llm import (chat, decontaminate, language, lattice, near_dedup, substring_dedup, token_files, warc)
+from actlens.llm import (chat, decontaminate, extract, fingerprint, language, lattice, near_dedup, substring_dedup, token_files, warc)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language": language.op2_language,
+    "op3_main_text": extract.op3_main_text,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_chat": chat.op7_chat,
