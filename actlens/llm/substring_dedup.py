@@ -3,13 +3,14 @@
 A gear rolling hash over the last 16 bytes cuts each text wherever its value
 falls below a threshold, on average every ``MEAN_CHUNK`` bytes.  A cut depends
 on those 16 bytes alone, so an insertion moves no cut further away and equal
-passages are cut alike in every document.  The unit of deduplication is the
+passages are cut alike in every document; in long stretches without a cut,
+such as periodic text, a looser threshold cuts.  The unit of deduplication is the
 digest of ``RUN`` consecutive chunks.  A unit that occurs in several documents
 belongs to the one with the smallest doc_id; in the others, adjoining or
 overlapping repeated units are merged, trimmed to whole words and removed if
 they hold ``MIN_WORDS`` words (or, without white space, ``MIN_BYTES`` bytes).
 At the default sizes a repeated passage of over 50 words loses all but a few
-words at its edges; 2 in 1000 such passages hold too few cuts to be found.
+words at its edges.
 
 The documents are stored in segments of about ``SEGMENT_BYTES`` of text.
 Each segment sends one entry for each distinct unit, however often it holds
@@ -38,8 +39,10 @@ from pyspark.sql import types as T
 
 from actlens.llm.common import binary_column, mix64, stored, table, task_segments, unused_name
 
-MEAN_CHUNK = 24
-RUN = 2
+MEAN_CHUNK = 16
+RUN = 3
+#: In stretches longer than this without a cut, the threshold rises fourfold, twice.
+LONG_CHUNK = 64
 MIN_WORDS = 12
 MIN_BYTES = 256
 SEGMENT_BYTES = 4 << 20
@@ -47,7 +50,7 @@ SEGMENT_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
-_CUT = np.uint16(65536 // MEAN_CHUNK)
+_CUT = 65536 // MEAN_CHUNK
 _LAST_ID = np.iinfo(np.int64).max
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -61,7 +64,19 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     cut = h < _CUT
     cut[1:] &= ~cut[:-1]
     ends = np.flatnonzero(cut) + 1
-    return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+    ends = ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+    for looser in (4, 16):
+        starts = np.concatenate([[0], ends[:-1]])
+        long = np.flatnonzero(ends - starts > LONG_CHUNK)
+        if not len(long):
+            break
+        more = [ends]
+        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+            cut = h[a:b] < _CUT * looser
+            cut[1:] &= ~cut[:-1]
+            more.append(np.flatnonzero(cut) + a + 1)
+        ends = np.unique(np.concatenate(more))
+    return ends
 
 
 def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
