@@ -28,7 +28,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +54,9 @@ _SCALE = np.uint64(SCALE_BITS)
 _WORD = np.uint64(32)
 _ROOM = np.uint64(31 - SCALE_BITS + 32)
 _CACHED = 1 << 20
+_GROUP = 256
+#: A space in the byte-level alphabet.
+_SPACE = "\u0120"
 
 class Encoder:
     """The library's encoding of texts; words with the space before them are encoded once and remembered.
@@ -67,6 +72,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        names = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith(_SPACE)]] = True
         #: ids of first words, and of words after a space; None where the text must go whole
         self.known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
 
@@ -75,12 +83,31 @@ class Encoder:
         if len(known) + len(new) > _CACHED:
             known.clear()
             new = list(words)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([space + w for w in new], add_special_tokens=False)):
-            apart = word and not word[-1].isspace() and (space or not word[0].isspace())
-            known[word] = np.array(found.ids, self.dtype).tobytes() if apart else None
+        apart = [w for w in new if w and not w[-1].isspace() and (space or not w[0].isspace())]
+        known.update(dict.fromkeys(new))
+        if not space:
+            for word, found in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
+                known[word] = self._packed(found.ids)
+            return
+        # many words in one call: a token that begins with a space begins a word
+        groups = [apart[k:k + _GROUP] for k in range(0, len(apart), _GROUP)]
+        size = self.dtype.itemsize
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(
+                [" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            starts = np.flatnonzero(self.begins[ids]) * size
+            if len(starts) != len(group) or any(s in w for w in group for s in self.special):
+                for word in group:
+                    known[word] = self._whole(" " + word)
+                continue
+            packed, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * size]
+            known.update(zip(group, [packed[a:b] for a, b in zip(starts.tolist(), ends)]))
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
@@ -90,18 +117,24 @@ class Encoder:
         first, later = (d.__getitem__ for d in self.known)
         out = []
         for text, words in zip(texts, split):
-            if not any(s in text for s in self.special):
-                parts = [first(words[0]), *map(later, words[1:])]
-                if None not in parts:
-                    out.append(b"".join(parts))
-                    continue
-            out.append(self._whole(text))
+            try:
+                if any(s in text for s in self.special):
+                    raise TypeError
+                out.append(first(words[0]) + b"".join(map(later, words[1:])))
+            except TypeError:  # a word without ids of its own
+                out.append(self._whole(text))
         return out
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that words are learned once."""
+    return Encoder(path)
+
+
 def _tokenised(path: str, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         numbers = task_segments()
         ids: list = []
