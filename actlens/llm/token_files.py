@@ -44,7 +44,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
-LANES = 64
+LANES = 256
 SCALE_BITS = 20
 
 _HEAD = struct.Struct("<4sIIHHIQ")
@@ -112,15 +112,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         split = [text.split(" ") for text in texts]
-        self._learn({words[0] for words in split}, "", self.known[0])
-        self._learn(set().union(*(words[1:] for words in split)), " ", self.known[1])
+        heads = [words.pop(0) for words in split]
+        self._learn(set(heads), "", self.known[0])
+        self._learn(set().union(*split), " ", self.known[1])
         first, later = (d.__getitem__ for d in self.known)
         out = []
-        for text, words in zip(texts, split):
+        for text, head, words in zip(texts, heads, split):
             try:
                 if any(s in text for s in self.special):
                     raise TypeError
-                out.append(first(words[0]) + b"".join(map(later, words[1:])))
+                out.append(first(head) + b"".join(map(later, words)))
             except TypeError:  # a word without ids of its own
                 out.append(self._whole(text))
         return out
@@ -244,17 +245,22 @@ def encode_shard(ids: np.ndarray, doc_ids: list, counts: list[int], freq: np.nda
     state = np.full((len(sizes), lanes), _LOW, np.uint64)
     words = np.zeros((len(sizes), steps, lanes), np.uint32)
     given = np.zeros((len(sizes), steps, lanes), bool)
+    full = min(sizes, default=0) // lanes  # steps in which every lane of every block has an id
     for step in range(steps - 1, -1, -1):
         symbol = grid[:, step]
-        live = symbol >= 0
-        at = np.where(live, symbol, 0)
-        own = np.where(live, f[at], np.uint64(1))
-        out = live & (state >= own << _ROOM)
-        words[:, step] = state.astype(np.uint32)
+        live = None if step < full else symbol >= 0
+        at = symbol if live is None else np.where(live, symbol, 0)
+        own = f[at] if live is None else np.where(live, f[at], np.uint64(1))
+        out = state >= own << _ROOM
+        if live is not None:
+            out &= live
+        words[:, step] = state  # the low half
         given[:, step] = out
-        x = np.where(out, state >> _WORD, state)
+        x = state.copy()
+        x[out] >>= _WORD
         q = x // own
-        state = np.where(live, (q << _SCALE) + (x - q * own) + cum[at], x)
+        coded = (q << _SCALE) + (x - q * own) + cum[at]
+        state = coded if live is None else np.where(live, coded, x)
     head = _HEAD.pack(b"RNS1", len(doc_ids), len(sizes), lanes, SCALE_BITS, zlib.crc32(freq.astype("<u4").tobytes()), len(ids))
     parts = [head, np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
              np.array([d is not None for d in doc_ids], "u1").tobytes(), np.array(counts, "<u4").tobytes()]
@@ -297,25 +303,31 @@ def decode_shard(content: bytes, table_: Table, only: list[int] | None = None) -
     heads, states, offsets = [heads[k] for k in chosen], [states[k] for k in chosen], [offsets[k] for k in chosen]
     steps = max((-(-h[0] // lanes) for h in heads), default=0)
     longest = max((h[1] for h in heads), default=0)
-    stream = np.zeros((len(heads), longest + lanes), np.uint64)
+    stream = np.zeros((len(heads), longest + 1), np.uint64)
     for k, h in enumerate(heads):
         stream[k, :h[1]] = np.frombuffer(content, "<u4", h[1], offsets[k])
     state = np.array(states, np.uint64).reshape(len(heads), lanes)
     sizes = np.array([h[0] for h in heads], np.int64)[:, None]
+    full = int(sizes.min()) // lanes if len(heads) else 0
     out = np.zeros((len(heads), steps, lanes), np.int32)
-    read = np.zeros((len(heads), 1), np.int64)
+    read = np.zeros(len(heads), np.int64)
     lane = np.arange(lanes)
     for step in range(steps):
-        live = step * lanes + lane < sizes
         slot = state & _MASK
-        symbol = table_.symbol[slot.astype(np.int64)]
+        symbol = table_.symbol[slot.view(np.int64)]
         out[:, step] = symbol
         x = table_.freq[symbol] * (state >> _SCALE) + slot - table_.cum[symbol]
-        take = live & (x < _LOW)
-        place = read + np.cumsum(take, axis=1) - take
-        word = np.take_along_axis(stream, place, axis=1)
-        state = np.where(live, np.where(take, (x << _WORD) | word, x), state)
-        read += take.sum(axis=1, keepdims=True)
+        take = x < _LOW
+        if step >= full:
+            live = step * lanes + lane < sizes
+            x = np.where(live, x, state)
+            take &= live
+        row, column = np.nonzero(take)
+        counts_read = np.bincount(row, minlength=len(heads))
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(counts_read) - counts_read, counts_read)
+        x[row, column] = (x[row, column] << _WORD) | stream[row, read[row] + rank]
+        state = x
+        read += counts_read
     blocks = [o.ravel()[:h[0]] for o, h in zip(out, heads)]
     for block, h in zip(blocks, heads):
         if zlib.crc32(block.astype("<u4").tobytes()) != h[2]:
