@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm.common import binary_column, numbering, stored, table, task_segments, typed_batch
+from actlens.llm.common import binary_column, numbering, stored, table, task_segments, typed_batch, unused_name
 
 SEGMENT_WORDS = 1 << 20
 BLOCK_BYTES = 8 << 20
@@ -294,9 +294,10 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     """The documents without a word inside any occurrence of a benchmark window.  Columns stay; rows with equal
     doc_id are one document here, and go if any of them has such a word."""
     key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hit_id = unused_name(docs, "hit_id")
     hits = phrase_hits(build_index(key), benchmark).where("n_hit > 0").select(
-        F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")), "left_anti")
+        F.col("doc_id").alias(hit_id)).distinct()
+    return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col(hit_id)), "left_anti")
 
 
 ORACLE = r"""

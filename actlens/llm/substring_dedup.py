@@ -277,7 +277,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without repeated passages; a text of which white space alone is left goes with its row.
     n_chars becomes the length of the text that stays, other columns stay."""
     cut = without_repeats(docs)
-    spans = next(c for c in reversed(cut.columns) if c.startswith("spans"))
+    spans = cut.columns[-2]
     left = cut.where((F.size(F.col(spans)) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     changed = F.size(F.col(spans)) > 0
     if "n_chars" in docs.columns:
