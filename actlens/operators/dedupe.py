@@ -31,14 +31,13 @@ def _keys(df: DataFrame) -> DataFrame:
     })
 
 
-def greedy_dedupe(df: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def greedy_dedupe(df: DataFrame) -> DataFrame:
     """Rows kept by the sequential scan (all columns of ``df``)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     cols = df.columns
     undecided = _keys(df).select("seq", "_ku", "_kt")
     out_path = scratch_path(spark, "greedy-kept")
-    rounds = 0
     while True:
         first_u = undecided.groupBy("_ku").agg(F.min("seq").alias("_mu"))
         first_t = undecided.groupBy("_kt").agg(F.min("seq").alias("_mt"))
@@ -49,22 +48,7 @@ def greedy_dedupe(df: DataFrame, max_rounds: int | None = None) -> DataFrame:
         kept.select("seq").write.mode("append").parquet(out_path)
         undecided = materialize(undecided.join(kept.select("_ku"), "_ku", "left_anti")
                                 .join(kept.select("_kt"), "_kt", "left_anti"), "greedy-undecided")
-        rounds += 1
-        if undecided.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if undecided.isEmpty():
             break
     kept_seq = spark.read.parquet(out_path)
     return df.join(kept_seq, "seq", "left_semi").select(*cols)
-
-
-def greedy_dedupe_reference(rows: list[tuple]) -> list:
-    """Plain sequential scan over (seq, url, title, date) tuples -- the test oracle."""
-    seen_u, seen_t, keep = set(), set(), []
-    for seq, url, title, date in sorted(rows):
-        u = url if url is not None else ""
-        t = f"{title}_{date}"
-        if u in seen_u or t in seen_t:
-            continue
-        seen_u.add(u)
-        seen_t.add(t)
-        keep.append(seq)
-    return keep

@@ -33,21 +33,19 @@ def minhash_buckets(df: DataFrame, bands: int = 8, rows: int = 2) -> DataFrame:
     return df.select("seq", F.explode(F.array(*keys)).alias("bucket"))
 
 
-def components(buckets: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def components(buckets: DataFrame) -> DataFrame:
     """(seq, cluster): cluster = smallest seq reachable through shared buckets."""
     spark = buckets.sparkSession
     checkpoint_dir(spark)
     buckets = materialize(buckets, "buckets")
     label = buckets.select("seq").distinct().withColumn("cluster", F.col("seq"))
-    rounds = 0
     while True:
         per_bucket = buckets.join(label, "seq").groupBy("bucket").agg(F.min("cluster").alias("bmin"))
         new = materialize(buckets.join(per_bucket, "bucket").groupBy("seq").agg(F.min("bmin").alias("cluster")),
                           "components")
         moved = new.join(label.withColumnRenamed("cluster", "old"), "seq").filter(F.col("cluster") < F.col("old"))
         label = new
-        rounds += 1
-        if moved.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if moved.isEmpty():
             return label
 
 

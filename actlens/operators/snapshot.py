@@ -45,17 +45,18 @@ def has_changes(diff: DataFrame) -> bool:
 
 
 def write_snapshot(df: DataFrame, path: str, run_ts: dt.datetime) -> None:
-    """O.19: append a snapshot partitioned by run date and source system;
-    earlier runs stay readable."""
-    (df.withColumn("run_date", F.lit(run_ts.strftime("%Y-%m-%d")))
-       .write.mode("append").partitionBy("run_date", "source_system").parquet(path))
+    """O.19: add a snapshot partitioned by run date, run and source system;
+    earlier runs stay readable, a run that is repeated replaces itself."""
+    (df.withColumns({"run_date": F.lit(run_ts.strftime("%Y-%m-%d")), "run": F.lit(run_ts.strftime("run%Y%m%dT%H%M%S%f"))})
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("run_date", "run", "source_system").parquet(path))
 
 
 def latest_snapshot(spark, path: str) -> DataFrame:
-    """Rows of the newest ``run_date`` (partition-pruned read)."""
+    """Rows of the newest run (partition-pruned read)."""
     snaps = spark.read.parquet(path)
-    last = snaps.agg(F.max("run_date").alias("run_date"))
-    return snaps.join(F.broadcast(last), "run_date")  # one-row side
+    last = snaps.agg(F.max("run").alias("run"))
+    return snaps.join(F.broadcast(last), "run").drop("run")  # one-row side
 
 
 def last_change(history: DataFrame, key: str = "id") -> DataFrame:

@@ -1109,7 +1109,7 @@ def _convert_parts(spark, sf):
         F.lit(None).cast("int").alias("parliament_number"), F.lit(None).cast("string").alias("summary"))
     rel = fd.release_items(r.filter(F.col("source_system") == "BEEHIVE").select(
         "seq", "title", "url", "published", F.col("body").alias("summary"),
-        F.when(F.col("tags").isNull(), F.array().cast("array<string>")).otherwise(F.split("tags", r"\\|")).alias("tags")),
+        F.when(F.col("tags").isNull(), F.array().cast("array<string>")).otherwise(F.split("tags", r"\|")).alias("tags")),
         "releases", RUN_TS)
     rel = bld.keep_valid_release(bld.enhance_release(rel))
     return {"LEGISLATION": acts, "GAZETTE": notices, "PARLIAMENT": bills, "BEEHIVE": rel}

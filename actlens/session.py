@@ -7,8 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults for tests and the local bench.  On a cluster the submitter's
-# settings win: ``getOrCreate`` returns the existing session untouched.
+# Defaults for tests and the local bench, set on a local master alone.
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
@@ -26,11 +25,18 @@ _LOCAL_CONF = {
 
 
 def get_spark(master: str | None = None, app: str = "actlens") -> SparkSession:
-    builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or os.environ.get("ACTLENS_MASTER", "local[*]"))
-    for key, value in _LOCAL_CONF.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    """The active session as it is, one as spark-submit has set it up, or a new local one with local defaults."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName(app)
+        submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+        master = master or os.environ.get("ACTLENS_MASTER") or (None if submitted else "local[*]")
+        if master:
+            builder = builder.master(master)
+            if master.startswith("local"):
+                for key, value in _LOCAL_CONF.items():
+                    builder = builder.config(key, value)
+        spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
@@ -40,13 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there).  Only when it is unset -- local tests -- a
-    scratch folder is created and registered.
+    shared folder there).  Only when it is unset on a local master -- tests
+    -- a scratch folder is created and registered; elsewhere executors would
+    write to disks of their own, so an unset folder is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="actlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -54,6 +63,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def is_local(master: str) -> bool:
+    return master.split("[")[0] == "local"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from actlens import rules
 
+_SALTS = 64
+
 
 def first_nonempty(df: DataFrame, source_col: str = "source_system", tier_col: str = "tier") -> DataFrame:
     """O.12: per source, keep the rows of the first (lowest) tier that has rows."""
@@ -30,13 +32,17 @@ def union_sources(*parts: tuple[str, DataFrame]) -> DataFrame:
 def limit_per_source(df: DataFrame, n: int | None, order: str = "seq", source_col: str = "source_system") -> DataFrame:
     """O.14: first ``n`` rows per source in arrival order; None or 0 = no limit.
 
-    ``row_number() <= n`` is planned as a window-group limit: each task keeps
-    only its top ``n`` per source before the shuffle, so a source holding a
-    third of all rows moves at most ``n`` rows per task."""
+    Two steps for any ``n``: a source's rows are dealt over ``_SALTS`` groups,
+    each of which keeps its first ``n``, and the first ``n`` of those stay.  A
+    source holding a third of all rows so reaches one task with at most
+    ``_SALTS * n`` of them."""
     if not n:
         return df
-    w = Window.partitionBy(source_col).orderBy(F.col(order))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(_SALTS)))
+    for group in ([source_col, "_salt"], [source_col]):
+        w = Window.partitionBy(*group).orderBy(F.col(order))
+        salted = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return salted.drop("_salt")
 
 
 def enrich_from_detail(listing: DataFrame, detail: DataFrame, key: str = "url") -> DataFrame:

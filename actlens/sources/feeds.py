@@ -58,19 +58,21 @@ def read_release_feed(spark: SparkSession, path: str, feed_type: str, run_ts: dt
 def release_items(items: DataFrame, feed_type: str, run_ts: dt.datetime, entity: str | None = None) -> DataFrame:
     """Feed item rows (seq, title, url, published, summary, tags) -> raw release
     items.  ``entity`` names a column that overrides the person found in the
-    text (per-person feeds)."""
+    text (per-person feeds); those items have no portfolio, and a date that
+    can't be read stays empty."""
     title, url = F.col("title"), F.col("url")
     person = bld.person_in_text(F.coalesce("summary", F.lit("")), title)
     if entity is not None:
         person = F.col(entity)
     date = F.coalesce(F.date_format(rfc2822_date(F.col("published")), "yyyy-MM-dd"),
-                      normalise_date(F.col("published"), "release"), F.lit(run_ts.strftime("%Y-%m-%d")))
+                      normalise_date(F.col("published"), "release"),
+                      F.lit(run_ts.strftime("%Y-%m-%d") if entity is None else None))
     return items.filter(nonempty(title).isNotNull() & nonempty(url).isNotNull()).select(
         "seq", "title", "url", date.alias("date"), F.coalesce("summary", F.lit("")).alias("summary"),
         F.lit("BEEHIVE").alias("source_system"),
         bld.feed_doc_type(F.lit(feed_type)).alias("document_type"),
         person.alias("primary_entity"),
-        bld.portfolio_from_feed(F.col("tags"), title).alias("portfolio"),
+        (bld.portfolio_from_feed(F.col("tags"), title) if entity is None else F.lit(None).cast("string")).alias("portfolio"),
     )
 
 

@@ -4,8 +4,8 @@ An addition to the reference (which re-reads everything nightly): a
 Structured Streaming job over a landing folder of JSON-lines raw items with
 an explicit schema.  ``trigger(availableNow=True)`` processes whatever has
 landed and stops, so a nightly scheduler gets exactly-once, incremental
-runs from the checkpoint.  Re-delivered items (same URL) inside the
-watermark are dropped; each micro-batch is converted, validated and
+runs from the checkpoint.  Re-delivered items (same id and content) inside
+the watermark are dropped, different items that share a URL stay; each micro-batch is converted, validated and
 labelled, then written to its own ``batch_id=N`` directory of the output
 table (idempotent when a batch is retried).
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from actlens.operators import labels as lab
 from actlens.operators import validate as val
@@ -32,8 +33,10 @@ def ingest_incremental(spark: SparkSession, landing: str, output: str, checkpoin
                        run_ts: dt.datetime, watermark: str = "1 day"):
     """Start (and wait for) one availableNow run; returns the finished query."""
     stream = (spark.readStream.schema(RAW_ACTION_SCHEMA).option("maxFilesPerTrigger", 64).json(landing)
+              .withColumn("_content", F.xxhash64("title", "date", "source_system", "url", "primary_entity", "summary",
+                                                 "labels", "metadata", "version", "base_id"))
               .withWatermark("landed_at", watermark)
-              .dropDuplicatesWithinWatermark(["url"]))
+              .dropDuplicatesWithinWatermark(["id", "_content"]).drop("_content"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # idempotent: a micro-batch re-run after a failure overwrites its own

@@ -121,17 +121,19 @@ def test_incremental_stream(spark):
     spark.createDataFrame(first, cols).write.json(landing)
     incremental.ingest_incremental(spark, landing, out, ckpt, RUN)
     assert spark.read.parquet(out).count() == 4
-    # second drop: two new items and one re-delivered URL; only new files are read
+    # second drop: two new items, a different one that shares a URL, one delivered again; only new files are read
     second = [(10, base["id"], "Housing 10", base["date"], base["source_system"], "https://a.nz/10", "s",
                dt.datetime(2025, 12, 16)),
               (11, base["id"], "Housing 11", base["date"], base["source_system"], "https://a.nz/11", "s",
                dt.datetime(2025, 12, 16)),
               (12, base["id"], "Housing again", base["date"], base["source_system"], "https://a.nz/11", "s",
+               dt.datetime(2025, 12, 16)),
+              (13, base["id"], "Housing 11", base["date"], base["source_system"], "https://a.nz/11", "s",
                dt.datetime(2025, 12, 16))]
     spark.createDataFrame(second, cols).write.mode("append").json(landing)
     incremental.ingest_incremental(spark, landing, out, ckpt, RUN)
     got = spark.read.parquet(out)
-    assert got.count() == 6
+    assert got.count() == 7
     assert got.filter(F.col("url") == "https://a.nz/11").count() == 1
     assert all("Housing" in r.labels for r in got.collect())
 
