@@ -491,5 +491,6 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The sampled segmentations of the documents that are left."""
-    return sampled(docs)
+    """The sampled segmentations of the documents that are left.  Blocks are smaller than elsewhere, as their ids
+    are held until they are sent."""
+    return sampled(docs, block_chars=BLOCK_CHARS // 4)
