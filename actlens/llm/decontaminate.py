@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from actlens.llm.common import binary_column, numbering, stored, table, task_segments, typed_batch, unused_name
 
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 19
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
 
