@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from actlens import rules
 from actlens.functions.order import with_position
+from actlens.session import materialize
 
 # Whitespace as JavaScript's ``String.prototype.trim`` sees it.
 JS_WS = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
@@ -124,17 +125,33 @@ def validate_state(query=None, source=None, labels=None, order=None) -> tuple[st
     return q, s, ls, o
 
 
+def matches(df: DataFrame, text: str = "", source: str = "ALL", labels: list[str] | None = None,
+            cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """The rows of a query without their order.  The source filter comes first:
+    it prunes a stored table's directories, and over unstored labels it moves
+    below the labelling, so only that source's rows are labelled."""
+    return filter_labels(search(filter_source(df, source), text, cfg), labels)
+
+
 def query(df: DataFrame, text: str = "", source: str = "ALL", labels: list[str] | None = None,
-          order: str = "newest", cfg: SearchConfig = SearchConfig(), total_col: str | None = None) -> DataFrame:
+          order: str = "newest", cfg: SearchConfig = SearchConfig(), total_col: str | None = None,
+          columns: list[str] | None = None) -> DataFrame:
     """O.69: search -> source -> labels -> sort; rows carry ``pos`` (and the
-    number of matched rows in ``total_col`` when given)."""
+    number of matched rows in ``total_col`` when given).  ``columns`` narrows
+    the matched rows (``seq`` and ``date`` stay, the order needs them)."""
     text, source, labels, order = validate_state(text, source, labels, order)
-    out = filter_source(df, source)  # cheapest, pruning predicate first
-    out = search(out, text, cfg)
-    out = filter_labels(out, labels)
+    out = _stored(matches(df, text, source, labels, cfg), columns)
     return sort_by_date(out, order, total_col=total_col)
 
 
+def _stored(matched: DataFrame, columns: list[str] | None) -> DataFrame:
+    """The matched rows alone, stored: the sort's sampling pass would
+    otherwise label and search the whole input a second time."""
+    if columns is not None:
+        matched = matched.select(*dict.fromkeys(["seq", "date", *columns]))
+    return materialize(matched, "matched")
+
+
 def query_with_total(df: DataFrame, *args, **kwargs) -> DataFrame:
     """``query`` whose rows also carry ``total_matched``: exact, taken from the
     per-partition counts of the ordering step (an ``observe`` metric would be
@@ -142,11 +159,11 @@ def query_with_total(df: DataFrame, *args, **kwargs) -> DataFrame:
     return query(df, *args, total_col="total_matched", **kwargs)
 
 
-def feed_view(df: DataFrame, source: str = "ALL", label: str | None = None) -> DataFrame:
+def feed_view(df: DataFrame, source: str = "ALL", label: str | None = None,
+              columns: list[str] | None = None) -> DataFrame:
     """O.22: the feed of all actions, by source, label or both, newest first."""
-    out = filter_source(df, source)
-    out = filter_labels(out, [label] if label else [])
-    return sort_by_date(out, "newest")
+    out = filter_labels(filter_source(df, source), [label] if label else [])
+    return sort_by_date(_stored(out, columns), "newest")
 
 
 def source_view(df: DataFrame, source: str) -> DataFrame:

@@ -36,14 +36,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.assign_labels(adapter.actions(spark, sf_dir))
 
 
-def labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled actions as a stored table (what the query side reads):
-    labels are computed once, and a global sort's sampling pass scans the
-    table instead of recomputing them."""
-    from actlens.session import materialize
-    return materialize(labelled(spark, sf_dir), "labelled", partition_by=["source_system"])
-
-
 def _labels_str(c: str = "labels"):
     return F.array_join(c, "|").alias(c)
 
@@ -192,27 +184,28 @@ for _name, (_needle, _kw) in _SEARCH_CASES.items():
     f"CAST(row_number() OVER (ORDER BY {_DATE_KEY} DESC NULLS LAST, seq) AS BIGINT) AS pos FROM s "
     f"WHERE source_system = 'PARLIAMENT' AND {_search_sql('housing')} AND list_has_any(labels, ['Housing'])"))
 def q_query(spark, sf):
-    return srch.query(labelled_table(spark, sf), "housing", "PARLIAMENT", ["Housing"], "newest").select("seq", "id", "pos")
+    return srch.query(labelled(spark, sf), "housing", "PARLIAMENT", ["Housing"], "newest",
+                      columns=["id"]).select("seq", "id", "pos")
 
 
 @register("query_oldest_two_labels", o.with_labelled(
     f"SELECT seq, id, CAST(row_number() OVER (ORDER BY {_DATE_KEY} ASC NULLS LAST, seq) AS BIGINT) AS pos "
     f"FROM lab WHERE list_has_any(labels, ['Health', 'Tax'])"))
 def q_query_oldest(spark, sf):
-    return srch.query(labelled_table(spark, sf), "", "ALL", ["Health", "Tax"], "oldest").select("seq", "id", "pos")
+    return srch.query(labelled(spark, sf), "", "ALL", ["Health", "Tax"], "oldest", columns=["id"]).select("seq", "id", "pos")
 
 
 @register("query_bad_params", o.with_labelled(
     f"SELECT seq, CAST(row_number() OVER (ORDER BY {_DATE_KEY} DESC NULLS LAST, seq) AS BIGINT) AS pos FROM lab"))
 def q_query_bad(spark, sf):
-    return srch.query(labelled_table(spark, sf), None, "NOWHERE", "Health", "sideways").select("seq", "pos")
+    return srch.query(labelled(spark, sf), None, "NOWHERE", "Health", "sideways", columns=[]).select("seq", "pos")
 
 
 @register("feed_view", o.with_labelled(
     f"SELECT seq, id, CAST(row_number() OVER (ORDER BY {_DATE_KEY} DESC NULLS LAST, seq) AS BIGINT) AS pos "
     f"FROM lab WHERE source_system = 'GAZETTE' AND list_has_any(labels, ['Justice'])"))
 def q_feed_view(spark, sf):
-    return srch.feed_view(labelled_table(spark, sf), "GAZETTE", "Justice").select("seq", "id", "pos")
+    return srch.feed_view(labelled(spark, sf), "GAZETTE", "Justice", columns=["id"]).select("seq", "id", "pos")
 
 
 # ------------------------------------------------------------------ shared
@@ -1244,7 +1237,7 @@ def q_date_profiles(spark, sf):
 @register("write_feed")
 def q_write_feed(spark, sf):
     path = scratch_path(spark, "feed")
-    snap.write_feed(srch.feed_view(labelled_table(spark, sf), "ALL", "Housing"), path)
+    snap.write_feed(srch.feed_view(labelled(spark, sf), "ALL", "Housing"), path)
     return (spark.read.format("xml").option("rowTag", "item")
             .schema("title string, link string, pubDate string, description string, category array<string>").load(path))
 
