@@ -49,7 +49,8 @@ def _matches(value: Column, query: str, cfg: SearchConfig, numeric: bool = False
     """O.68: one field test; NULL, empty string or numeric 0 never matches."""
     q = _js_trim_py(query)
     v = value.cast("string")
-    norm = _js_trim(v)
+    # the needle is trimmed, so the ends of a field matter to an exact match alone
+    norm = _js_trim(v) if cfg.exact_match else v
     if not cfg.case_sensitive:
         norm = F.lower(norm)
         q = q.lower()
