@@ -1155,9 +1155,33 @@ from actlens.operators import similar as sim  # noqa: E402
 from actlens.streaming import incremental as inc  # noqa: E402
 
 
-@register("similar_titles")
+# Titles that grow by a word from block to block (chains of links) and one day in two formats.
+_NEAR_TITLE = """concat(title, CASE CAST(floor(seq / 156) AS BIGINT) % 4
+  WHEN 0 THEN '' WHEN 1 THEN 's' WHEN 2 THEN 's now' ELSE 's now in' END)"""
+_NEAR_DATE = """CASE CAST(floor(seq / 13) AS BIGINT) % 3
+  WHEN 0 THEN '2024-01-15' WHEN 1 THEN '15/1/2024' ELSE date END"""
+
+
+@register("similar_titles", f"""WITH RECURSIVE a AS ({o.ADAPTER}), d AS (
+  SELECT seq, source_system, {_NEAR_TITLE} AS title, {_NEAR_DATE} AS date FROM a),
+n AS (SELECT seq, source_system, strftime({_duck_parse('date', _VALIDATOR_FORMATS)}, '%Y-%m-%d') AS day,
+  trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM d),
+c AS (SELECT day, t, min(seq) AS tid, count(*) AS copies FROM n WHERE day IS NOT NULL GROUP BY day, t),
+p AS (SELECT x.tid AS a, y.tid AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1), 6) AS score
+  FROM c x JOIN c y ON x.day = y.day AND x.tid <> y.tid),
+k AS (SELECT a, b, score FROM p WHERE score >= 0.8),
+reach(tid, r) AS (SELECT tid, tid FROM c UNION SELECT reach.tid, k.b FROM reach JOIN k ON k.a = reach.r),
+cl AS (SELECT tid, min(r) AS cluster FROM reach GROUP BY tid),
+best AS (SELECT a AS tid, max(score) AS score FROM k GROUP BY a),
+m AS (SELECT n.seq, n.source_system, cl.cluster, CASE WHEN c.copies > 1 THEN 1.0 ELSE best.score END AS score
+  FROM n JOIN c ON n.day = c.day AND n.t = c.t JOIN cl ON cl.tid = c.tid LEFT JOIN best ON best.tid = c.tid),
+z AS (SELECT cluster, count(DISTINCT source_system) AS n_sources, count(*) AS size FROM m GROUP BY cluster)
+SELECT m.seq, m.cluster, m.source_system, CAST(m.score AS DOUBLE) AS score, z.n_sources, z.size
+FROM m JOIN z ON m.cluster = z.cluster WHERE z.n_sources >= 2""")
 def q_similar_titles(spark, sf):
-    return sim.similar_titles(adapter.actions(spark, sf))
+    near = adapter.actions(spark, sf).select("seq", "source_system", F.expr(_NEAR_TITLE).alias("title"),
+                                             F.expr(_NEAR_DATE).alias("date"))
+    return sim.similar_titles(near)
 
 
 @register("ingest_incremental")

@@ -1,6 +1,7 @@
 """Readers, page extraction, combination, similar titles, stream and snapshots."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -101,6 +102,45 @@ def test_similar_titles_groups_identical_titles(spark):
     assert {r.cluster for r in got} == {0} and all(r.score == 1.0 for r in got)
 
 
+def test_similar_titles_chain_and_date_formats(spark):
+    rows = [(1, "Housing Development Bill", "2024-01-15", "PARLIAMENT"),
+            (2, "Housing Development Bills now", "15/1/2024", "BEEHIVE"),
+            (3, "Housing Development Bills now in it", "2024-01-15", "GAZETTE"),
+            (4, "Housing Development Bill", "soon", "GAZETTE"),
+            (5, "Housing Development Bill", "2024-01-16", "GAZETTE")]
+    df = spark.createDataFrame(rows, "seq long, title string, date string, source_system string")
+    got = {r.seq: (r.cluster, r.n_sources, r.size) for r in similar.similar_titles(df).collect()}
+    assert got == {1: (1, 3, 3), 2: (1, 3, 3), 3: (1, 3, 3)}
+
+
+def test_title_links_equal_all_pairs(spark):
+    rng = random.Random(5)
+    titles = {"", "a"}
+    while len(titles) < 160:
+        t = "".join(rng.choice("ab c") for _ in range(rng.randint(1, 24)))
+        titles.add(t.strip())
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "a", "xy"]) + t[at + rng.randint(0, 1):]
+        titles.add(t.strip())
+    rows = [(i, "d", t) for i, t in enumerate(sorted(titles))]
+    df = spark.createDataFrame(rows, "tid long, day string, t string")
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, old = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != e)))
+        return row[-1]
+
+    for threshold in (0.6, 0.8):
+        want = {(i, j) for i, _, x in rows for j, _, y in rows
+                if i < j and round(1 - distance(x, y) / max(len(x), len(y)), 6) >= threshold}
+        got = [tuple(sorted((r.a, r.b))) for r in similar.title_links(df, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_snapshot_diff(spark):
     old = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, title string")
     new = spark.createDataFrame([("a", "x"), ("b", "Y"), ("d", "w")], "id string, title string")
