@@ -81,12 +81,13 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
              .unionByName(links.select(F.col("b").alias("tid"), F.col("a").alias("other")))
              .unionByName(ids.select("tid", F.col("tid").alias("other"))))
     label = ids.select("tid", F.col("tid").alias("cluster"))
+    before = F.min(F.when(F.col("other") == F.col("tid"), F.col("cluster")))  # every id is its own neighbour
     while True:
         near = label.select(F.col("tid").alias("other"), "cluster")
-        new = materialize(edges.join(near, "other").groupBy("tid").agg(F.min("cluster").alias("cluster")), "components")
-        moved = new.join(label.withColumnRenamed("cluster", "old"), "tid").filter(F.col("cluster") < F.col("old"))
-        label = new
-        if moved.isEmpty():
+        new = materialize(edges.join(near, "other").groupBy("tid").agg(
+            F.min("cluster").alias("cluster"), before.alias("before")), "components")
+        label = new.drop("before")
+        if new.filter(F.col("cluster") < F.col("before")).isEmpty():
             return label
 
 

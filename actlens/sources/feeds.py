@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from actlens import rules
 from actlens.functions.dates import normalise_date, rfc2822_date
+from actlens.functions.order import with_position
 from actlens.functions.text import nonempty
 from actlens.operators import build as bld
 
@@ -35,24 +36,28 @@ RSS_ITEM = T.StructType([
 ])
 
 
+def _entries(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    """Elements of XML files with ``seq``, from 0 on: by file name, then by place in the file.  A file is read whole
+    by one task (multiLine), so the ids of its rows rise with their places; how files are packed into tasks has no
+    effect on ``seq``."""
+    rows = (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("multiLine", True)
+            .schema(schema).load(path)
+            .select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place")))
+    return with_position(rows, "_file", "_place", pos_col="seq").withColumn("seq", F.col("seq") - 1).drop("_file", "_place")
+
+
 def read_act_feed(spark: SparkSession, path: str, run_ts: dt.datetime) -> DataFrame:
     """O.1: Atom entries -> raw act items (only 'Information type: Acts')."""
-    entries = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
-               .schema(ATOM_ENTRY).load(path))
-    rows = entries.select(
-        F.monotonically_increasing_id().alias("seq"), "title", F.col("link._href").alias("url"),
-        "published", "content")
+    rows = _entries(spark, path, "entry", ATOM_ENTRY).select(
+        "seq", "title", F.col("link._href").alias("url"), "published", "content")
     return bld.parse_act_entry(rows, run_ts)
 
 
 def read_release_feed(spark: SparkSession, path: str, feed_type: str, run_ts: dt.datetime) -> DataFrame:
     """O.2: RSS items -> raw release items; items without title or url skipped."""
-    items = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
-             .schema(RSS_ITEM).load(path))
-    return release_items(items.select(
-        F.monotonically_increasing_id().alias("seq"), "title", F.col("link").alias("url"),
-        F.col("pubDate").alias("published"), F.col("description").alias("summary"),
-        F.col("category").alias("tags")), feed_type, run_ts)
+    return release_items(_entries(spark, path, "item", RSS_ITEM).select(
+        "seq", "title", F.col("link").alias("url"), F.col("pubDate").alias("published"),
+        F.col("description").alias("summary"), F.col("category").alias("tags")), feed_type, run_ts)
 
 
 def release_items(items: DataFrame, feed_type: str, run_ts: dt.datetime, entity: str | None = None) -> DataFrame:

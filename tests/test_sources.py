@@ -102,6 +102,18 @@ def test_similar_titles_groups_identical_titles(spark):
     assert {r.cluster for r in got} == {0} and all(r.score == 1.0 for r in got)
 
 
+def test_feed_entries_keep_their_order(spark, tmp_path):
+    item = "<item><title>{}</title><link>https://x.nz/{}</link><description>{}</description></item>"
+    sizes = {"a.xml": 3, "b.xml": 400, "c.xml": 40}  # files are packed into tasks by size
+    names = []
+    for name, n in sizes.items():
+        own = [f"{name}-{i:03d}" for i in range(n)]
+        names += own
+        (tmp_path / name).write_text("<channel>" + "".join(item.format(t, t, "w " * 50) for t in own) + "</channel>")
+    got = feeds.read_release_feed(spark, str(tmp_path), "releases", RUN).select("seq", "title").collect()
+    assert sorted((r.seq, r.title) for r in got) == list(enumerate(names))
+
+
 def test_similar_titles_chain_and_date_formats(spark):
     rows = [(1, "Housing Development Bill", "2024-01-15", "PARLIAMENT"),
             (2, "Housing Development Bills now", "15/1/2024", "BEEHIVE"),
