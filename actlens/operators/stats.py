@@ -29,13 +29,16 @@ def one_row(*aggs: DataFrame) -> DataFrame:
 EXPORT_FIELDS = ["id", "title", "date", "source_system", "url", "primary_entity", "summary", "labels", "metadata"]
 
 
-def export_table(df: DataFrame, tie: str = "seq") -> DataFrame:
+def export_table(df: DataFrame, tie: dict[str, bool] | None = None) -> DataFrame:
     """O.17: the nine exported fields, labels sorted, ordered by date then
-    title, both descending; ties keep input order (``tie``), giving ``pos``."""
-    keep = ["seq"] + ([tie] if tie != "seq" else [])
+    title, both descending; ties keep input order, giving ``pos``.  ``tie``:
+    columns that stand for the input order, True for descending ones."""
+    tie = tie or {"seq": False}
+    keep = list(dict.fromkeys(["seq", *tie]))
     projected = df.select(*keep, *[F.sort_array("labels").alias("labels") if c == "labels" else F.col(c)
                                    for c in EXPORT_FIELDS])
-    return with_position(projected, F.col("date").desc(), F.col("title").desc(), F.col(tie))
+    return with_position(projected, F.col("date").desc(), F.col("title").desc(),
+                         *[F.col(c).desc() if down else F.col(c) for c, down in tie.items()])
 
 
 def source_counts(df: DataFrame) -> DataFrame:

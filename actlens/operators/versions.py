@@ -33,14 +33,18 @@ def version_number(c: Column) -> Column:
     return F.coalesce(as_int, F.lit(1))
 
 
+def version_keys(df: DataFrame) -> DataFrame:
+    """The sort keys of O.49 without its sort: ``group_seq`` (first appearance of the group) and ``version_num``."""
+    with_base = fill_base_id(df).withColumn("version_num", version_number(F.col("version")))
+    first_seen = with_base.groupBy("base_id").agg(F.min("seq").alias("group_seq"))
+    return with_base.join(first_seen, "base_id")
+
+
 def group_versions(df: DataFrame) -> DataFrame:
     """O.49: groups in first-appearance order, version descending inside a
     group, arrival order on ties; all versions kept.  Adds ``group_seq``,
     ``version_num`` and the output position ``pos``."""
-    with_base = fill_base_id(df).withColumn("version_num", version_number(F.col("version")))
-    first_seen = with_base.groupBy("base_id").agg(F.min("seq").alias("group_seq"))
-    grouped = with_base.join(first_seen, "base_id")
-    return with_position(grouped, F.col("group_seq"), F.col("version_num").desc(), F.col("seq"))
+    return with_position(version_keys(df), F.col("group_seq"), F.col("version_num").desc(), F.col("seq"))
 
 
 def version_stats(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from actlens.functions.text import collapse_ws
 from actlens.operators import build as bld
 from actlens.operators import labels as lab
 from actlens.operators import stats as st
@@ -44,7 +45,7 @@ def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
     """O.80 over action records; returns (export-ordered rows, observations).
 
     Stage tables are written to the shared folder (validated, checked,
-    labelled): each is computed once -- a global sort's sampling pass would
+    labelled): each is computed once -- the export sort's sampling pass would
     otherwise recompute it -- and every observed stage lies directly below
     one of those writes with no sort in between, so the report counts each
     row once whatever the caller later does with the result."""
@@ -57,13 +58,17 @@ def pipeline(raw: DataFrame, run_ts: dt.datetime, observe: bool = True):
     df = mark(raw, "input")
     # written before the schema check: its filter would otherwise be pushed
     # below the repair projection and evaluate the repairs twice
-    df = materialize(mark(val.validate(df, run_ts), "validated").drop("_errors", "_fixed"), "validated")
+    # labels see the whole summary; the export has validation's cut one
+    whole = df.withColumn("_text", collapse_ws("summary"))
+    df = materialize(mark(val.validate(whole, run_ts), "validated").drop("_errors", "_fixed"), "validated")
     df = materialize(mark(val.schema_check(df).drop("reject_reason"), "schema_ok"), "checked")
-    df = mark(ver.group_versions(df).withColumnRenamed("pos", "group_pos"), "grouped")
-    df = mark(lab.assign_labels(df), "labelled")
+    # version order as sort keys: the export's sort is the only one
+    df = mark(ver.version_keys(df), "grouped")
+    df = df.withColumns({"_cut": F.col("summary"), "summary": F.col("_text")})
+    df = mark(lab.assign_labels(df).withColumn("summary", F.col("_cut")).drop("_cut", "_text"), "labelled")
     df = mark(val.schema_check(df).drop("reject_reason"), "exported")
     df = materialize(df, "labelled")
-    return st.export_table(df, tie="group_pos"), obs
+    return st.export_table(df, tie={"group_seq": False, "version_num": True, "seq": False}), obs
 
 
 def run_report(spark, obs: dict, run_ts: dt.datetime) -> DataFrame:

@@ -1064,7 +1064,7 @@ from actlens.plans import pipeline as pl  # noqa: E402
 
 _PIPE_CTE = _VALIDATE_CTE + f""", pv AS (
   SELECT seq, new_id AS id, new_title AS title, new_date AS date, source_system, new_url AS url,
-         new_entity AS primary_entity, new_summary AS summary, nullif(trim(bill_number), '') AS bill_number,
+         new_entity AS primary_entity, {_duck_collapse('summary')} AS summary, nullif(trim(bill_number), '') AS bill_number,
          parliament_number, nullif(trim(act_number), '') AS act_number, nullif(trim(commencement_date), '') AS commencement_date,
          nullif(trim(notice_number), '') AS notice_number, nullif(trim(notice_type), '') AS notice_type,
          nullif(trim(document_type), '') AS document_type, nullif(trim(portfolio), '') AS portfolio,

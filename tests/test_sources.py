@@ -204,6 +204,18 @@ def test_run_report_and_pipeline_stages(spark):
     assert all(out_rows == 6 for _, out_rows in report.values()), report
 
 
+def test_pipeline_labels_from_the_whole_summary(spark):
+    from actlens.plans import pipeline as pl
+    from tests.test_operators import actions
+
+    rows = [dict(seq=i, id=f"parl-2024-{i:03d}-v1", title="Plain title", source_system="PARLIAMENT",
+                 url=f"https://a.nz/{i}", date="2024-01-01", summary="w " * n + "housing") for i, n in ((1, 3), (2, 2000))]
+    out, _ = pl.pipeline(actions(spark, rows), RUN, observe=False)
+    got = {r.seq: r for r in out.collect()}
+    assert all("Housing" in r.labels for r in got.values())
+    assert len(got[2].summary) == 1000 and "_text" not in out.columns
+
+
 def test_snapshot_and_json_sinks(spark):
     df = spark.createDataFrame([(1, "a", "PARLIAMENT"), (2, "b", "GAZETTE")], "seq long, id string, source_system string")
     path = scratch_path(spark, "snap-test")
