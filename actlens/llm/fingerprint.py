@@ -1,19 +1,18 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
-A text's terms are its pairs of consecutive words (split at white space),
-hashed to ``FEATURES`` places; a term's weight S is its count.  Each of
-``SAMPLES`` samples takes, for each term, two Gamma(2, 1) variables r and c
-and a uniform b that depend on the term and the sample alone, rounds the
-weight's logarithm to t = floor(ln S / r + b) and ranks the term by
-ln a = ln c - r (t - b + 1).  The term and t of least rank are the sample:
-two texts draw the same with a probability of their generalised Jaccard
-similarity, sum of least weights over sum of greatest weights, so the share
-of equal samples estimates it.
-
-The variables of all terms are one table of FEATURES rows, broadcast whatever
-the size of the corpus.  A sample is 31 bits of rank over 32 bits that
-identify term and t, so each is one minimum of a long and the whole
-fingerprint one hash aggregate.  Texts are dealt once, by doc_id; what a
+A text's terms are its pairs of consecutive words (split at white space), each
+known by its 64-bit hash; a term's weight S is its count.  Weights are whole
+numbers, so a term of weight S stands for the S places (term, 1) to (term, S),
+and each of ``SAMPLES`` samples ranks a place by a 64-bit hash of term, number
+and sample alone.  The place of least rank is the sample: every place is as
+likely as any other, and two texts draw the same with a probability of their
+generalised Jaccard similarity, sum of least weights over sum of greatest
+weights, whatever the texts' lengths, so the share of equal samples estimates
+it.  Only texts of billions of words would share hashes that their terms don't.
+
+A place costs one hash and one minimum of a long for each sample, the whole
+fingerprint is one hash aggregate, and there are as many places as words.
+A sample keeps the lower 32 bits of the least rank.  Texts are dealt once, by doc_id; what a
 neighbour needs of a text (its first characters) is dealt to that neighbour.
 
 Defined results: a null text is an empty one; a text's last word, with
@@ -31,46 +30,21 @@ from actlens.functions.order import with_position
 from actlens.llm.common import stored, table
 
 SAMPLES = 32
-FEATURES = 1 << 16
 
 _NO_ID = -(1 << 63)
-_RANK_SCALE = 1 << 24
 
 
-def _uniform(*key: Column) -> Column:
-    return (F.shiftrightunsigned(F.xxhash64(*key), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-
-
-def variables(spark: SparkSession, features: int = FEATURES, samples: int = SAMPLES) -> DataFrame:
-    """Per term: arrays of 1/r, r, ln c and b, one element for each sample."""
-    u = lambda k, j: _uniform(F.col("id"), F.lit(k), F.lit(j))
-    gamma = lambda k, j: -F.ln(u(k, j) * u(k, j + 1))
-    arrays = {
-        "r": [gamma(k, 0) for k in range(samples)], "ln_c": [F.ln(gamma(k, 2)) for k in range(samples)],
-        "b": [u(k, 4) for k in range(samples)]}
-    return spark.range(features).select(
-        F.col("id").cast("int").alias("term"), *[F.array(*[x.cast("float") for x in xs]).alias(n) for n, xs in arrays.items()])
-
-
-def fingerprints(texts: DataFrame, key: list[str], text: str = "text", features: int = FEATURES,
-                 samples: int = SAMPLES) -> DataFrame:
+def fingerprints(texts: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``key`` and ``sample`` (array of long) of each row of ``texts``, where ``key`` tells rows apart.
     A frame that is dealt by a column of ``key`` is not dealt again."""
     words = F.split(F.col(text), r"\s+")
     # a word and the one after it; nothing follows the last
     pairs = texts.select(*key, F.explode(F.arrays_zip(words.alias("w"), F.slice(words, 2, F.size(words)).alias("v"))).alias("p"))
-    terms = pairs.select(*key, F.pmod(F.xxhash64("p.w", "p.v"), F.lit(features)).cast("int").alias("term"))
-    weights = terms.groupBy(*key, "term").agg(F.count("*").alias("n")).select(*key, "term", F.ln("n").alias("ln_s"))
-    drawn = weights.join(F.broadcast(variables(texts.sparkSession, features, samples)), "term")
-
-    def sample(k: int) -> Column:
-        r, b = F.col("r")[k].cast("double"), F.col("b")[k].cast("double")
-        t = F.floor(F.col("ln_s") / r + b)
-        rank = F.col("ln_c")[k] - r * (t - b + 1)
-        high = ((F.least(F.greatest(rank, F.lit(-64.0)), F.lit(63.9)) + 64) * _RANK_SCALE).cast("long")
-        return F.min(F.shiftleft(high, 32).bitwiseOR(F.xxhash64("term", t).bitwiseAND(F.lit(0xFFFFFFFF))))
-
-    taken = drawn.groupBy(*key).agg(*[sample(k).alias(f"s{k}") for k in range(samples)])
+    weights = pairs.select(*key, F.xxhash64("p.w", "p.v").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
+    places = weights.select(*key, "term", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy_no")).select(
+        *key, F.xxhash64("term", "copy_no").alias("place"))
+    taken = places.groupBy(*key).agg(
+        *[F.min(F.xxhash64(F.col("place").bitwiseXOR(F.xxhash64(F.lit(k))))).alias(f"s{k}") for k in range(samples)])
     return taken.select(*key, F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)]).alias("sample"))
 
 

@@ -165,6 +165,16 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert np.mean([p == q for p, q in zip(one, two)]) == pytest.approx(true, abs=0.08)
 
 
+def test_fingerprints_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    own = [[f"{x:x}" for x in rng.integers(0, 1 << 40, 250_000)] for _ in range(2)]
+    texts = [" ".join(own[0]), " ".join(own[1]), " ".join(own[0][:125_000] + own[1][:125_000]), "one word " * 3000, "one word " * 1000]
+    taken = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"], samples=64)
+    s = [r.sample for r in taken.orderBy("k").collect()]
+    alike = lambda a, b: np.mean([p == q for p, q in zip(s[a], s[b])])
+    assert alike(0, 1) == 0 and alike(0, 2) == pytest.approx(1 / 3, abs=0.2) and alike(3, 4) == pytest.approx(1 / 3, abs=0.2)
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([
         (1, "http://a/é", "x\r\n\r\nWARC/1.1\r\n"), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "v", "x\r\n\r\nWARC/1.1\r\n"),
