@@ -3,8 +3,11 @@
 A page is cut into blocks (text between block-level tags and line breaks),
 and each block lies in a zone: ``main`` inside article or main elements,
 ``chrome`` inside menus, headers, footers, sidebars, forms, adverts, notices
-and comments (by element or by the words of class, id and role), else
-``open``.  Scripts, styles, markup and the head are no blocks.
+and comments (by element or by the whole values of class, id and role), else
+``open``.  Scripts, styles, markup and the head are no blocks.  An element
+that is chrome by its values alone is none if it holds the page's articles:
+of the article and main elements outside other chrome and each other, those
+in the fewest such elements free them.
 
 Open blocks are judged by the suffix array of their host: the token streams
 of all pages' blocks outside ``main`` are concatenated, and a run of
@@ -47,11 +50,19 @@ _BLOCK = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CLOSED_BY_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-_WORDS = {
+_VALUES = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
     "cookie", "cookies", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo",
-    "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "widget"}
-_PLAIN = {"html", "body", "article", "main"}
+    "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "widget",
+    "ad-banner", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "breadcrumb-nav", "comment-body", "comment-form",
+    "comment-list", "comment-respond", "comments-area", "comments-list", "comments-section", "cookie-banner", "cookie-bar",
+    "cookie-consent", "cookie-notice", "cookie-popup", "footer-links", "footer-menu", "footer-nav", "footer-widgets", "header-nav",
+    "left-sidebar", "main-menu", "main-nav", "main-navigation", "mobile-menu", "mobile-nav", "nav-bar", "nav-links", "nav-menu",
+    "newsletter-form", "newsletter-signup", "page-footer", "post-navigation", "primary-menu", "primary-nav", "related-articles",
+    "related-links", "related-posts", "related-stories", "right-sidebar", "share-bar", "share-buttons", "share-links",
+    "sidebar-left", "sidebar-right", "sidebar-widget", "site-footer", "site-menu", "site-nav", "site-navigation", "social-icons",
+    "social-links", "social-media", "social-share", "sponsored-content", "subscribe-form", "top-menu", "top-nav", "widget-area"}
+_PLAIN = {"html", "body", "main"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -59,6 +70,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ROLE_MAIN = re.compile(r"""\srole\s*=\s*["']?main["'\s/>]""", re.I)
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 _PAGE_DDL = "key long, page_id long, url string, host string, blocks array<struct<zone:string,text:string>>"
@@ -69,24 +81,32 @@ def _is_boilerplate(name: str, tag: str) -> bool:
     if name in _PLAIN or "=" not in tag:
         return False
     for found in _MARKS.findall(tag):
-        if not _WORDS.isdisjoint(re.split(r"[\s_-]+", "".join(found).lower())):
+        if not _VALUES.isdisjoint("".join(found).lower().replace("_", "-").split()):
             return True
     return False
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """The blocks of a page as (zone, text), in page order."""
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, tuple[int, ...], str]] = []  # zone without wrappers, wrappers, text
     pieces: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements: name, zone inside
-    zone, at = "open", 0
+    # open elements: name, zone inside, and the elements around that are chrome by their values alone
+    stack: list[tuple[str, tuple[str, tuple[int, ...]]]] = []
+    outside = ("open", ())
+    zone, at = outside, 0
+    articles: list[tuple[int, ...]] = []  # the wrappers of each article or main element outside chrome and main
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
-            out.append((zone, text))
+            out.append((*zone, text))
         pieces.clear()
 
+    def zoned() -> list[tuple[str, str]]:
+        fewest = min(map(len, articles), default=0)
+        freed = {w for own in articles if len(own) == fewest for w in own}
+        return [("chrome" if not freed.issuperset(wrappers) else z, text) for z, wrappers, text in out]
+
     while True:
         token = _TOKEN.search(page, at)
         stop = token.start() if token else len(page)
@@ -95,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             pieces.append(entities.unescape(text) if "&" in text else text)
         if not token:
             flush()
-            return out
+            return zoned()
         at = token.end()
         tag = token.group()
         if tag[1] in "!?":
@@ -109,7 +129,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-                inside = stack[-1][1] if stack else "open"
+                inside = stack[-1][1] if stack else outside
                 if inside != zone:
                     flush()
                     zone = inside
@@ -123,13 +143,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             flush()
             if stack and stack[-1][0] in _CLOSED_BY_BLOCKS:
                 stack.pop()
-        inner = zone if not stack else stack[-1][1]
-        if inner != "chrome":
-            if name in _CHROME or (name == "header" and inner != "main") or _is_boilerplate(name, tag):
-                inner = "chrome"
-            elif name in _MAIN or 'role="main"' in tag:
-                inner = "main"
-        outer = zone if not stack else stack[-1][1]
+        outer = inner = stack[-1][1] if stack else outside
+        if inner[0] != "chrome":
+            is_main = name in _MAIN or _ROLE_MAIN.search(tag) is not None
+            # an article's own values count inside such an element alone, where comments are articles, too
+            marked = _is_boilerplate(name, tag) and (name != "article" or bool(inner[1]))
+            if name in _CHROME or (name == "header" and inner[0] != "main"):
+                inner = ("chrome", inner[1])
+            elif marked and (name == "article" or inner[0] == "main"):
+                inner = ("chrome", inner[1])
+            elif marked and not is_main:
+                inner = (inner[0], (*inner[1], at))
+            elif is_main and inner[0] == "open":
+                inner = ("main", inner[1])
+                articles.append(inner[1])
         if name in _EMPTY or tag.endswith("/>") or (name not in _BLOCK and inner == outer):
             continue
         if inner != zone:

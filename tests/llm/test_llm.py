@@ -129,6 +129,21 @@ def test_blocks():
     assert extract.blocks("") == [] and extract.blocks("<p>cut <b") == [("open", "cut")]
 
 
+def test_wrappers_are_no_boilerplate():
+    body = "<nav>menu</nav><article><p>text</p><section id='social-history'>history</section><div class='related-work'>work</div></article>"
+    want = [("chrome", "menu"), ("main", "text"), ("main", "history"), ("main", "work")]
+    for mark in ('class="layout has-sidebar"', 'id="page" class="no-sidebar"', 'class="container with-ads"', 'class="sidebar"', "id=ads"):
+        assert extract.blocks(f"<div {mark}>{body}</div>") == want
+    assert extract.blocks("<div class='no-sidebar'><p>plain</p></div>") == [("open", "plain")]
+    assert extract.blocks("<div class='site-nav'>menu</div><div role='main'>text</div>") == [("chrome", "menu"), ("main", "text")]
+    # cards and comments are articles, too; they free no element while the page has its own
+    side = '<div class="related"><article>card</article></div><ol class="comments"><article class="comment-body">reply</article></ol>'
+    for around in ("{}", '<div class="sidebar">{}</div>'):
+        assert extract.blocks(around.format("<article>text</article>" + side)) == [("main", "text"), ("chrome", "card"), ("chrome", "reply")]
+    assert extract.blocks('<div id="text">plain</div><div id="comments"><article class="comment">reply</article></div>') == [
+        ("open", "plain"), ("chrome", "reply")]
+
+
 def test_host_runs(spark):
     run = "we use these small files to keep the site fast"
     page = lambda k, body: (k, f"http://h.org/{k}", body)
