@@ -12,12 +12,17 @@ in the fewest such elements free them.
 Open blocks are judged by the suffix array of their host: the token streams
 of all pages' blocks outside ``main`` are concatenated, and a run of
 ``RUN`` tokens or more that occurs in several pages of the host is
-boilerplate.  Such runs are the intervals of the suffix array in which
-suffixes agree in RUN tokens; the intervals are found by grouping the
-suffixes by those tokens, which pre-aggregates in each task, where sorting
-would bring one common footer of a large host to one task.  What repeated
-runs cover is removed from open blocks, unique runs stay.  Text in ``main``
-is never removed: articles are copied between pages of a host, too.
+repeated.  Pages are several if they differ in page_id and in their blocks, so
+rows of one page and copies of its payload repeat nothing.  Such runs are
+the intervals of the suffix array in which suffixes agree in RUN tokens; the
+intervals are found by grouping the suffixes by those tokens, which
+pre-aggregates in each task, where sorting would bring one common footer of a
+large host to one task.  Of an open block, repeated runs are removed that
+cover it wholly or are of ``LONG`` tokens at least; shorter ones are phrases of
+its text.  Where that is more than half of the open text of a page without
+``main``, the page is a copy: there, runs of the more pages are removed first, and
+what would take more than half stays.  Text in ``main`` is never removed:
+articles are copied between pages of a host, too.
 
 Defined results: a null html is an empty page; a tag that the end of the page
 cuts off is no text; a page without a url has the host ''; rows with equal
@@ -38,6 +43,8 @@ from actlens.llm.common import stored, table, task_segments
 
 #: Tokens that a repeated run has at least.
 RUN = 8
+#: Tokens of a repeated run that is removed from inside a block.
+LONG = 40
 
 # Elements of HTML by their part in the layout, and words in class, id or role of boilerplate.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "svg", "math"}
@@ -186,15 +193,45 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 def repeated_runs(parsed: DataFrame, run: int = RUN) -> DataFrame:
     """Per page (key): starts, the places in its token stream outside main where a run begins that several pages
-    of the host have."""
+    of the host have, in the lower 32 bits; above them how often the host has that run."""
     outside = F.filter("blocks", lambda b: b["zone"] != "main")
     stream = F.split(F.array_join(F.transform(outside, lambda b: b["text"]), " "), " ")
-    streams = parsed.where(F.size(outside) > 0).select("key", "host", stream.alias("tokens")).where(F.size("tokens") >= run)
-    suffixes = streams.select("key", "host", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - run + 1)).alias("at")).select(
-        "key", "host", "at", F.xxhash64(F.array_join(F.slice("tokens", F.col("at"), F.lit(run)), " ")).alias("head"))
-    intervals = suffixes.groupBy("host", "head").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
-    return suffixes.join(intervals.select("host", "head"), ["host", "head"]).groupBy("key").agg(
-        F.collect_list(F.col("at") - 1).alias("starts"))
+    payload = F.xxhash64("blocks")
+    streams = parsed.where(F.size(outside) > 0).select(
+        "key", "host", F.coalesce("page_id", payload).alias("page"), F.hash(payload).alias("payload"), stream.alias("tokens")).where(
+        F.size("tokens") >= run)
+    own = ["key", "host", "page", "payload"]
+    suffixes = streams.select(*own, "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - run + 1)).alias("at")).select(
+        *own, "at", F.xxhash64(F.array_join(F.slice("tokens", F.col("at"), F.lit(run)), " ")).alias("head"))
+    # two pages that differ in both are there if and only if several values of each are
+    intervals = suffixes.groupBy("host", "head").agg(
+        F.count("*").alias("n"), F.min("page").alias("a"), F.max("page").alias("b"), F.min("payload").alias("c"),
+        F.max("payload").alias("d")).where("a <> b AND c <> d")
+    start = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 32).bitwiseOR((F.col("at") - 1).cast("long"))
+    return suffixes.select("key", "host", "head", "at").join(intervals.select("host", "head", "n"), ["host", "head"]).groupBy("key").agg(
+        F.collect_list(start).alias("starts"))
+
+
+def _removed(found: list[dict], starts: list[int], run: int, bar: int) -> list[set[int]]:
+    """Per open block of a page, the places in it that runs of at least ``bar`` occurrences remove."""
+    covered = {(s & 0xFFFFFFFF) + j for s in starts if s >> 32 >= bar for j in range(run)}
+    out, at = [], 0
+    for block in found:
+        if block["zone"] == "main":
+            continue
+        n = block["text"].count(" ") + 1
+        if block["zone"] == "open":
+            gone: set[int] = set()
+            first = 0
+            for k in range(n + 1):
+                if k < n and at + k in covered:
+                    continue
+                if k - first >= LONG or k - first == n:
+                    gone.update(range(first, k))
+                first = k + 1
+            out.append(gone)
+        at += n
+    return out
 
 
 def _unique(run: int) -> Callable:
@@ -202,18 +239,30 @@ def _unique(run: int) -> Callable:
         for batch in batches:
             texts = []
             for found, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                covered = {k + j for k in starts or () for j in range(run)}
-                at, lines = 0, []
+                starts = starts or []
+                gone = _removed(found, starts, run, 0)
+                if not any(b["zone"] == "main" for b in found):
+                    half = sum(b["text"].count(" ") + 1 for b in found if b["zone"] == "open") / 2
+                    if sum(map(len, gone)) > half:
+                        # the least bar that leaves half of the page's open text
+                        bars = sorted({s >> 32 for s in starts})
+                        low, high = 1, len(bars)
+                        while low < high:
+                            mid = (low + high) // 2
+                            if sum(map(len, _removed(found, starts, run, bars[mid]))) > half:
+                                low = mid + 1
+                            else:
+                                high = mid
+                        gone = _removed(found, starts, run, bars[low] if low < len(bars) else 1 << 31)
+                lines, opened = [], iter(gone)
                 for block in found:
                     if block["zone"] == "main":
                         lines.append(block["text"])
-                        continue
-                    tokens = block["text"].split(" ")
-                    if block["zone"] == "open":
-                        left = " ".join(t for k, t in enumerate(tokens, at) if k not in covered)
+                    elif block["zone"] == "open":
+                        own = next(opened)
+                        left = " ".join(t for k, t in enumerate(block["text"].split(" ")) if k not in own)
                         if left:
                             lines.append(left)
-                    at += len(tokens)
                 texts.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

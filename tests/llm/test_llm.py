@@ -155,6 +155,19 @@ def test_host_runs(spark):
     assert got == sorted([(0, ""), (1, words(1, 20)), (2, words(2, 20)), (3, words(3, 9) + "\nown words"), (3, words(3, 9)), (4, run)])
 
 
+def test_host_runs_of_copies(spark):
+    menu, quote = words(40, 12), words(41, 9)
+    html = lambda text: f"<div>{menu}</div><p>{text}</p><p>{words(42, 10)}</p>"
+    pages = [(1, "a", words(1, 60)), (1, "a", words(1, 60)), (2, "b", words(2, 60)), (3, "b", words(2, 60)),
+             *((k, "c", words(3, 60)) for k in (4, 5)), (6, "c", f"{words(6, 20)} {quote} {words(7, 9)}"),
+             (7, "c", f"{words(8, 30)} {quote}"), (8, "c", words(9, 50))]
+    # copies of 4 and 5 differ in a line of their own
+    rows_in = [(k, f"http://{h}/{k}", html(t) + (f"<p>line {k}</p>" if h == "c" else "")) for k, h, t in pages]
+    got = sorted((r["page_id"], r["text"]) for r in rows(extract.main_text(spark.createDataFrame(rows_in, "page_id long, url string, html string"))))
+    whole = lambda t: f"{menu}\n{t}\n{words(42, 10)}"
+    assert got == sorted((k, f"{t}\nline {k}" if h == "c" else whole(t)) for k, h, t in pages)
+
+
 def test_fingerprints(spark, odd):
     got = rows(fingerprint.compared(odd))
     docs = [(r.doc_id, r.text or "") for r in odd.collect()]
