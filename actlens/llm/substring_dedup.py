@@ -3,8 +3,12 @@
 A gear rolling hash over the last 16 bytes cuts each text wherever its value
 falls below a threshold, on average every ``MEAN_CHUNK`` bytes.  A cut depends
 on those 16 bytes alone, so an insertion moves no cut further away and equal
-passages are cut alike in every document; in long stretches without a cut,
-such as periodic text, a looser threshold cuts.  The unit of deduplication is the
+passages are cut alike in every document; in long stretches without a cut a
+looser threshold cuts, and in what is still long, such as periodic text, the
+places of the least hash within ``MEAN_CHUNK`` bytes to both sides, which every
+stretch has.  Periodic text has one of them a period; of such a series of equal
+hashes, counted from its start, cuts are ``MEAN_CHUNK`` bytes apart or more, so that
+its chunks are the same ones whatever is around it.  The unit of deduplication is the
 digest of ``RUN`` consecutive chunks.  A unit that occurs in several documents
 belongs to the one with the smallest doc_id; in the others, adjoining or
 overlapping repeated units are merged, trimmed to whole words and removed if
@@ -41,7 +45,7 @@ from actlens.llm.common import binary_column, mix64, stored, table, task_segment
 
 MEAN_CHUNK = 16
 RUN = 3
-#: In stretches longer than this without a cut, the threshold rises fourfold, twice.
+#: In stretches longer than this without a cut, the threshold rises fourfold, then local minima cut.
 LONG_CHUNK = 64
 MIN_WORDS = 12
 MIN_BYTES = 256
@@ -56,6 +60,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """Places of the least hash within MEAN_CHUNK places to both sides; of nearby equal ones, places
+    MEAN_CHUNK apart or more, from the first."""
+    around = np.pad(h, MEAN_CHUNK, constant_values=0xFFFF)
+    least = np.flatnonzero(h == np.lib.stride_tricks.sliding_window_view(around, 2 * MEAN_CHUNK + 1).min(axis=1))
+    taken, last = [], -MEAN_CHUNK
+    for k in least.tolist():
+        if k - last >= MEAN_CHUNK:
+            taken.append(k)
+            last = k
+    return np.array(taken, np.int64)
+
+
 def chunk_ends(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a text given as bytes."""
     h = _GEAR[data]
@@ -65,14 +82,17 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     cut[1:] &= ~cut[:-1]
     ends = np.flatnonzero(cut) + 1
     ends = ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
-    for looser in (4, 16):
+    for loosest in (False, True):
         starts = np.concatenate([[0], ends[:-1]])
         long = np.flatnonzero(ends - starts > LONG_CHUNK)
         if not len(long):
             break
         more = [ends]
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
-            cut = h[a:b] < _CUT * looser
+            if loosest:
+                more.append(_least(h[a:b]) + a + 1)
+                continue
+            cut = h[a:b] < _CUT * 4
             cut[1:] &= ~cut[:-1]
             more.append(np.flatnonzero(cut) + a + 1)
         ends = np.unique(np.concatenate(more))

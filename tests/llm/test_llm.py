@@ -361,6 +361,19 @@ def test_repeats_are_cut(spark, odd):
     assert len(a - b) <= 4
 
 
+def test_periodic_passages_are_cut(spark):
+    rng = np.random.default_rng(5)
+    names = ["buy now ", "spam ", "a ", *("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) + " " for _ in range(60))]
+    docs = [(k + 1000 * copy, f"{words(2 * k + copy, 40, 10**9)} {name * 60}{words(900 + 2 * k + copy, 40, 10**9)}")
+            for k, name in enumerate(names) for copy in (0, 1)]
+    got = {r["doc_id"]: r for r in rows(substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")))}
+    for k, name in enumerate(names):
+        repeated = 60 * len(name)
+        cut = sum(s["to"] - s["from"] for s in got[k + 1000]["spans"])
+        assert got[k]["spans"] == [] or len(name) < 4
+        assert repeated - 110 <= cut <= repeated, name
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
