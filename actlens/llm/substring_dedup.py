@@ -11,8 +11,9 @@ hashes, counted from its start, cuts are ``MEAN_CHUNK`` bytes apart or more, so
 its chunks are the same ones whatever is around it.  The unit of deduplication is the
 digest of ``RUN`` consecutive chunks.  A unit that occurs in several documents
 belongs to the one with the smallest doc_id; in the others, adjoining or
-overlapping repeated units are merged, trimmed to whole words and removed if
-they hold ``MIN_WORDS`` words (or, without white space, ``MIN_BYTES`` bytes).
+overlapping repeated units are merged, trimmed to whole words (or, where no white
+space is within ``FAR_SPACE`` bytes, to code points) and removed if they hold
+``MIN_WORDS`` words or ``MIN_BYTES`` bytes.
 At the default sizes a repeated passage of over 50 words loses all but a few
 words at its edges.
 
@@ -49,6 +50,7 @@ RUN = 3
 LONG_CHUNK = 64
 MIN_WORDS = 12
 MIN_BYTES = 256
+FAR_SPACE = 64
 SEGMENT_BYTES = 4 << 20
 #: Bytes of text whose units share a bucket.
 BUCKET_BYTES = 16 << 20
@@ -119,19 +121,21 @@ def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def trimmed(data: np.ndarray, start: int, end: int) -> tuple[int, int] | None:
     """The whole words of a stretch of bytes, or None if they are too few to remove."""
     space = _SPACE[data[start:end]]
-    if space.any():
-        if start and not _SPACE[data[start - 1]] and not space[0]:
-            start += int(space.argmax())
-        if end < len(data) and not _SPACE[data[end]] and not _SPACE[data[end - 1]]:
-            end -= int(space[::-1].argmax())
-        inside = ~_SPACE[data[start:end]]
-        words = int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum()) if end > start else 0
-        return (start, end) if words >= MIN_WORDS else None
-    while start < end and data[start] & 0xC0 == 0x80:
-        start += 1
-    while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
-        end -= 1
-    return (start, end) if end - start >= MIN_BYTES else None
+    if start and not _SPACE[data[start - 1]] and not space[0]:
+        near = np.flatnonzero(space[:FAR_SPACE])
+        start += int(near[0]) if len(near) else 0
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+    if end < len(data) and not _SPACE[data[end]] and not _SPACE[data[end - 1]]:
+        near = np.flatnonzero(space[::-1][:FAR_SPACE])
+        end -= int(near[0]) if len(near) else 0
+        while end > start and data[end] & 0xC0 == 0x80:
+            end -= 1
+    if end <= start:
+        return None
+    inside = ~_SPACE[data[start:end]]
+    words = int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum())
+    return (start, end) if words >= MIN_WORDS or end - start >= MIN_BYTES else None
 
 
 def repeated_spans(data: np.ndarray, doc_id: int, digests: np.ndarray, owners: np.ndarray) -> list[tuple[int, int]]:

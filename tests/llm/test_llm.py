@@ -374,6 +374,18 @@ def test_periodic_passages_are_cut(spark):
         assert repeated - 110 <= cut <= repeated, name
 
 
+def test_passages_with_few_spaces_are_cut(spark):
+    rng = np.random.default_rng(6)
+    signs = lambda n: "".join(chr(0x4E00 + c) for c in rng.integers(0, 5000, n))
+    passage = signs(400) + "\n" + signs(500) + " " + signs(300)
+    docs = [(k, signs(200) + passage + signs(150)) for k in (1, 2)]
+    got = {r["doc_id"]: r for r in rows(substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got[1]["spans"] == [] and len(got[2]["spans"]) == 1
+    s = got[2]["spans"][0]
+    assert 200 <= s["from"] <= 250 and 1350 <= s["to"] <= 1402
+    assert got[2]["text"] == docs[1][1][:s["from"]] + docs[1][1][s["to"]:]
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
