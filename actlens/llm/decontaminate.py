@@ -154,26 +154,29 @@ def phrase_starts(segment: Segment, phrase: np.ndarray) -> np.ndarray:
 
 
 def proximity_starts(segment: Segment, phrase: np.ndarray, slop: int) -> np.ndarray:
-    """First positions of runs of ``slop`` words, beginning with one of the terms, that hold every term.
-    A term that the phrase has twice must occur twice."""
+    """First positions of runs of ``slop`` words (or up to the end of their document), beginning with one of the
+    terms, that hold every term.  A term that the phrase has twice must occur twice."""
     needed, times = np.unique(phrase, return_counts=True)
     rarity = np.argsort(segment.count(needed), kind="stable")
     anchors = segment.positions(int(needed[rarity[0]]))
     starts = np.unique((anchors[:, None] - np.arange(slop)[None, :]).ravel())
+    starts = starts[starts >= 0]
+    doc = np.searchsorted(segment.first, starts, side="right") - 1
+    stops = np.minimum(starts + slop, segment.first[doc] + segment.n_words[doc])
     begins = np.zeros(len(starts), bool)
     for k in rarity:
         if not len(starts):
             break
         at = segment.positions(int(needed[k]))
         low = np.searchsorted(at, starts)
-        keep = np.searchsorted(at, starts + slop) - low >= times[k]
+        keep = np.searchsorted(at, stops) - low >= times[k]
         begins = (begins | _among(at, starts))[keep]
-        starts = starts[keep]
+        starts, stops = starts[keep], stops[keep]
     return starts[begins[: len(starts)]]
 
 
-def _one_document(segment: Segment, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document of each run and the run's first word in it, for runs that begin inside a document."""
+def _one_document(segment: Segment, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document of each run and the run's first word in it."""
     doc = np.searchsorted(segment.first, starts, side="right") - 1
     word = starts - segment.first[doc]
     return doc, word
@@ -206,7 +209,7 @@ def _searcher(phrases: list[list[bytes]], owners: list[list[str]], slop: int | N
                         if not len(starts):
                             continue
                         length = len(phrase) if slop is None else slop
-                        doc, word = _one_document(segment, starts, length)
+                        doc, word = _one_document(segment, starts)
                         for d, w in zip(doc.tolist(), word.tolist()):
                             spans.setdefault(d, []).append((w, min(w + length, int(segment.n_words[d]))))
                             items.setdefault(d, set()).update(owners[k])

@@ -79,6 +79,13 @@ def test_phrases_and_proximity(spark, odd):
     assert sorted(r["doc_id"] or 0 for r in rows(decontaminate.keep_clean(spark, odd, items))) == [0, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10]
 
 
+def test_proximity_stays_in_one_document(spark):
+    docs = spark.createDataFrame([(1, "x red"), (2, "blue y"), (3, ""), (4, "blue z red"), (5, "red")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "red blue")], "item_id long, text string")
+    hits = rows(decontaminate.proximity_hits(decontaminate.build_index(docs), items, slop=6))
+    assert {r["doc_id"]: r["n_hit"] for r in hits} == {1: 0, 2: 0, 3: 0, 4: 3, 5: 0}
+
+
 def plain_ngrams(text):
     out = collections.Counter()
     for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
