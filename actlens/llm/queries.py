@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from actlens.llm import (chat, decontaminate, extract, fingerprint, language, lattice, near_dedup, substring_dedup, token_files, warc)
+from actlens.llm import (chat, decontaminate, extract, fill_in_middle, fingerprint, language, lattice, near_dedup, substring_dedup,
+                         token_files, warc)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_sampled_pieces": lattice.op9_sampled_pieces,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op5_warc": warc.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
 }
