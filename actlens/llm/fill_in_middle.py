@@ -21,6 +21,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from actlens.llm.boundaries import line_boundaries
 from actlens.llm.common import table
@@ -35,7 +36,7 @@ SUFFIX_FIRST = 50
 _ROWS = 64
 
 
-@F.arrow_udf("struct<n: long, cut_a: long, cut_b: long>")
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("n", "cut_a", "cut_b")]))
 def _cuts(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
     found = []
     for at in range(0, len(text), _ROWS):
