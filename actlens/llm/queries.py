@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from actlens.llm import (chat, decontaminate, extract, fill_in_middle, fingerprint, language, lattice, near_dedup, substring_dedup,
-                         token_files, warc)
+from actlens.llm import (chat, decontaminate, extract, fill_in_middle, fingerprint, language, lattice, near_dedup,
+                         neighbours, substring_dedup, token_files, warc)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_sampled_pieces": lattice.op9_sampled_pieces,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_neighbours": neighbours.op12_neighbours,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_near_dedup": near_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_neighbours": neighbours.ORACLE,
 }

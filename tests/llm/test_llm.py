@@ -53,7 +53,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SMALL}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SMALL)
