@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actlens.llm import (chat, decontaminate, extract, fill_in_middle, fingerprint, language, lattice, near_dedup,
+from actlens.llm import (alignment, chat, decontaminate, extract, fill_in_middle, fingerprint, language, lattice, near_dedup,
                          neighbours, substring_dedup, token_files, warc)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_neighbours": neighbours.op12_neighbours,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES = {
