@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -55,12 +56,13 @@ RADICES = 32
 FAN = 128
 GROUP = 512
 #: A slice is closed at so many words, bytes of text or documents, and holds at most so many records at one time.
-SLICE_WORDS, SLICE_BYTES, SLICE_DOCS, RECORDS = 1 << 19, 4 << 20, 1 << 14, 1 << 21
+SLICE_WORDS, SLICE_BYTES, SLICE_DOCS, RECORDS = 1 << 19, 8 << 20, 1 << 14, 1 << 21
 #: Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 _GROUPED = 256
 _COUNTED = 1 << 16
 _SPACE = "▁"
+_INNER_SPACE = re.compile(r"\S ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,16 +83,23 @@ class _Aligned:
         n = len(self.ends)
         self.n_a, self.n_b = np.bincount(self.group_a, minlength=n), np.bincount(self.group_b, minlength=n)
 
-    def strings(self, name_a: list[str], name_b: list[str]) -> list[str]:
-        """``a1,a2|b1`` for each group."""
-        a, b = (list(map(names.__getitem__, ids.tolist())) for names, ids in ((name_a, self.a), (name_b, self.b)))
-        if len(a) == len(b) == len(self.ends):
-            return list(map("|".join, zip(a, b)))
-        out, i, j = [], 0, 0
-        for p, q in zip(self.n_a.tolist(), self.n_b.tolist()):
-            out.append(f"{a[i] if p == 1 else ','.join(a[i:i + p])}|{b[j] if q == 1 else ','.join(b[j:j + q])}")
-            i, j = i + p, j + q
-        return out
+    def text(self, names: list[str], offset: int, ends: np.ndarray | None = None) -> str:
+        """``a1,a2|b1;a3|b2`` and a line break; one more after each group that is marked in ``ends``.
+
+        ``names`` has each left id with the two marks that can follow it, and from ``offset`` on each right id with
+        its three, so that the text is looked up token by token."""
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        upto_a, upto_b = np.cumsum(self.n_a), np.cumsum(self.n_b)
+        last = np.zeros(len(self.a), np.int64)
+        last[upto_a - 1] = 1
+        out[np.arange(len(self.a)) + (upto_b - self.n_b)[self.group_a]] = self.a * 2 + last
+        last = np.zeros(len(self.b), np.int64)
+        last[upto_b - 1] = 1
+        last[upto_b[-1:] - 1] = 2
+        if ends is not None:
+            last[upto_b[ends] - 1] = 2
+        out[np.arange(len(self.b)) + upto_a[self.group_b]] = offset + self.b * 3 + last
+        return "".join(map(names.__getitem__, out.tolist()))
 
     def sides(self) -> tuple[np.ndarray, ...]:
         """Distinct ids of each group with their numbers: group, id, n of the left and of the right side."""
@@ -134,13 +143,16 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         if max(len(self.bytes_a), len(self.bytes_b)) > spill.WIDTH:
             raise ValueError(f"more than {spill.WIDTH} ids")
-        self.name_a, self.name_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
+        self.names = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"]
+        self.offset = len(self.names)
+        self.names += [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;\n"]
         # tokens begin at the space before a word on both sides: then words are apart
         self.starts_a = np.array([t[:1] == b" " for t in self.bytes_a])
         self.starts_b = np.array([p[:1] == _SPACE for p in pieces])
         probe = "a  b  c​ﬁΩ "
         self.by_word = (not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-                        and not any(b" " in t.lstrip(b" ") for t in self.bytes_a)
+                        # a space inside a token only after other white space, which no word ends in
+                        and not any(_INNER_SPACE.search(t.decode(errors="replace")) for t in self.bytes_a)
                         and b"".join(map(self.bytes_b.__getitem__, self.right.encode(probe))) == b" " + probe.encode()
                         and b"".join(map(self.bytes_a.__getitem__, self._a(" " + probe))) == b" " + probe.encode()
                         and getattr(self.left.pre_tokenizer, "use_regex", False))
@@ -149,17 +161,46 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.strings: list[str] = []
-        #: per word: tokens on both sides, groups, links, then its pairs and their times
-        self.figures = np.zeros((1 << 12, 4), np.int64)
+        #: per word: tokens on both sides, groups, links, place and number of its pairs
+        self.figures = np.zeros((1 << 12, 6), np.int64)
+        #: pairs of all words and their times, as they were learned
         self.pairs: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
+        self.n_pairs = 0
+        #: per word: in how many slices it was
+        self.uses = np.zeros(1 << 12, np.int32)
+
+    def pairs_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of the words one after another, their times, and how many each word has."""
+        place, n = self.figures[words, 4], self.figures[words, 5]
+        at = np.repeat(place - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs, times = (np.concatenate(c)[at] for c in (self.pairs, self.times))
+        return pairs, times, n
+
+    def shrink(self) -> None:
+        """Forget the words that were in one slice alone."""
+        kept = np.flatnonzero(self.uses[:len(self.strings)] > 1)
+        if not 0 < len(kept) <= REMEMBERED:
+            self.forget()
+            return
+        number = np.full(len(self.strings), -1)
+        number[kept] = np.arange(len(kept))
+        pairs, times, n = self.pairs_of(kept)
+        figures = self.figures[kept]
+        figures[:, 4] = np.cumsum(n) - n
+        old = np.fromiter(self.known.values(), np.int64, len(self.known))
+        known = {w: k for w, k in zip(self.known, np.where(old >= 0, number[old], -1).tolist()) if k >= 0}
+        strings = [self.strings[k] for k in kept.tolist()]
+        self.forget()
+        self.known, self.strings, self.figures, self.pairs, self.times = known, strings, figures, [pairs], [times]
+        self.n_pairs, self.uses = len(pairs), np.ones(len(kept), np.int32)
 
     def _a(self, text: str) -> list[int]:
         return self.left.encode(text, add_special_tokens=False).ids
 
-    def whole(self, text: str) -> _Aligned | None:
+    def whole(self, text: str, a: list[int] | None = None) -> _Aligned | None:
         """The alignment of a space and the text; None if a side doesn't give its bytes back."""
-        a, b = self._a(" " + text), self.right.encode(text)
+        a, b = self._a(" " + text) if a is None else a, self.right.encode(text)
         want = b" " + text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return None
@@ -170,9 +211,11 @@ class Aligner:
         new = list(words - self.known.keys())
         self.known.update(dict.fromkeys(new, -1))
         apart = [w for w in new if w and len(w) <= LONGEST and not w[-1].isspace() and _SPACE not in w]
-        for at in range(0, len(apart), _GROUPED):
-            group = apart[at:at + _GROUPED]
-            found = self.whole(" ".join(group))
+        groups = [apart[at:at + _GROUPED] for at in range(0, len(apart), _GROUPED)]
+        joined = [" ".join(g) for g in groups]
+        encoded = self.left.encode_batch_fast([" " + j for j in joined], add_special_tokens=False)
+        for group, text, left in zip(groups, joined, encoded):
+            found = self.whole(text, left.ids)
             if found is None or not self._take(group, found):
                 for word in group:
                     if (one := self.whole(word)) is not None:
@@ -186,25 +229,22 @@ class Aligner:
         if len(first_a) != len(group) or len(first_b) != len(group):
             return False
         cut = found.group_a[first_a]
-        strings = found.strings(self.name_a, self.name_b)
+        n_groups = len(found.ends)
         group_a, a, n_a, group_b, b, n_b = found.sides()
         left, pairs, times = expand(group_a, a, n_a, group_b, b, n_b)
-        pair_word = np.searchsorted(cut, group_a[left], "right") - 1
-        pair_ends = np.searchsorted(pair_word, np.arange(len(group)), "right").tolist()
-        tokens_a, tokens_b = np.diff(first_a, append=len(found.a)).tolist(), np.diff(first_b, append=len(found.b)).tolist()
-        links = np.add.reduceat(found.n_a * found.n_b, cut).tolist()
-        cuts = [*cut.tolist(), len(strings)]
-        start = 0
-        for k, word in enumerate(group):
-            p, q = cuts[k], cuts[k + 1]
-            self.known[word] = len(self.strings)
-            self.strings.append(strings[p] if q == p + 1 else ";".join(strings[p:q]))
-            if self.known[word] == len(self.figures):
-                self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
-            self.figures[self.known[word]] = tokens_a[k], tokens_b[k], q - p, links[k]
-            self.pairs.append(pairs[start:pair_ends[k]].copy())
-            self.times.append(times[start:pair_ends[k]].copy())
-            start = pair_ends[k]
+        ends = np.searchsorted(group_a[left], [*cut[1:].tolist(), n_groups])
+        first, n = len(self.strings), len(group)
+        if first + n > len(self.figures):
+            self.figures = np.concatenate([self.figures, np.zeros((max(n, len(self.figures)), 6), np.int64)])
+        starts = np.concatenate([[0], ends[:-1]])
+        self.figures[first:first + n] = np.column_stack([
+            np.diff(first_a, append=len(found.a)), np.diff(first_b, append=len(found.b)), np.diff(cut, append=n_groups),
+            np.add.reduceat(found.n_a * found.n_b, cut), self.n_pairs + starts, ends - starts])
+        self.pairs.append(pairs)
+        self.times.append(times)
+        self.n_pairs += len(pairs)
+        self.known.update(zip(group, range(first, first + n)))
+        self.strings += found.text(self.names, self.offset, cut[1:] - 1).splitlines()
         return True
 
 
@@ -225,8 +265,7 @@ class _Slice:
         self.wholes: list[tuple[int, _Aligned]] = []
         self.size = self.bytes = 0
 
-    def _groups(self, strings: list[str]) -> str:
-        text = ";".join(strings)
+    def _groups(self, text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest() if self.digest else text
 
     def add(self, doc_id: int | None, text: str, words: list[str]) -> None:
@@ -241,8 +280,8 @@ class _Slice:
             if index.min() >= 0:
                 self.words.append(index)
                 self.word_docs.append(at)
-                figures = aligner.figures[index].sum(0).tolist()
-                self.rows.append((doc_id, *figures, self._groups(map(aligner.strings.__getitem__, index.tolist()))))
+                figures = aligner.figures[index, :4].sum(0).tolist()
+                self.rows.append((doc_id, *figures, self._groups(";".join(map(aligner.strings.__getitem__, index.tolist())))))
                 return
         found = aligner.whole(text)
         if found is None:
@@ -251,7 +290,14 @@ class _Slice:
         self.wholes.append((at, found))
         self.size += len(found.a)
         self.rows.append((doc_id, len(found.a), len(found.b), len(found.ends), int((found.n_a * found.n_b).sum()),
-                          self._groups(found.strings(aligner.name_a, aligner.name_b))))
+                          self._groups(found.text(aligner.names, aligner.offset)[:-1])))
+
+    def count_uses(self) -> None:
+        aligner = self.aligner
+        if (more := len(aligner.strings) - len(aligner.uses)) > 0:
+            aligner.uses = np.concatenate([aligner.uses, np.zeros(more, np.int32)])
+        if self.words:
+            aligner.uses[np.unique(np.concatenate(self.words))] += 1
 
     def full(self) -> bool:
         return self.size >= SLICE_WORDS or self.bytes >= SLICE_BYTES or len(self.rows) >= SLICE_DOCS
@@ -266,10 +312,7 @@ class _Slice:
             doc = np.repeat(self.word_docs, list(map(len, self.words)))
             key, n_word = np.unique(doc * len(used) + number, return_counts=True)
             docs, word = key // len(used), key % len(used)
-            used = used.tolist()
-            word_pairs = np.array([len(aligner.pairs[w]) for w in used], np.int64)
-            pairs = np.concatenate([aligner.pairs[w] for w in used])
-            times = np.concatenate([aligner.times[w] for w in used])
+            pairs, times, word_pairs = aligner.pairs_of(used)
         sides = [(at, found.sides()) for at, found in self.wholes]
         total = int(word_pairs[word].sum()) + sum(
             int((np.bincount(s[0]) * np.bincount(s[3])).sum()) for _, s in sides)
@@ -283,12 +326,14 @@ class _Slice:
             own_starts, own_n = kept[starts], kept[starts + word_pairs] - kept[starts]
             n = own_n[word] if len(word) else word
             at = np.repeat(own_starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(word) else word
-            found = [(own_pairs[at], np.repeat(docs, n), own_times[at] * np.repeat(n_word, n))]
+            found = [(at, np.repeat(docs, n), own_times[at] * np.repeat(n_word, n))]
+            listed = [own_pairs]
             for doc, (group_a, a, n_a, *right) in sides:
                 left = mine(a) if parts > 1 else slice(None)
                 _, p, t = expand(group_a[left], a[left], n_a[left], *right)
-                found.append((p, np.full(len(p), doc), t))
-            yield from spill.cut_runs(*map(np.concatenate, zip(*found)), radices)
+                found.append((np.arange(len(p)) + sum(map(len, listed)), np.full(len(p), doc), t))
+                listed.append(p)
+            yield from spill.cut_runs(np.concatenate(listed), *map(np.concatenate, zip(*found)), radices)
 
 
 _ALIGNED = pa.schema([
@@ -307,6 +352,7 @@ def _aligned(path_a: str, path_b: str, radices: int, digest: bool) -> Callable:
 
         def close() -> Iterator[pa.RecordBatch]:
             number = next(numbers)
+            held.count_uses()
             for at in range(0, len(held.rows), 1 << 10):
                 some = held.rows[at:at + (1 << 10)]
                 columns = [[number] * len(some), range(at, at + len(some)), *zip(*some)]
@@ -319,12 +365,12 @@ def _aligned(path_a: str, path_b: str, radices: int, digest: bool) -> Callable:
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 split = [t.split(" ") for t in texts]
                 if aligner.by_word:
-                    if len(aligner.known) > REMEMBERED and not held.rows:
-                        aligner.forget()
+                    if len(aligner.known) > 2 * REMEMBERED and not held.rows:
+                        aligner.shrink()
                     aligner.learn(set().union(*split))
                 for row in zip(ids, texts, split):
                     held.add(*row)
-                if held.full() or len(aligner.known) > 2 * REMEMBERED:
+                if held.full() or len(aligner.known) > 3 * REMEMBERED:
                     yield from close()
                     held = _Slice(aligner, digest)
         if held.rows:

@@ -71,19 +71,26 @@ def radix_of(left: np.ndarray, radices: int) -> np.ndarray:
     return ((left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % radices
 
 
-def cut_runs(pairs: np.ndarray, docs: np.ndarray, times: np.ndarray, radices: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(radix, first pair, pairs section, documents section) of a slice's records, in any order and with repeats."""
-    if not len(pairs):
+def cut_runs(pairs: np.ndarray, number: np.ndarray, docs: np.ndarray, times: np.ndarray,
+             radices: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(radix, first pair, pairs section, documents section) of a slice's records (pairs[number], docs, times), in any
+    order and with repeats.  All of ``pairs``, which may repeat, must be the pair of a record."""
+    if not len(number):
         return
-    distinct, number = np.unique(pairs, return_inverse=True)
+    distinct, own = np.unique(pairs, return_inverse=True)
     radix = radix_of(distinct // WIDTH, radices)
     by_radix = np.lexsort((distinct, radix))
     place = np.empty(len(distinct), np.int64)
     place[by_radix] = np.arange(len(distinct))
     distinct, radix = distinct[by_radix], radix[by_radix]
-    key = place[number] * DOCS + docs
-    order = np.argsort(key)
-    key, times = key[order], times[order]
+    key = place[own][number] * DOCS + docs
+    bits = int(times.max()).bit_length()
+    if bits + int(key.max()).bit_length() < 63:  # one number for both sorts faster
+        key = np.sort(key << bits | times)
+        key, times = key >> bits, key & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key)
+        key, times = key[order], times[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     times, key = np.add.reduceat(times, first), key[first]
     place, docs = key // DOCS, key % DOCS

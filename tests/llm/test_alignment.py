@@ -28,7 +28,7 @@ def test_runs_and_merge():
             per_doc[p, d] += t
         want.update(p for p, _ in per_doc)
         back = collections.Counter()
-        for radix, first, section, doc_section in spill.cut_runs(pairs, docs, times, 7):
+        for radix, first, section, doc_section in spill.cut_runs(*np.unique(pairs, return_inverse=True), docs, times, 7):
             own, n_docs = spill.unpack_pairs(section)
             assert first == own[0] and (np.diff(own) > 0).all() and (spill.radix_of(own // spill.WIDTH, 7) == radix).all()
             for k, d, t in zip(*(x.tolist() for x in spill.run_documents(n_docs, doc_section))):
