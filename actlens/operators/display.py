@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens.functions.order import with_position
-from actlens.functions.text import collapse_ws, map_lookup, utrim
+from actlens.functions.text import collapse_ws, map_lookup, nonempty, utrim
 
 # --- FIXED VALUES: card labels per source ---------------------------------
 SOURCE_LABEL = [("PARLIAMENT", "Parliament"), ("LEGISLATION", "Legislation"),
@@ -26,14 +26,23 @@ def first_sentence(c: Column, max_length: int = 200) -> Column:
             .otherwise(cut))
 
 
+#: Fields that an item's text may be in, the first non-empty one counts.
+CONTENT_FIELDS = ["summary", "description", "content", "body"]
+
+
+def content(df: DataFrame) -> Column:
+    """The text of an item: the first non-empty of the content fields that the table has."""
+    return F.coalesce(*[nonempty(F.col(c)) for c in CONTENT_FIELDS if c in df.columns], F.lit(""))
+
+
 def audit_lines(df: DataFrame) -> DataFrame:
-    """O.77: running number, title, first sentence of the summary, date,
+    """O.77: running number, title, first sentence of the content, date,
     URL cut to 80 characters (+ '...')."""
     url = F.coalesce(F.col("url"), F.lit("[No URL]"))
     lines = df.select(
         "seq",
         F.coalesce(F.col("title"), F.lit("[No title]")).alias("title"),
-        first_sentence(F.col("summary")).alias("first_sentence"),
+        first_sentence(content(df)).alias("first_sentence"),
         F.coalesce(F.col("date"), F.lit("[No date]")).alias("date"),
         F.concat(F.substring(url, 1, 80), F.when(F.length(url) > 80, F.lit("...")).otherwise(F.lit(""))).alias("url"),
     )

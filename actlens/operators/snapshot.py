@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens import rules
+
 DIFF_FIELDS = ["id", "title", "date", "source_system", "url", "primary_entity", "summary", "labels", "metadata"]
 
 
@@ -66,12 +68,14 @@ def last_change(history: DataFrame, key: str = "id") -> DataFrame:
 
 
 def export_json(df: DataFrame, path: str, summary: DataFrame | None = None) -> None:
-    """O.18: rows as JSON lines (ordered by ``pos`` when present) plus the
-    one-row summary next to them."""
+    """O.18: rows as JSON lines (ordered by ``pos`` when present), and next to
+    them the one-row summary (``export_summary``) and the list of labels."""
     rows = df.orderBy("pos") if "pos" in df.columns else df
     rows.write.mode("overwrite").json(f"{path}/actions")
     if summary is not None:
         summary.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    labels = df.sparkSession.createDataFrame([(k, x) for k, x in enumerate(rules.LABELS)], "pos int, label string")
+    labels.coalesce(1).write.mode("overwrite").json(f"{path}/labels")
 
 
 def write_feed(df: DataFrame, path: str) -> None:

@@ -105,6 +105,22 @@ def audit_flags(df: DataFrame) -> DataFrame:
         .drop("_fid", "_furl")
 
 
+def audit_messages(df: DataFrame) -> DataFrame:
+    """O.73: the audit's messages (seq, level, message): errors for missing
+    fields and later occurrences of an id, warnings for those of a URL.  A
+    missing id or URL that occurs again is a later occurrence too."""
+    falsy = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    text = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    note = lambda level, *parts: F.struct(F.lit(level).alias("level"), F.concat(
+        F.lit("Action "), F.col("seq").cast("string"), F.lit(": "), *parts).alias("message"))
+    notes = F.array(
+        *[F.when(falsy(c), note("error", F.lit(f"Missing {name}"))) for c, name in (("id", "ID"), ("title", "title"), ("url", "URL"))],
+        F.when(F.col("dup_id"), note("error", F.lit("Duplicate ID "), text("id"))),
+        F.when(F.col("dup_url"), note("warning", F.lit("Duplicate URL "), text("url"))))
+    listed = audit_flags(df).select("seq", F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("n"))
+    return listed.select("seq", "n.level", "n.message")
+
+
 def available_sources(df: DataFrame) -> DataFrame:
     """O.75: per-source counts over the four sources, zero-filled."""
     spark = df.sparkSession

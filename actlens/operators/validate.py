@@ -189,6 +189,16 @@ def validation_summary(validated: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def validation_messages(validated: DataFrame) -> DataFrame:
+    """O.46: the error list -- row number, place in the row's list and message."""
+    return validated.select("seq", F.posexplode("_errors").alias("place", "message"))
+
+
+def fixed_rows(validated: DataFrame) -> DataFrame:
+    """O.46: numbers of the rows in which a value was changed."""
+    return validated.filter("_fixed").select("seq")
+
+
 def schema_check(df: DataFrame) -> DataFrame:
     """O.47: keep records the record schema accepts; ``reject_reason`` NULL.
 

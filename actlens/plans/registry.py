@@ -1114,7 +1114,7 @@ _DATE_OK = ("regexp_matches(date, '^\\d{4}-(?:1[0-2]|0[1-9]|[1-9])-(?:3[01]|[12]
 _URL_OK = "regexp_matches(url, " + o.q(val.URL_RE.replace("(?i)", "(?i)")) + ")"
 
 
-@register("convert", f"""
+_CONVERTED = f"""
 WITH r AS ({_RAW}),
 acts AS (SELECT b.seq, b.id, b.date, r.url, 'LEGISLATION' AS source_system, b.commencement_date
          FROM ({ORACLES['build_act']}) b JOIN r USING (seq)),
@@ -1126,7 +1126,10 @@ rel AS (SELECT seq, 'bee-{RUN_TS.year}-' || substring(regexp_replace(coalesce({_
               || '-v1' AS id, '2025-01-01' AS date, url, 'BEEHIVE' AS source_system, NULL AS commencement_date
             FROM r WHERE source_system = 'BEEHIVE' AND title <> '' AND url <> ''
               AND starts_with(url, 'https://www.beehive.govt.nz/') AND length(title) BETWEEN 10 AND 500),
-u AS (SELECT * FROM acts UNION ALL SELECT * FROM notices UNION ALL SELECT * FROM bills UNION ALL SELECT * FROM rel)
+u AS (SELECT * FROM acts UNION ALL SELECT * FROM notices UNION ALL SELECT * FROM bills UNION ALL SELECT * FROM rel)"""
+
+
+@register("convert", _CONVERTED + f"""
 SELECT seq, id, source_system FROM u WHERE {_ID_OK} AND {_DATE_OK} AND {_URL_OK}
   AND (commencement_date IS NULL OR (regexp_matches(commencement_date, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$')
        AND try_strptime(commencement_date, '%Y-%m-%d') IS NOT NULL))""")
@@ -1135,7 +1138,10 @@ def q_convert(spark, sf):
     return ok.select("seq", "id", "source_system")
 
 
-@register("convert_rejects")
+@register("convert_rejects", _CONVERTED + f"""
+SELECT * FROM (SELECT seq, id, source_system, CASE WHEN NOT {_ID_OK} THEN 'id' WHEN NOT ({_DATE_OK}) THEN 'date' WHEN NOT {_URL_OK} THEN 'url'
+  WHEN commencement_date IS NOT NULL AND try_strptime(commencement_date, '%Y-%m-%d') IS NULL THEN 'commencement_date' END AS reject_reason FROM u)
+WHERE reject_reason IS NOT NULL""")
 def q_convert_rejects(spark, sf):
     _, bad = pl.convert(_convert_parts(spark, sf), RUN_TS)
     return bad.select("seq", "id", "source_system", "reject_reason")
@@ -1204,14 +1210,6 @@ def q_write_snapshot(spark, sf):
     return snap.latest_snapshot(spark, path).select("seq", "id", "title", "run_date", "source_system")
 
 
-@register("export_json")
-def q_export_json(spark, sf):
-    path = scratch_path(spark, "export")
-    rows = st.export_table(validated(spark, sf)).select("pos", "id", "title", "date", "source_system", "url", _labels_str())
-    snap.export_json(rows, path, st.export_audit(adapter.actions(spark, sf)))
-    return spark.read.json(f"{path}/actions")
-
-
 # ------------------------------------------- stage parsing, date profiles, feed sink
 from actlens.functions.dates import PROFILES as _PROFILES  # noqa: E402
 
@@ -1272,3 +1270,7 @@ def q_extract_bill_stages(spark, sf):
     rows = _make_extract("bill_stages")(spark, sf)
     parsed = bld.parse_stage(F.col("title"), F.nullif(F.col("extra"), F.lit("")), F.nullif(F.col("date_text"), F.lit("")))
     return rows.select("page_id", "pos", parsed["stage"].alias("stage"), parsed["date"].alias("date"))
+
+
+# ---------------------------------------------- index, history and run stores
+from actlens.plans import registry_messages, registry_runs, registry_stores  # noqa: E402, F401

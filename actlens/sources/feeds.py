@@ -36,14 +36,18 @@ RSS_ITEM = T.StructType([
 ])
 
 
-def _entries(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    """Elements of XML files with ``seq``, from 0 on: by file name, then by place in the file.  A file is read whole
-    by one task (multiLine), so the ids of its rows rise with their places; how files are packed into tasks has no
-    effect on ``seq``."""
+def entries_with_file(spark: SparkSession, path: str | list[str], tag: str, schema: T.StructType) -> DataFrame:
+    """Elements of XML files with ``file`` and ``seq``, from 0 on: by file name, then by place in the file.  A file is
+    read whole by one task (multiLine), so the ids of its rows rise with their places; how files are packed into tasks
+    has no effect on ``seq``."""
     rows = (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("multiLine", True)
             .schema(schema).load(path)
-            .select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place")))
-    return with_position(rows, "_file", "_place", pos_col="seq").withColumn("seq", F.col("seq") - 1).drop("_file", "_place")
+            .select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_place")))
+    return with_position(rows, "file", "_place", pos_col="seq").withColumn("seq", F.col("seq") - 1).drop("_place")
+
+
+def _entries(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    return entries_with_file(spark, path, tag, schema).drop("file")
 
 
 def read_act_feed(spark: SparkSession, path: str, run_ts: dt.datetime) -> DataFrame:
