@@ -14,7 +14,7 @@ the stored partitions are dealt as they were.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlens import rules
@@ -50,14 +50,11 @@ def fan_out(df: DataFrame) -> DataFrame:
 def feed_rows(df: DataFrame) -> DataFrame:
     """``fan_out`` with ``pos``, the place in the feed (1: newest): the feed's rows number themselves by partition offsets."""
     placed = _placed(fan_out(df))
-    counts = placed.groupBy("feed", "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    later = counts.select("feed", F.col("_pid").alias("_before"), "_n")
-    # a feed's partitions follow one another: pairs of partitions of one feed, not of rows
-    offsets = counts.select("feed", "_pid").join(later, "feed").groupBy("feed", "_pid").agg(
-        F.sum(F.when(F.col("_before") < F.col("_pid"), F.col("_n")).otherwise(0)).alias("_off"))
-    first = placed.groupBy("feed", "_pid").agg(F.min("_idx").alias("_first"))
-    start = offsets.join(first, ["feed", "_pid"])
-    out = placed.join(F.broadcast(start), ["feed", "_pid"])  # one row a feed and partition
+    # one row a feed and partition: their running sums are offsets
+    parts = placed.groupBy("feed", "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
+    before = Window.partitionBy("feed").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    start = parts.select("feed", "_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = placed.join(F.broadcast(start), ["feed", "_pid"])
     return out.withColumn("pos", F.col("_off") + F.col("_idx") - F.col("_first") + 1).drop("feed", "_pid", "_idx", "_off", "_first")
 
 

@@ -203,11 +203,11 @@ def schema_check(df: DataFrame) -> DataFrame:
     """O.47: keep records the record schema accepts; ``reject_reason`` NULL.
 
     Use ``schema_rejects`` for the quarantine side."""
-    return df.withColumn("reject_reason", _reject_reason()).filter(F.col("reject_reason").isNull())
+    return df.withColumn("reject_reason", reject_reason()).filter(F.col("reject_reason").isNull())
 
 
 def schema_rejects(df: DataFrame) -> DataFrame:
-    return df.withColumn("reject_reason", _reject_reason()).filter(F.col("reject_reason").isNotNull())
+    return df.withColumn("reject_reason", reject_reason()).filter(F.col("reject_reason").isNotNull())
 
 
 def _strict_iso(c: Column) -> Column:
@@ -216,7 +216,8 @@ def _strict_iso(c: Column) -> Column:
     return F.coalesce(shape & F.try_to_date(c, "yyyy-M-d").isNotNull(), F.lit(False))
 
 
-def _reject_reason() -> Column:
+def reject_reason() -> Column:
+    """The first field that the record schema refuses; NULL for an accepted record."""
     hist = F.col("metadata.stage_history")
     bad_stage = F.coalesce(F.exists(hist, lambda s: _falsy(s["stage"]) | ~_strict_iso(s["date"])), F.lit(False))
     commence = F.col("metadata.commencement_date")

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens import adapter
+from actlens.operators import feeds_out
 from actlens.operators import search as srch
 from actlens.operators import text_index
 from actlens.operators.history import History
 from actlens.plans import oracle as o
-from actlens.plans.registry import _SEARCH_CASES, _search_sql, _STAGE_NULLING, labelled, register
+from actlens.plans.registry import _DATE_KEY, _SEARCH_CASES, _search_sql, _STAGE_NULLING, labelled, register
 from actlens.session import scratch_path
 
 # ------------------------------------------------------------- indexed search
@@ -101,3 +102,26 @@ SELECT base, TIMESTAMP '2025-12-13 00:00:00' + INTERVAL 1 DAY * max(
   CASE WHEN c4 <> c3 THEN 4 WHEN c3 <> c2 THEN 3 WHEN c2 <> c1 THEN 2 ELSE 1 END) AS last_changed FROM n GROUP BY base"""))
 def q_history_last_change(spark, sf):
     return _history(spark, sf).last_change()
+
+
+# -------------------------------------------------------------------- feeds
+_FEEDS_SQL = f""", f AS (SELECT seq, id, date, unnest(['ALL', source_system]) AS source, labels FROM lab),
+g AS (SELECT seq, id, date, source, unnest(list_concat([''], labels)) AS label FROM f),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, label ORDER BY {_DATE_KEY} DESC NULLS LAST, seq) AS BIGINT) AS pos FROM g)
+"""
+
+
+@register("feed_fan_out", o.with_labelled(_FEEDS_SQL + "SELECT source, label, pos, seq FROM p"))
+def q_feed_fan_out(spark, sf):
+    return feeds_out.feed_rows(labelled(spark, sf)).select(
+        F.col("feed_source").alias("source"), F.coalesce("feed_label", F.lit("")).alias("label"), "pos", "seq")
+
+
+@register("write_all_feeds", o.with_labelled(
+    _FEEDS_SQL + "SELECT CASE WHEN label = '' THEN source ELSE source || '~' || label END AS feed, id FROM p"))
+def q_write_all_feeds(spark, sf):
+    """Every feed written as documents and read back."""
+    path = scratch_path(spark, "feeds")
+    feeds_out.write_feeds(labelled(spark, sf), path)
+    items = spark.read.format("xml").option("rowTag", "item").schema("guid string, feed string").load(path)
+    return items.select("feed", F.col("guid").alias("id"))

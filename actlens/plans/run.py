@@ -122,10 +122,16 @@ class _Log:
             F.col("seq").alias("row"), F.concat(F.lit("Record refused: "), "reject_reason").alias("message")))
 
 
-def _by_source(df: DataFrame, *aggs) -> dict[str, tuple]:
-    """Counts by source; there are as many as the checked records have sources, or the run's readers."""
-    out = df.groupBy("source_system").agg(F.count(F.lit(1)), *aggs).collect()
-    return {r[0]: tuple(r[1:]) for r in out}
+def _checked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int, int, int]]]:
+    """The stage's stored records that the schema check accepts, those that it refuses, and by source how many are
+    accepted and refused, and how many errors and repairs validation noted.  Sources are the run's readers or, after
+    validation, the four source systems."""
+    held = materialize(df.withColumn("reject_reason", val.reject_reason()), name)
+    refused = F.col("reject_reason").isNotNull()
+    noted = [F.coalesce(F.sum(F.size("_errors")), F.lit(0)), F.coalesce(F.count_if("_fixed"), F.lit(0))] \
+        if "_errors" in held.columns else [F.lit(0), F.lit(0)]
+    counts = held.groupBy("source_system").agg(F.count_if(~refused), F.count_if(refused), *noted).collect()
+    return held.where(~refused).drop("reject_reason"), held.where(refused), {r[0]: tuple(r[1:]) for r in counts}
 
 
 def collect(readers: dict[str, Reader], log: _Log, limit: int | None = None) -> dict[str, DataFrame]:
@@ -156,15 +162,17 @@ def collect(readers: dict[str, Reader], log: _Log, limit: int | None = None) ->
     return parts
 
 
-def convert(parts: dict[str, DataFrame], run_ts: dt.datetime, log: _Log, builders: dict | None = None) -> DataFrame:
-    """O.27: accepted records in source order, numbered from 0 on; stored."""
+def convert(parts: dict[str, DataFrame], run_ts: dt.datetime, log: _Log,
+            builders: dict | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """O.27: accepted records in source order, numbered from 0 on, and their number by source; stored."""
     spark = log.spark
     builders = builders or BUILDERS
     built = spark.createDataFrame([], RECORD).withColumn("source_rank", F.lit(0))
     read: dict[str, tuple[int, float]] = {}
+    collected = {m[1]: m[3] for m in log.metrics if m[0] == "collect"}
     for source in sorted(parts, key=lambda s: rules.SOURCES.index(s) if s in rules.SOURCES else len(rules.SOURCES)):
         start = time.monotonic()
-        n = parts[source].count()
+        n = collected[source]
         try:
             records = builders[source](parts[source], run_ts)
             records = records.select("seq", "id", "title", "date", "source_system", "url", "primary_entity", "summary", "metadata",
@@ -178,49 +186,36 @@ def convert(parts: dict[str, DataFrame], run_ts: dt.datetime, log: _Log, builder
         read[source] = (n, start)
         built = built.unionByName(records, allowMissingColumns=True)
     ordered = with_position(built, "source_rank", "seq").withColumn("seq", F.col("pos") - 1).drop("pos", "source_rank")
-    whole = materialize(ordered.withColumn("_text", collapse_ws("summary")), "converted")
-    good, bad = val.schema_check(whole).drop("reject_reason"), val.schema_rejects(whole)
-    kept, refused = _by_source(good), _by_source(bad)
+    good, bad, found = _checked(ordered.withColumn("_text", collapse_ws("summary")), "converted")
     log.refuse("convert", bad)
     for source, (n, start) in read.items():
-        log.count("convert", source, n, kept.get(source, (0,))[0], refused.get(source, (0,))[0], since=start)
-    return materialize(good, "accepted")
+        log.count("convert", source, n, *found.get(source, (0, 0))[:2], since=start)
+    return good, {source: c[0] for source, c in found.items() if c[0]}
 
 
-def process(df: DataFrame, run_ts: dt.datetime, log: _Log, stages: dict[str, Stage] | None = None) -> DataFrame:
-    """The stages one after another; a stage that raises leaves its input to the next."""
-    counts = _by_source(df)
+def process(df: DataFrame, counts: dict[str, int], run_ts: dt.datetime, log: _Log,
+            stages: dict[str, Stage] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The stages one after another; a stage that raises leaves its input to the next.  ``counts``: records by source."""
     for name, stage in (STAGES if stages is None else stages).items():
         start = time.monotonic()
         try:
-            out = materialize(stage(df, run_ts), f"stage-{name}")
-            bad = val.schema_rejects(out)
-            good = materialize(val.schema_check(out).drop("reject_reason", "_errors", "_fixed"), f"checked-{name}")
-            judged = [c for c in ("_errors", "_fixed") if c in out.columns]
-            found = _by_source(out, *([F.sum(F.size("_errors")), F.sum(F.col("_fixed").cast("int"))] if judged else [])) \
-                if "source_system" in out.columns else {}
-            refused, kept = _by_source(bad), _by_source(good)
+            good, bad, found = _checked(stage(df, run_ts), f"stage-{name}")
         except Exception as e:  # noqa: BLE001
             log.error(name, ALL, e)
-            for source, (n, *_) in counts.items():
+            for source, n in counts.items():
                 log.count(name, source, n, n, ok=False)
-            log.count(name, ALL, *(2 * [sum(c[0] for c in counts.values())]), ok=False, since=start)
+            log.count(name, ALL, *(2 * [sum(counts.values())]), ok=False, since=start)
             continue
         log.refuse(name, bad)
-        if judged:
-            log.tables.append(out.select(F.lit(name).alias("stage"), F.col("source_system").alias("source"),
-                                         F.lit("warning").alias("level"), F.col("seq").alias("row"),
-                                         F.explode("_errors").alias("message")))
-        total = [0, 0, 0, 0, 0]
-        for source in sorted({*counts, *kept, *refused}, key=str):
-            of = found.get(source, (0, 0, 0))
-            row = [counts.get(source, (0,))[0], kept.get(source, (0,))[0], refused.get(source, (0,))[0],
-                   *((of[1] or 0, of[2] or 0) if judged else (0, 0))]
-            log.count(name, source, *row)
-            total = [a + b for a, b in zip(total, row)]
-        log.count(name, ALL, *total, since=start)
-        df, counts = good, kept
-    return df
+        if "_errors" in good.columns:
+            log.tables.append(good.unionByName(bad.drop("reject_reason")).select(
+                F.lit(name).alias("stage"), F.col("source_system").alias("source"), F.lit("warning").alias("level"),
+                F.col("seq").alias("row"), F.explode("_errors").alias("message")))
+        for source in sorted({*counts, *found}, key=str):
+            log.count(name, source, counts.get(source, 0), *found.get(source, (0, 0, 0, 0)))
+        log.count(name, ALL, sum(counts.values()), *(sum(c[k] for c in found.values()) for k in range(4)), since=start)
+        df, counts = good.drop("_errors", "_fixed"), {source: c[0] for source, c in found.items() if c[0]}
+    return df, counts
 
 
 def run(spark: SparkSession, readers: dict[str, Reader], run_ts: dt.datetime, limit: int | None = None,
@@ -234,8 +229,8 @@ def run(spark: SparkSession, readers: dict[str, Reader], run_ts: dt.datetime, li
     if not success:
         log.messages.append(("collect", ALL, "error", None, "No data from any source"))
     else:
-        df = process(convert(parts, run_ts, log, builders), run_ts, log, stages)
-        start, n = time.monotonic(), sum(c[0] for c in _by_source(df).values())
+        df, counts = process(*convert(parts, run_ts, log, builders), run_ts, log, stages)
+        start, n = time.monotonic(), sum(counts.values())
         try:
             tie = {"group_seq": False, "version_num": True, "seq": False} if "group_seq" in df.columns else None
             rows = materialize(st.export_table(df, tie=tie), "exported")
