@@ -39,6 +39,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -431,17 +432,19 @@ def _sampler(path: str, alpha: float, k: int, block_chars: int, emit: Callable)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, alpha)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            # a block's texts alone are Python strings at one time
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= block_chars):
-                    size += len(texts[upto])
+            while at < len(size):
+                upto, total = at, 0
+                while upto < len(size) and (upto == at or total + size[upto] <= block_chars):
+                    total += size[upto]
                     upto += 1
-                found = segmentations(texts[at:upto], [x or 0 for x in ids[at:upto]], vocab, k)
-                yield emit(ids[at:upto], texts[at:upto], list(found), vocab)
+                part = batch.slice(at, upto - at)
+                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+                yield emit(ids, texts, list(segmentations(texts, [x or 0 for x in ids], vocab, k)), vocab)
                 at = upto
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -493,4 +496,4 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The sampled segmentations of the documents that are left.  Blocks are smaller than elsewhere, as their ids
     are held until they are sent."""
-    return sampled(docs, block_chars=BLOCK_CHARS // 4)
+    return sampled(docs, block_chars=BLOCK_CHARS // 16)
