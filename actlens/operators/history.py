@@ -180,6 +180,16 @@ class History:
         status = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").otherwise("changed")
         return per_key.where("_moved").select(self.key, status.alias("status"), "n_old", "n_new")
 
+    def moved(self) -> tuple[str, DataFrame, DataFrame]:
+        """The last run and the intervals that it opened and closed, from the files it wrote."""
+        manifests = self._manifests()
+        run = max(manifests)
+        attempt = manifests[run][_OWN]
+        opened = self._open({b: a for b, a in manifests[run].items() if a == attempt})
+        closed = self._read("closed", [f"attempt={attempt}"])
+        opened = closed.limit(0) if opened is None else opened.where(F.col("valid_from") == run)
+        return run, opened.select(*self.fields, "copies"), closed.select(*self.fields, "copies")
+
     def last_change(self) -> DataFrame:
         """O.21: per key, the latest run at which its records changed, the first run's included."""
         moved = F.greatest("valid_from", F.coalesce("valid_to", "valid_from"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actlens import raw as rawmod
+from actlens import rules
 from actlens.plans import run as runs
 from actlens.plans.registry import (_ACT_ITEM_CTE, _DATE_OK, _ID_OK, _LAST_PART, _RAW, _URL_OK, ORACLES, RUN_DATE, RUN_TS,
-                                    _act_feed_path, register)
+                                    _act_feed_path, _tiered_events, register)
 from actlens.session import scratch_path
+from actlens.sources import combine as comb
 from actlens.sources import landing
 
 #: Items of a landed JSON document; the documents whose number leaves 3 by 5 are cut short.
@@ -137,3 +141,36 @@ def q_run_summary(spark, sf):
     store.write(found)
     return runs.summary(store.read("metrics"), store.read("messages")).drop("elapsed", "warnings")
 
+
+# ------------------------------------------------------------------ cascade
+@register("cascade_sources", ORACLES["first_nonempty"])
+def q_cascade_sources(spark, sf):
+    """O.12 by readers: the rows of ``first_nonempty``, without reading the tiers behind the first that has rows."""
+    events = _tiered_events(spark, sf)
+    reader = lambda s, t: lambda: events.where((F.col("source_system") == s) & (F.col("tier") == t)).select("event_id")
+    return comb.cascade_sources({s: [reader(s, t) for t in (1, 2, 3, 4)] for s in rules.SOURCES}).select(
+        "source_system", "event_id", "tier")
+
+
+#: The main feeds have two items less than the limit, as many and none.
+_GATES = {"short": 10, "full": 8, "empty": 10}
+
+
+def _gate_items(spark, sf, name: str):
+    r = rawmod.raw_items(spark, sf).where("source_system = 'BEEHIVE' AND title <> '' AND url <> ''").select("seq", "url")
+    main = r.where("false") if name == "empty" else r.where(F.col("seq") <= 4 * 8 + 3).orderBy("seq").limit(8)
+    return main.withColumn("feed", F.lit("main")), r.where(F.col("seq") % 3 == 0).withColumn("feed", F.lit("person"))
+
+
+@register("person_feed_gate", f"""WITH r AS ({_RAW}), i AS (SELECT seq, url FROM r WHERE source_system = 'BEEHIVE' AND title <> '' AND url <> ''),
+m AS (SELECT * FROM i WHERE seq <= 35 ORDER BY seq LIMIT 8)
+SELECT 'short' AS gate, 'main' AS feed, seq, url FROM m UNION ALL SELECT 'full', 'main', seq, url FROM m
+UNION ALL SELECT g, 'person', seq, url FROM i, (SELECT unnest(['short', 'empty']) AS g) WHERE seq % 3 = 0""")
+def q_person_feed_gate(spark, sf):
+    """O.3: person feeds are read where the main feeds have fewer rows than the limit."""
+    parts = []
+    for name, limit in _GATES.items():
+        main, person = _gate_items(spark, sf, name)
+        found = comb.cascade([lambda m=main: m, lambda p=person: p], least=limit, add=True)
+        parts.append(found.rows.select(F.lit(name).alias("gate"), "feed", "seq", "url"))
+    return reduce(DataFrame.unionByName, parts)

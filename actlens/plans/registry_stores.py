@@ -12,16 +12,16 @@ from actlens import adapter
 from actlens.operators import feeds_out
 from actlens.operators import search as srch
 from actlens.operators import text_index
-from actlens.operators.history import History
+from actlens.operators.counters import Counters
+from actlens.operators.history import History, run_name
 from actlens.plans import oracle as o
 from actlens.plans.registry import _DATE_KEY, _SEARCH_CASES, _search_sql, _STAGE_NULLING, labelled, register
 from actlens.session import scratch_path
 
 # ------------------------------------------------------------- indexed search
 #: The registered searches, and some that only the index has to answer.
-_INDEXED = list(_SEARCH_CASES.values()) + [
-    ("committee on the", {}), ("Bishop", {}), ("example.com/item/1", {}), ("-v2", {"case_sensitive": True}), ("no such words", {}),
-    ("press release", {"exact": True}), ("2024-0", {"metadata": False})]
+_INDEXED = [_SEARCH_CASES[k] for k in ("search", "search_metadata", "search_stage_history", "search_exact", "search_number")] + [
+    ("Bishop", {}), ("-v2", {"case_sensitive": True}), ("no such words", {}), ("2024-0", {"metadata": False}), ("Housing", {"stages": False})]
 
 
 def _config(kw: dict) -> srch.SearchConfig:
@@ -104,6 +104,43 @@ def q_history_last_change(spark, sf):
     return _history(spark, sf).last_change()
 
 
+# ------------------------------------------------------------ kept summaries
+_KEPT_SQL = """, k AS (SELECT r.run, r.id, r.url, x.date, x.source_system, x.labels
+  FROM r JOIN (SELECT id, date, source_system, list_filter(string_split(coalesce(labels_in, ''), '|'), lambda s: s <> '') AS labels FROM b) x
+  USING (id))
+"""
+
+
+def _kept(spark, sf) -> Counters:
+    history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=16)
+    counters = Counters(spark, scratch_path(spark, "counters"), buckets=16)
+    for run_ts, df in zip(_RUNS, _runs(spark, sf)):
+        history.merge(df, run_ts)
+        counters.update(*history.moved())
+    return counters
+
+
+@register("kept_summary", _runs_sql(_KEPT_SQL + """
+SELECT '2025-12-' || CAST(13 + run AS VARCHAR) AS run, count(*) AS total_actions, count(DISTINCT id) AS unique_ids,
+  count(*) - count(DISTINCT id) AS duplicate_ids, count(DISTINCT url) AS unique_urls, count(*) - count(DISTINCT url) AS duplicate_urls,
+  min(nullif(date, '')) AS earliest, max(nullif(date, '')) AS latest FROM k GROUP BY run"""))
+def q_kept_summary(spark, sf):
+    counters = _kept(spark, sf)
+    names = ["total_actions", "unique_ids", "duplicate_ids", "unique_urls", "duplicate_urls", "earliest", "latest"]
+    rows = [(ts.strftime("%Y-%m-%d"), *(counters.summary(run_name(ts))[c] for c in names)) for ts in _RUNS]
+    return spark.createDataFrame(rows, "run string, " + ", ".join(f"{c} {'string' if c in names[-2:] else 'long'}" for c in names))
+
+
+@register("kept_counts", _runs_sql(_KEPT_SQL + f"""
+SELECT 'source' AS kind, source_system AS value, count(*) AS n FROM k WHERE run = {_LAST} GROUP BY source_system
+UNION ALL SELECT 'label', l, count(*) FROM (SELECT unnest(labels) AS l FROM k WHERE run = {_LAST}) GROUP BY l
+UNION ALL SELECT 'url', url, count(*) FROM k WHERE run = {_LAST} GROUP BY url"""))
+def q_kept_counts(spark, sf):
+    counters = _kept(spark, sf)
+    return reduce(DataFrame.unionByName, (counters.counts(kind).select(F.lit(kind).alias("kind"), "value", "n")
+                                          for kind in ("source", "label", "url")))
+
+
 # -------------------------------------------------------------------- feeds
 _FEEDS_SQL = f""", f AS (SELECT seq, id, date, unnest(['ALL', source_system]) AS source, labels FROM lab),
 g AS (SELECT seq, id, date, source, unnest(list_concat([''], labels)) AS label FROM f),

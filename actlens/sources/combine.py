@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,58 @@ def first_nonempty(df: DataFrame, source_col: str = "source_system", tier_col: s
     return df.join(best, source_col).filter(F.col(tier_col) == F.col("_best")).drop("_best")
 
 
+@dataclass(frozen=True)
+class Cascade:
+    """What a cascade read: the rows, the tiers they are from, and what the tiers that raised said."""
+
+    rows: DataFrame | None
+    used: list[int]
+    problems: dict[int, str]
+
+
+def cascade(tiers: Sequence[Callable[[], DataFrame]], least: int = 1, add: bool = False) -> Cascade:
+    """O.12, O.3 with readers: a source's tiers are read one after another until one has ``least`` rows.
+
+    A tier is probed for that many rows, no more, so its read stops there; later tiers' readers aren't called.  A tier
+    that raises counts as empty.  With too few rows everywhere the first tier that has any gives its rows; with ``add``
+    the tiers read so far are put together instead, and ``least`` is of them all (the person feeds are added so to
+    main feeds with fewer rows than the limit)."""
+    used: list[int] = []
+    frames: list[DataFrame] = []
+    problems: dict[int, str] = {}
+    have = 0
+    for k, read in enumerate(tiers):
+        try:
+            df = read()
+            n = df.limit(least).count()  # the probe
+        except Exception as e:  # noqa: BLE001 - a tier that can't be read is one without rows
+            problems[k] = f"{type(e).__name__}: {(str(e).strip().splitlines() or [''])[0]}"
+            continue
+        if not n:
+            continue
+        if n >= least and not add:
+            return Cascade(df, [k], problems)
+        used, frames, have = [*used, k], [*frames, df], have + n
+        if add and have >= least:
+            break
+    if not frames:
+        return Cascade(None, [], problems)
+    if not add:
+        return Cascade(frames[0], used[:1], problems)
+    return Cascade(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), used, problems)
+
+
+def cascade_sources(sources: dict[str, Sequence[Callable[[], DataFrame]]], least: int = 1) -> DataFrame | None:
+    """The cascade of each source, with its name and the tier that gave its rows (``source_system``, ``tier``, from 1)."""
+    out = None
+    for name, tiers in sources.items():
+        found = cascade(tiers, least)
+        if found.rows is not None:
+            tagged = found.rows.withColumns({"source_system": F.lit(name), "tier": F.lit(found.used[0] + 1)})
+            out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out
+
+
 def union_sources(*parts: tuple[str, DataFrame]) -> DataFrame:
     """O.13: tag each part with its source and append in the fixed source
     order; ``seq`` = (source rank, position within the part)."""

@@ -56,54 +56,38 @@ def test_broken_files_and_documents(spark, landed):
     assert [r.id for r in sorted(rows, key=lambda r: r.seq)][0].startswith("parl-") and sorted(r.seq for r in rows) == list(range(6))
 
 
-def test_source_that_raises(spark, landed):
-    found = runs.run(spark, landed | {"GAZETTE": raises}, TS)
-    assert found.success and found.rows.count() == 6
-    assert table(found.metrics.where("source = 'GAZETTE'"), "stage", "input_rows", "output_rows", "success") == [("collect", 0, 0, False)]
-    assert table(found.messages.where("level = 'error'"), "stage", "source", "message") == [("collect", "GAZETTE", "RuntimeError: on purpose")]
-    assert table(found.quarantine.where("source = 'GAZETTE'"), "reason") == [("RuntimeError: on purpose",)]
-    one = runs.summary(found.metrics, found.messages).first()
-    assert (one.total_scraped, one.total_processed, one.errors) == (6, 6, 1)
-    assert one.scraping_success_rate == pytest.approx(2 / 3) and one.processing_success_rate == 1.0
-
-
-def test_source_that_fails_late(spark, landed):
-    """A reader whose plan only fails when it runs."""
-    bad = lambda: (spark.range(5).select(F.col("id").alias("seq"), F.raise_error(F.lit("boom")).cast("string").alias("title")),
-                   landing.no_quarantine(spark))
-    found = runs.run(spark, landed | {"GAZETTE": bad}, TS)
-    assert found.rows.count() == 6 and "collect" in [r.stage for r in found.messages.where("level = 'error' AND source = 'GAZETTE'").collect()]
-
-
 def late(df, ts):
     """A stage whose plan only fails when it runs."""
     return df.withColumn("title", F.raise_error(F.lit("boom")).cast("string"))
 
 
-@pytest.mark.parametrize("name, stage", [("validate", late), ("versions", raises), ("labels", late)])
-def test_stage_that_raises(spark, landed, name, stage):
-    found = runs.run(spark, landed, TS, stages=runs.STAGES | {name: stage})
-    assert found.success and found.rows.count() == 6
-    got = {r.stage: r.success for r in found.metrics.where("source = 'ALL'").collect()}
-    assert got == {"validate": True, "versions": True, "labels": True, "export": True} | {name: False}
-    assert [r.stage for r in found.messages.where("level = 'error'").collect()] == [name]
-
-
-def test_builder_that_raises(spark, landed):
-    found = runs.run(spark, landed, TS, builders=runs.BUILDERS | {"PARLIAMENT": raises})
+def test_sources_and_builders_that_raise(spark, landed):
+    fails_late = lambda: (spark.range(5).select(F.col("id").alias("seq"), F.raise_error(F.lit("boom")).cast("string").alias("title")),
+                          landing.no_quarantine(spark))
+    found = runs.run(spark, landed | {"GAZETTE": raises, "BEEHIVE": fails_late}, TS, builders=runs.BUILDERS | {"PARLIAMENT": raises})
     assert found.success and {r.source_system for r in found.rows.collect()} == {"LEGISLATION"}
-    assert table(found.metrics.where("stage = 'convert'"), "source", "input_rows", "output_rows", "success") == [
-        ("LEGISLATION", 3, 3, True), ("PARLIAMENT", 3, 0, False)]
+    assert table(found.metrics.where("NOT success"), "stage", "source", "input_rows", "output_rows") == [
+        ("collect", "BEEHIVE", 0, 0), ("collect", "GAZETTE", 0, 0), ("convert", "PARLIAMENT", 3, 0)]
+    errors = {(r.stage, r.source): r.message for r in found.messages.where("level = 'error'").collect()}
+    assert errors["collect", "GAZETTE"] == errors["convert", "PARLIAMENT"] == "RuntimeError: on purpose" and len(errors) == 3
+    assert table(found.quarantine.where("source = 'GAZETTE'"), "reason") == [("RuntimeError: on purpose",)]
+    one = runs.summary(found.metrics, found.messages).first()
+    assert (one.total_scraped, one.total_processed, one.errors) == (6, 3, 3)
+    assert one.scraping_success_rate == 0.5 and one.processing_success_rate == 1.0
 
 
-def test_refused_records(spark, landed):
-    """A stage that spoils records: the check sets them apart with the field, the others go on."""
+@pytest.mark.parametrize("broken", [{"validate": late, "labels": raises}, {"versions": late}])
+def test_stages_that_raise(spark, landed, broken):
+    """A stage that spoils records comes first: the check sets them apart with the field, the others go on."""
     spoil = lambda df, ts: df.withColumn("url", F.when(F.col("seq") % 2 == 0, "nowhere").otherwise(F.col("url")))
-    found = runs.run(spark, landed, TS, stages={"spoil": spoil, **runs.STAGES})
-    assert sorted(r.seq for r in found.rows.collect()) == [1, 3, 5]
+    found = runs.run(spark, landed, TS, stages={"spoil": spoil, **runs.STAGES, **broken})
+    assert found.success and sorted(r.seq for r in found.rows.collect()) == [1, 3, 5]
     assert table(found.quarantine.where("stage = 'spoil'"), "place", "reason") == [(0, "url"), (2, "url"), (4, "url")]
     assert table(found.messages.where("stage = 'spoil'"), "level", "row", "message") == [
         ("warning", k, "Record refused: url") for k in (0, 2, 4)]
+    got = {r.stage: r.success for r in found.metrics.where("source = 'ALL'").collect()}
+    assert got == dict.fromkeys(["spoil", "validate", "versions", "labels", "export"], True) | dict.fromkeys(broken, False)
+    assert sorted(r.stage for r in found.messages.where("level = 'error'").collect()) == sorted(broken)
 
 
 def test_nothing_to_read(spark):
