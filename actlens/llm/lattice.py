@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm.common import mix64, numbering, table, u64, uniform
+from actlens.llm.common import give_back_memory, mix64, numbering, table, u64, uniform
 
 SAMPLES = 2
 ALPHA = 0.2
@@ -444,7 +444,8 @@ def _sampler(path: str, alpha: float, k: int, block_chars: int, emit: Callable)
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 yield emit(ids, texts, list(segmentations(texts, [x or 0 for x in ids], vocab, k)), vocab)
                 at = upto
-            pa.default_memory_pool().release_unused()
+                ids = texts = None
+                give_back_memory()
 
     return run
 
@@ -496,4 +497,4 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled_pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The sampled segmentations of the documents that are left.  Blocks are smaller than elsewhere, as their ids
     are held until they are sent."""
-    return sampled(docs, block_chars=BLOCK_CHARS // 16)
+    return sampled(docs, block_chars=BLOCK_CHARS // 4)
