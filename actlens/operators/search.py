@@ -22,6 +22,8 @@ from actlens.session import materialize
 JS_WS = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
 
 SEARCH_FIELDS = ["title", "summary", "primary_entity", "url", "id"]
+#: Matches of a query that one task sorts.
+FEW = 1 << 14
 META_SEARCH_FIELDS = [
     "bill_number", "act_number", "notice_number", "notice_type", "document_type",
     "portfolio", "parliament_number", "commencement_date",
@@ -112,9 +114,9 @@ def sort_order(order: str = "newest") -> list[Column]:
     return [first, F.col("seq").asc()]
 
 
-def sort_by_date(df: DataFrame, order: str = "newest", total_col: str | None = None) -> DataFrame:
+def sort_by_date(df: DataFrame, order: str = "newest", total_col: str | None = None, bound: int = 0) -> DataFrame:
     """O.64: newest/oldest, unparseable dates last in both orders, stable."""
-    return with_position(df, *sort_order(order), total_col=total_col)
+    return with_position(df, *sort_order(order), total_col=total_col, bound=bound)
 
 
 def validate_state(query=None, source=None, labels=None, order=None) -> tuple[str, str, list[str], str]:
@@ -142,7 +144,7 @@ def query(df: DataFrame, text: str = "", source: str = "ALL", labels: list[str]
     the matched rows (``seq`` and ``date`` stay, the order needs them)."""
     text, source, labels, order = validate_state(text, source, labels, order)
     out = _stored(matches(df, text, source, labels, cfg), columns)
-    return sort_by_date(out, order, total_col=total_col)
+    return sort_by_date(out, order, total_col=total_col, bound=FEW)
 
 
 def _stored(matched: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -164,7 +166,7 @@ def feed_view(df: DataFrame, source: str = "ALL", label: str | None = None,
               columns: list[str] | None = None) -> DataFrame:
     """O.22: the feed of all actions, by source, label or both, newest first."""
     out = filter_labels(filter_source(df, source), [label] if label else [])
-    return sort_by_date(_stored(out, columns), "newest")
+    return sort_by_date(_stored(out, columns), "newest", bound=FEW)
 
 
 def source_view(df: DataFrame, source: str) -> DataFrame:

@@ -57,7 +57,7 @@ def _runs(spark, sf) -> list[DataFrame]:
 
 
 def _history(spark, sf) -> History:
-    history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=16)
+    history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=4)
     for run_ts, df in zip(_RUNS, _runs(spark, sf)):
         history.merge(df, run_ts)
     return history
@@ -112,8 +112,8 @@ _KEPT_SQL = """, k AS (SELECT r.run, r.id, r.url, x.date, x.source_system, x.lab
 
 
 def _kept(spark, sf) -> Counters:
-    history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=16)
-    counters = Counters(spark, scratch_path(spark, "counters"), buckets=16)
+    history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=4)
+    counters = Counters(spark, scratch_path(spark, "counters"), buckets=4)
     for run_ts, df in zip(_RUNS, _runs(spark, sf)):
         history.merge(df, run_ts)
         counters.update(*history.moved())
