@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,9 +105,26 @@ def _metrics(found: runs.Run) -> DataFrame:
     return found.metrics.select("stage", "source", "input_rows", "output_rows", "rejected_rows", "success")
 
 
+@lru_cache(4)
+def _run(spark, sf) -> runs.Run:
+    """One run over the landed files, for the queries of its tables."""
+    return runs.run(spark, _readers(spark, sf), RUN_TS)
+
+
+def _raises(*_):
+    raise ValueError("on purpose")
+
+
+@lru_cache(4)
+def _failing_run(spark, sf) -> runs.Run:
+    """A source and a stage that raise: the run goes on without the one and past the other."""
+    readers = _readers(spark, sf) | {"BEEHIVE": _raises}
+    return runs.run(spark, readers, RUN_TS, stages=runs.STAGES | {"versions": _raises})
+
+
 @register("run_metrics", _run_sql(_METRICS_SQL.format(raised="", did="true")))
 def q_run_metrics(spark, sf):
-    return _metrics(runs.run(spark, _readers(spark, sf), RUN_TS))
+    return _metrics(_run(spark, sf))
 
 
 @register("run_quarantine", _run_sql("""
@@ -115,30 +132,21 @@ SELECT 'collect' AS stage, source, CASE source WHEN 'LEGISLATION' THEN 'no eleme
   ELSE 'not JSON' END AS reason, CAST(bad AS BIGINT) AS n FROM got WHERE bad > 0
 UNION ALL SELECT 'convert', source, reason, count(*) FROM u WHERE reason IS NOT NULL GROUP BY source, reason"""))
 def q_run_quarantine(spark, sf):
-    found = runs.run(spark, _readers(spark, sf), RUN_TS)
-    return found.quarantine.groupBy("stage", "source", "reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _raises(*_):
-    raise ValueError("on purpose")
+    return _run(spark, sf).quarantine.groupBy("stage", "source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("run_failures", _run_sql(_METRICS_SQL.format(raised=" WHERE source <> 'BEEHIVE'", did="stage <> 'versions'").replace(
     "true AS success FROM got", "source <> 'BEEHIVE' AS success FROM got", 1), releases=False))
 def q_run_failures(spark, sf):
-    """A source and a stage that raise: the run goes on without the one and past the other."""
-    readers = _readers(spark, sf) | {"BEEHIVE": _raises}
-    return _metrics(runs.run(spark, readers, RUN_TS, stages=runs.STAGES | {"versions": _raises}))
+    return _metrics(_failing_run(spark, sf))
 
 
 @register("run_summary", _run_sql("""
 SELECT CAST((SELECT sum(n) FROM got) AS BIGINT) AS total_scraped, CAST((SELECT sum(n) FROM ok) AS BIGINT) AS total_processed,
   0.75 AS scraping_success_rate, CAST(2 AS DOUBLE) / 3 AS processing_success_rate, CAST(2 AS BIGINT) AS errors""", releases=False))
 def q_run_summary(spark, sf):
-    readers = _readers(spark, sf) | {"BEEHIVE": _raises}
-    found = runs.run(spark, readers, RUN_TS, stages=runs.STAGES | {"versions": _raises})
     store = runs.RunStore(spark, scratch_path(spark, "run-store"))
-    store.write(found)
+    store.write(_failing_run(spark, sf))
     return runs.summary(store.read("metrics"), store.read("messages")).drop("elapsed", "warnings")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,11 +56,15 @@ def _runs(spark, sf) -> list[DataFrame]:
     return [acts.where(m != 0), renamed.where(m != 1), third.unionByName(third.where(m == 4)), moved]
 
 
-def _history(spark, sf) -> History:
+@lru_cache(4)
+def _stores(spark, sf) -> tuple[History, Counters]:
+    """The four runs merged, and the summaries kept up beside them; built once a session for all queries of them."""
     history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=4)
+    counters = Counters(spark, scratch_path(spark, "counters"), buckets=4)
     for run_ts, df in zip(_RUNS, _runs(spark, sf)):
         history.merge(df, run_ts)
-    return history
+        counters.update(*history.moved())
+    return history, counters
 
 
 _RUNS_SQL = """, b AS (SELECT *, regexp_replace(id, '-v[0-9]+$', '') AS base, seq % 10 AS m FROM a),
@@ -83,7 +87,7 @@ def _runs_sql(select: str) -> str:
 
 @register("history_as_of", _runs_sql("SELECT '2025-12-' || CAST(13 + run AS VARCHAR) AS run, base, id, title, url FROM r"))
 def q_history_as_of(spark, sf):
-    history = _history(spark, sf)
+    history, _ = _stores(spark, sf)
     return reduce(DataFrame.unionByName, (
         history.as_of(ts).select(_run_of(ts), "base", "id", "title", "url") for ts in _RUNS))
 
@@ -93,7 +97,7 @@ SELECT '2025-12-{13 + k}' AS run, base, CASE WHEN sum(c{k - 1}) = 0 THEN 'added'
   CAST(sum(c{k - 1}) AS BIGINT) AS n_old, CAST(sum(c{k}) AS BIGINT) AS n_new
 FROM n GROUP BY base HAVING bool_or(c{k - 1} <> c{k})""" for k in range(2, _LAST + 1))))
 def q_history_changes(spark, sf):
-    history = _history(spark, sf)
+    history, _ = _stores(spark, sf)
     return reduce(DataFrame.unionByName, (history.changes(ts).select(_run_of(ts), "*") for ts in _RUNS[1:]))
 
 
@@ -101,7 +105,7 @@ def q_history_changes(spark, sf):
 SELECT base, TIMESTAMP '2025-12-13 00:00:00' + INTERVAL 1 DAY * max(
   CASE WHEN c4 <> c3 THEN 4 WHEN c3 <> c2 THEN 3 WHEN c2 <> c1 THEN 2 ELSE 1 END) AS last_changed FROM n GROUP BY base"""))
 def q_history_last_change(spark, sf):
-    return _history(spark, sf).last_change()
+    return _stores(spark, sf)[0].last_change()
 
 
 # ------------------------------------------------------------ kept summaries
@@ -111,21 +115,12 @@ _KEPT_SQL = """, k AS (SELECT r.run, r.id, r.url, x.date, x.source_system, x.lab
 """
 
 
-def _kept(spark, sf) -> Counters:
-    history = History(spark, scratch_path(spark, "history"), key="base", fields=_FIELDS, buckets=4)
-    counters = Counters(spark, scratch_path(spark, "counters"), buckets=4)
-    for run_ts, df in zip(_RUNS, _runs(spark, sf)):
-        history.merge(df, run_ts)
-        counters.update(*history.moved())
-    return counters
-
-
 @register("kept_summary", _runs_sql(_KEPT_SQL + """
 SELECT '2025-12-' || CAST(13 + run AS VARCHAR) AS run, count(*) AS total_actions, count(DISTINCT id) AS unique_ids,
   count(*) - count(DISTINCT id) AS duplicate_ids, count(DISTINCT url) AS unique_urls, count(*) - count(DISTINCT url) AS duplicate_urls,
   min(nullif(date, '')) AS earliest, max(nullif(date, '')) AS latest FROM k GROUP BY run"""))
 def q_kept_summary(spark, sf):
-    counters = _kept(spark, sf)
+    _, counters = _stores(spark, sf)
     names = ["total_actions", "unique_ids", "duplicate_ids", "unique_urls", "duplicate_urls", "earliest", "latest"]
     rows = [(ts.strftime("%Y-%m-%d"), *(counters.summary(run_name(ts))[c] for c in names)) for ts in _RUNS]
     return spark.createDataFrame(rows, "run string, " + ", ".join(f"{c} {'string' if c in names[-2:] else 'long'}" for c in names))
@@ -136,7 +131,7 @@ SELECT 'source' AS kind, source_system AS value, count(*) AS n FROM k WHERE run
 UNION ALL SELECT 'label', l, count(*) FROM (SELECT unnest(labels) AS l FROM k WHERE run = {_LAST}) GROUP BY l
 UNION ALL SELECT 'url', url, count(*) FROM k WHERE run = {_LAST} GROUP BY url"""))
 def q_kept_counts(spark, sf):
-    counters = _kept(spark, sf)
+    _, counters = _stores(spark, sf)
     return reduce(DataFrame.unionByName, (counters.counts(kind).select(F.lit(kind).alias("kind"), "value", "n")
                                           for kind in ("source", "label", "url")))
 

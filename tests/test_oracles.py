@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tools.oracle_check import canon, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"pipeline", "run_report", "convert", "convert_rejects", "greedy_dedupe"}
+SLOW = {"pipeline", "run_report", "convert", "convert_rejects", "greedy_dedupe", "indexed_search"}
 NAMES = sorted(n for n in entry.oracle_sql() if n not in SLOW)
 
 
