@@ -154,6 +154,6 @@ def q_feed_fan_out(spark, sf):
 def q_write_all_feeds(spark, sf):
     """Every feed written as documents and read back."""
     path = scratch_path(spark, "feeds")
-    feeds_out.write_feeds(labelled(spark, sf), path)
+    feeds_out.write_feeds(labelled(spark, sf), path, compression="gzip")
     items = spark.read.format("xml").option("rowTag", "item").schema("guid string, feed string").load(path)
     return items.select("feed", F.col("guid").alias("id"))

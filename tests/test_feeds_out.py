@@ -85,3 +85,23 @@ def test_no_actions(spark, tmp_path):
     df = spark.createDataFrame([], DDL)
     fo.write_feeds(df, str(tmp_path / "out"))
     assert fo.feed_rows(df).collect() == []
+
+
+def test_texts_are_stored_once(spark, tmp_path, monkeypatch):
+    """What is stored on the way has an action's texts once, whatever the number of its feeds."""
+    stored = []
+
+    def kept(df, name, *args):
+        stored.append(out := materialize(df, name, *args))
+        return out
+
+    materialize = fo.materialize
+    monkeypatch.setattr(fo, "materialize", kept)
+    df = spark.createDataFrame(actions(90), DDL)
+    fo.write_feeds(df, str(tmp_path / "out"), compression="gzip")
+    rows = fo.feed_rows(df).select("title", "feed_source", "feed_label").collect()
+    assert len(rows) > 300 and {r.title for r in rows} == {a[2] for a in actions(90)}
+    wide = [d for d in stored if {"title", "summary", "_item"} & set(d.columns)]
+    assert [d.count() for d in wide] == [90, 90]
+    back = spark.read.format("xml").option("rowTag", "item").schema("guid string, feed string").load(str(tmp_path / "out"))
+    assert back.count() == len(rows)
