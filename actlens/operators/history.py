@@ -9,21 +9,27 @@ that vanishes and returns has two intervals.
 
 Layout, below one path::
 
+    records/attempt=A/        the records of the intervals that the merge A opened
     open/attempt=A/bucket=B/  the open intervals of bucket B after the merge A
     closed/attempt=A/         the intervals that the merge A closed
     manifest/run=R/           for each bucket the merge whose files hold it, and under -1 the run's own merge
 
-Keys are dealt to buckets by hash.  A merge compares hashes (no record of the
-history is read for that), writes the open files of touched buckets alone, to
-a place of its own (run and a random name), and its manifest last: readers
+An interval is its record's key and hash; the record is written once, by the
+merge that opened the interval, and found by hash and ``valid_from``.  Keys
+are dealt to buckets by hash.  A merge compares hashes (no record of the
+history is read or written again for that), writes the open files of touched
+buckets alone, to a place of its own (run and a random name), and its manifest
+last: readers
 follow the manifests, so a merge that dies leaves the history as it was, and
 is simply run again.  Run names sort by time, so reading the state as of a run
 skips by directory what had closed before.
 
 Records are compared by the sha256 of their fields as JSON, nulls kept.
-Rows with a null key are records like others.  All shuffles are by that hash:
-a key that holds a third of all rows has as many hashes as different records,
-and equal records are counted map-side first.
+Rows with a null key are records like others.  All shuffles of a merge are by
+that hash or by row: a key that holds a third of all rows has as many hashes as
+different records, and equal records are counted map-side first.  The snapshot's
+own rows are shuffled once at most, where the opened ones are too many to be
+broadcast as row numbers.
 """
 
 from __future__ import annotations
@@ -100,7 +106,7 @@ class History:
     # -- merge
     def _staged(self, df: DataFrame) -> DataFrame:
         record = df.select(*self.fields)
-        hashed = F.sha2(F.to_json(F.struct(*self.fields), {"ignoreNullFields": "false"}), 256)
+        hashed = F.unhex(F.sha2(F.to_json(F.struct(*self.fields), {"ignoreNullFields": "false"}), 256))
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         return record.withColumns({"_hash": hashed, "bucket": bucket})
 
@@ -113,28 +119,27 @@ class History:
             raise ValueError(f"{max(later)} was merged before {run}")
         before = manifests.get(max((r for r in manifests if r < run), default=""), {})
         attempt = f"{run}-{os.urandom(4).hex()}"
-        staged = materialize(self._staged(df), "history-snapshot")
-        new = staged.groupBy("bucket", "_hash").agg(F.count(F.lit(1)).alias("copies"))
+        staged = materialize(self._staged(df).withColumn("_row", F.monotonically_increasing_id()), "history-snapshot")
+        columns = ["_key", "_hash", "copies", "valid_from", "bucket"]
+        # the key goes with the hash; of equal rows the first is the record
+        new = staged.groupBy("bucket", "_hash").agg(F.count(F.lit(1)).alias("copies"), F.first(self.key).alias("_new_key"),
+                                                    F.min("_row").alias("_row"))
         held = self._open(before)
         if held is None:
-            held = staged.limit(0).withColumns({
-                "copies": F.lit(0).cast("long"), "valid_from": F.lit(""), "valid_to": F.lit(None).cast("string")})
+            held = staged.limit(0).select(F.col(self.key).alias("_key"), "_hash", F.lit(0).cast("long").alias("copies"),
+                                          F.lit("").alias("valid_from"), "bucket")
         # a hash has one open interval
-        both = held.select("bucket", "_hash", F.col("copies").alias("was")).join(new, ["bucket", "_hash"], "full_outer")
+        both = held.select("bucket", "_hash", F.col("copies").alias("was"), "valid_from", "_key").join(new, ["bucket", "_hash"], "full_outer")
         moved = materialize(both.where(~F.col("was").eqNullSafe(F.col("copies"))), "history-moved")
         touched = [r.bucket for r in moved.select("bucket").distinct().collect()]  # at most the number of buckets
-        closing = moved.where("was IS NOT NULL").select("bucket", "_hash")
-        opening = moved.where("copies IS NOT NULL").select("bucket", "_hash", "copies")
-        columns = [*self.fields, "_hash", "copies", "valid_from", "bucket"]
+        closing, opening = moved.where("was IS NOT NULL"), moved.where("copies IS NOT NULL")
+        kept = opening.select(F.col("_new_key").alias("_key"), "_hash", "copies", F.lit(run).alias("valid_from"), "bucket")
         old = self._open(before, touched) if touched else None
-        fresh = staged.join(opening.select("bucket", "_hash"), ["bucket", "_hash"], "left_semi").dropDuplicates(["_hash"]).join(
-            opening, ["bucket", "_hash"]).withColumn("valid_from", F.lit(run))
-        kept = fresh.select(*columns)
         if old is not None:
-            kept = kept.unionByName(old.join(closing, ["bucket", "_hash"], "left_anti").select(*columns))
-            closed = old.join(closing, ["bucket", "_hash"], "left_semi").select(*columns)
-        else:
-            closed = held.limit(0).select(*columns)
+            kept = kept.unionByName(old.join(closing.select("bucket", "_hash"), ["bucket", "_hash"], "left_anti").select(*columns))
+        closed = closing.select("_key", "_hash", F.col("was").alias("copies"), "valid_from", "bucket")
+        records = staged.join(opening.select("_row"), "_row", "left_semi").select(*self.fields, "_hash")
+        records.write.parquet(f"{self.path}/records/attempt={attempt}")
         # rebalance: a bucket is a file or, if large, several
         kept.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/open/attempt={attempt}")
         closed.hint("rebalance").write.parquet(f"{self.path}/closed/attempt={attempt}")
@@ -148,15 +153,22 @@ class History:
     def intervals(self) -> DataFrame:
         """All intervals: fields, copies, valid_from, valid_to (null while open)."""
         manifests = self._manifests()
+        return self._whole(manifests, self._spans(manifests))
+
+    def _spans(self, manifests: dict[str, dict[int, str]], after: str = "") -> DataFrame:
+        """All intervals that were open after the run ``after``, without their records: _key, _hash, copies, valid_from, valid_to."""
         if not manifests:
             raise ValueError("no run was merged")
-        return self._union(manifests, [self._open(manifests[max(manifests)]), self._closed(manifests)])
+        columns = ["_key", "_hash", "copies", "valid_from", "valid_to"]
+        parts = [p for p in (self._open(manifests[max(manifests)]), self._closed(manifests, after)) if p is not None]
+        # every merge writes closed intervals, if only their schema
+        return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts or [self._closed(manifests).limit(0)]])
 
-    def _union(self, manifests: dict[str, dict[int, str]], parts: list[DataFrame | None]) -> DataFrame:
-        """The parts that there are, or no rows: every merge writes closed intervals, if only their schema."""
-        columns = [*self.fields, "copies", "valid_from", "valid_to"]
-        there = [p for p in parts if p is not None] or [self._closed(manifests).limit(0)]
-        return reduce(DataFrame.unionByName, [p.select(*columns) for p in there])
+    def _whole(self, manifests: dict[str, dict[int, str]], spans: DataFrame, upto: str | None = None) -> DataFrame:
+        """Intervals with their records, which the runs up to ``upto`` opened."""
+        rows = self._read("records", [f"attempt={m[_OWN]}" for r, m in sorted(manifests.items()) if upto is None or r <= upto])
+        records = rows.select(*self.fields, "_hash", F.substring_index("attempt", "-", 1).alias("valid_from"))
+        return spans.drop("_key").join(records, ["_hash", "valid_from"]).select(*self.fields, "copies", "valid_from", "valid_to")
 
     def as_of(self, run_ts: dt.datetime) -> DataFrame:
         """The snapshot as of the last run up to ``run_ts``, with its repeated rows."""
@@ -164,18 +176,18 @@ class History:
         run = max((r for r in manifests if r <= run_name(run_ts)), default=None)
         if run is None:
             raise ValueError("no run up to then")
-        valid = self._union(manifests, [self._open(manifests[max(manifests)]), self._closed(manifests, run)]).where(F.col("valid_from") <= run)
+        valid = self._whole(manifests, self._spans(manifests, run).where(F.col("valid_from") <= run), run)
         return valid.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*self.fields)
 
     def changes(self, run_ts: dt.datetime) -> DataFrame:
         """The ``snapshot_diff`` of a merged run and the run before it, from the intervals alone."""
         run = run_name(run_ts)
-        rows = self.intervals()
+        rows = self._spans(self._manifests())
         started, ended = F.col("valid_from"), F.col("valid_to")
         old = F.when((started < run) & (ended.isNull() | (ended >= run)), F.col("copies")).otherwise(0)
         new = F.when((started <= run) & (ended.isNull() | (ended > run)), F.col("copies")).otherwise(0)
         moved = (started == run) | ended.eqNullSafe(run)
-        per_key = rows.groupBy(self.key).agg(F.sum(old).cast("long").alias("n_old"), F.sum(new).cast("long").alias("n_new"),
+        per_key = rows.groupBy(F.col("_key").alias(self.key)).agg(F.sum(old).cast("long").alias("n_old"), F.sum(new).cast("long").alias("n_new"),
                                              F.max(moved).alias("_moved"))
         status = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").otherwise("changed")
         return per_key.where("_moved").select(self.key, status.alias("status"), "n_old", "n_new")
@@ -186,11 +198,13 @@ class History:
         run = max(manifests)
         attempt = manifests[run][_OWN]
         opened = self._open({b: a for b, a in manifests[run].items() if a == attempt})
-        closed = self._read("closed", [f"attempt={attempt}"])
+        closed = self._closed({run: manifests[run]})
         opened = closed.limit(0) if opened is None else opened.where(F.col("valid_from") == run)
-        return run, opened.select(*self.fields, "copies"), closed.select(*self.fields, "copies")
+        of = lambda spans, runs: self._whole(runs, spans.select("_key", "_hash", "copies", "valid_from", "valid_to")).select(
+            *self.fields, "copies")
+        return run, of(opened, {run: manifests[run]}), of(closed, manifests)
 
     def last_change(self) -> DataFrame:
         """O.21: per key, the latest run at which its records changed, the first run's included."""
         moved = F.greatest("valid_from", F.coalesce("valid_to", "valid_from"))
-        return self.intervals().groupBy(self.key).agg(run_time(F.max(moved)).alias("last_changed"))
+        return self._spans(self._manifests()).groupBy(F.col("_key").alias(self.key)).agg(run_time(F.max(moved)).alias("last_changed"))

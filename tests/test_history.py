@@ -109,3 +109,15 @@ def test_empty_first_snapshot(spark, tmp_path):
     assert history.as_of(TS[0]).collect() == [] and history.last_change().collect() == []
     history.merge(spark.createDataFrame([("a", "t", None)], DDL), TS[1])
     assert [history.as_of(t).count() for t in TS[:2]] == [0, 1]
+
+
+def test_records_are_written_once(spark, tmp_path):
+    """A record that stays is in the files of the merge that opened it alone, though others of its bucket move."""
+    history = History(spark, str(tmp_path / "h"), fields=["id", "title", "metadata"], buckets=1)
+    for day, ts in enumerate(TS[:4]):
+        history.merge(spark.createDataFrame([(f"id{k}", f"day{day}" if k < 3 else "stays", None) for k in range(30)], DDL), ts)
+    files = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(
+        *[str(tmp_path / "h" / kind) for kind in ("records", "open", "closed") if (tmp_path / "h" / kind).exists()])
+    assert files.where("title = 'stays'").count() == 27
+    assert files.where("title LIKE 'day%'").count() == 12
+    assert counted(history.as_of(TS[1])) == collections.Counter((f"id{k}", "day1" if k < 3 else "stays", None) for k in range(30))
