@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from actlens.functions.order import with_position
 from actlens.functions.text import collapse_ws, map_lookup, nonempty, utrim
+from actlens.operators.labels import let
+from actlens.session import materialize
 
 # --- FIXED VALUES: card labels per source ---------------------------------
 SOURCE_LABEL = [("PARLIAMENT", "Parliament"), ("LEGISLATION", "Legislation"),
@@ -16,14 +18,13 @@ SOURCE_LABEL = [("PARLIAMENT", "Parliament"), ("LEGISLATION", "Legislation"),
 def first_sentence(c: Column, max_length: int = 200) -> Column:
     """O.76: tags stripped, whitespace collapsed, text before the first
     ``[.!?]`` run, cut to ``max_length`` with '...'; placeholders when empty."""
-    clean = collapse_ws(F.regexp_replace(c, "<[^>]+>", " "))
-    first = utrim(F.split(clean, "[.!?]+", 2).getItem(0))
-    cut = F.when(F.length(first) > max_length,
-                 F.concat(F.substring(first, 1, max_length - 3), F.lit("..."))).otherwise(first)
-    return (F.when(c.isNull() | (c == ""), F.lit("[No content]"))
-            .when(clean == "", F.lit("[No readable content]"))
-            .when(cut == "", F.lit("[Empty content]"))
-            .otherwise(cut))
+    # clean text and sentence are bound once: as plain columns every use below would run their patterns again
+    def worded(clean: Column) -> Column:
+        return let(utrim(F.split(clean, "[.!?]+", 2).getItem(0)), lambda first: (
+            F.when(clean == "", F.lit("[No readable content]")).when(first == "", F.lit("[Empty content]"))
+            .when(F.length(first) > max_length, F.concat(F.substring(first, 1, max_length - 3), F.lit("..."))).otherwise(first)))
+
+    return F.when(c.isNull() | (c == ""), F.lit("[No content]")).otherwise(let(collapse_ws(F.regexp_replace(c, "<[^>]+>", " ")), worded))
 
 
 #: Fields that an item's text may be in, the first non-empty one counts.
@@ -46,7 +47,8 @@ def audit_lines(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("date"), F.lit("[No date]")).alias("date"),
         F.concat(F.substring(url, 1, 80), F.when(F.length(url) > 80, F.lit("...")).otherwise(F.lit(""))).alias("url"),
     )
-    return with_position(lines, F.col("seq"), pos_col="item_number")
+    # stored first: the range partitioning samples its input, which would read and cut all texts twice
+    return with_position(materialize(lines, "audit-lines"), F.col("seq"), pos_col="item_number")
 
 
 def card_view(df: DataFrame) -> DataFrame:

@@ -240,3 +240,13 @@ def test_active_session_stays_as_it_is(spark):
         assert get_spark().conf.get("spark.sql.shuffle.partitions") == "777"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_first_sentence_reads_its_text_once(spark):
+    from actlens.operators.display import audit_lines, first_sentence
+    rows = [(1, "t", "<p>One  two. Three", "2024-01-01", "u"), (2, None, " <b></b> ", None, None), (3, "t", "?!", "d", "u" * 90)]
+    df = spark.createDataFrame(rows, "seq long, title string, summary string, date string, url string")
+    plan = df.select(first_sentence(F.col("summary")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1
+    got = [(r.item_number, r.first_sentence) for r in audit_lines(df).orderBy("seq").collect()]
+    assert got == [(1, "One two"), (2, "[No readable content]"), (3, "[Empty content]")]
