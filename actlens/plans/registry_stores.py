@@ -145,7 +145,7 @@ p AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, label ORDER BY {_DA
 
 @register("feed_fan_out", o.with_labelled(_FEEDS_SQL + "SELECT source, label, pos, seq FROM p"))
 def q_feed_fan_out(spark, sf):
-    return feeds_out.feed_rows(labelled(spark, sf)).select(
+    return feeds_out.feed_rows(labelled(spark, sf).select("seq", "date", "source_system", "labels")).select(
         F.col("feed_source").alias("source"), F.coalesce("feed_label", F.lit("")).alias("label"), "pos", "seq")
 
 
