@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # controls, the 0x1C-0x1F separators, NEL and every Unicode separator.
 # Spark's ``trim`` removes only spaces and Java's ``\s`` is ASCII-only.
 WS = r"[\t\n\x0B\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
+# The same characters one by one.
+_WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col_(c: str | Column) -> Column:
@@ -16,13 +18,15 @@ def col_(c: str | Column) -> Column:
 
 
 def utrim(c: str | Column) -> Column:
-    """Strip leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col_(c), rf"^{WS}+|{WS}+$", "")
+    """Strip leading/trailing Unicode whitespace; reads the ends alone."""
+    return F.btrim(col_(c), F.lit(_WS_CHARS))
 
 
 def collapse_ws(c: str | Column) -> Column:
-    """Trim, then turn every whitespace run into a single space."""
-    return F.regexp_replace(utrim(c), rf"{WS}+", " ")
+    """Trim, then turn every whitespace run into a single space.
+
+    A run that is one space stays as it is, so only the other runs are replaced."""
+    return F.regexp_replace(utrim(c), rf" {WS}+|[{WS}&&[^ ]]{WS}*", " ")
 
 
 def nonempty(c: str | Column) -> Column:
