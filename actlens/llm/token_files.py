@@ -92,11 +92,11 @@ class Encoder:
         # many words in one call: a token that begins with a space begins a word
         groups = [apart[k:k + _GROUP] for k in range(0, len(apart), _GROUP)]
         size = self.dtype.itemsize
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(
-                [" " + " ".join(g) for g in groups], add_special_tokens=False)):
+        joined = [" " + " ".join(g) for g in groups]
+        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(found.ids, self.dtype)
             starts = np.flatnonzero(self.begins[ids]) * size
-            if len(starts) != len(group) or any(s in w for w in group for s in self.special):
+            if len(starts) != len(group) or any(s in text for s in self.special):
                 for word in group:
                     known[word] = self._whole(" " + word)
                 continue
@@ -110,20 +110,30 @@ class Encoder:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
+        """The ids of each text, packed.  Each word is looked up once; words are gathered from texts with unknown ones alone."""
         split = [text.split(" ") for text in texts]
         heads = [words.pop(0) for words in split]
         self._learn(set(heads), "", self.known[0])
-        self._learn(set().union(*split), " ", self.known[1])
         first, later = (d.__getitem__ for d in self.known)
-        out = []
-        for text, head, words in zip(texts, heads, split):
+        out: list[bytes | None] = []
+        missed = []
+        for row, (text, head, words) in enumerate(zip(texts, heads, split)):
             try:
                 if any(s in text for s in self.special):
                     raise TypeError
                 out.append(first(head) + b"".join(map(later, words)))
+            except KeyError:  # a word that isn't known yet
+                out.append(None)
+                missed.append(row)
             except TypeError:  # a word without ids of its own
                 out.append(self._whole(text))
+        if missed:
+            self._learn(set().union(*[split[row] for row in missed]), " ", self.known[1])
+        for row in missed:
+            try:
+                out[row] = first(heads[row]) + b"".join(map(later, split[row]))
+            except TypeError:
+                out[row] = self._whole(texts[row])
         return out
 
 
