@@ -70,12 +70,28 @@ class TextIndex:
         return self.stored(spark).select(*self.schema.names)
 
 
-def grams_of(text: str) -> np.ndarray:
-    """Distinct trigrams of a folded text as numbers, ascending."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+#: No code point: what stands between two fields.
+_BETWEEN = 0x1FFFFF
+
+
+def _grams_of_all(fields: list[str]) -> np.ndarray:
+    """Distinct trigrams of folded fields as numbers, ascending; none crosses from one field into the next."""
+    ends = np.cumsum([len(f) + 1 for f in fields], dtype=np.int64) - 1
+    points = np.frombuffer("\0".join(fields).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if len(points) < 3:
         return np.zeros(0, np.int64)
-    return np.unique(points[:-2] << (2 * _BITS) | points[1:-1] << _BITS | points[2:])
+    points[ends[:-1]] = _BETWEEN
+    grams = points[:-2] << (2 * _BITS) | points[1:-1] << _BITS | points[2:]
+    if len(fields) > 1:
+        within = points != _BETWEEN
+        grams = grams[within[:-2] & within[1:-1] & within[2:]]
+    grams.sort()
+    return grams[np.diff(grams, prepend=-1) != 0]
+
+
+def grams_of(text: str) -> np.ndarray:
+    """Distinct trigrams of a folded text as numbers, ascending."""
+    return _grams_of_all([text])
 
 
 def needle_grams(needle: str) -> np.ndarray:
@@ -101,9 +117,9 @@ def _folded_fields() -> Column:
     return F.transform(F.filter(listed, lambda x: x.isNotNull()), lambda x: F.translate(F.lower(x), "ς", "σ"))
 
 
-def encode_postings(rows: np.ndarray) -> bytes:
-    """Ascending row numbers as differences of 7 bits a byte, the last byte of each below 128."""
-    gaps = np.diff(rows, prepend=0).astype(np.uint64)
+def _packed(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the numbers, 7 bits each, the last byte of a number below 128; and where each number ends."""
+    gaps = gaps.astype(np.uint64)
     size = np.ones(len(gaps), np.int64)
     for k in range(1, 10):
         size += gaps >= np.uint64(1) << np.uint64(7 * k) if 7 * k < 64 else 0
@@ -113,7 +129,21 @@ def encode_postings(rows: np.ndarray) -> bytes:
         has = size > k
         more = (size[has] > k + 1).astype(np.uint8) << 7
         out[ends[has] - size[has] + k] = (gaps[has] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | more
-    return out.tobytes()
+    return out, ends
+
+
+def encode_postings(rows: np.ndarray) -> bytes:
+    """Ascending row numbers as differences of 7 bits a byte, the last byte of each below 128."""
+    return _packed(np.diff(rows, prepend=0))[0].tobytes()
+
+
+def _encode_runs(row: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """``encode_postings`` of each run of ``row`` that begins at ``starts``, all in one go."""
+    gaps = np.diff(row, prepend=0)
+    gaps[starts] = row[starts]
+    data, ends = _packed(gaps)
+    stops = np.concatenate([[0], ends[np.append(starts[1:], len(row)) - 1]]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(stops), pa.py_buffer(data)])
 
 
 def decode_postings(data: bytes) -> np.ndarray:
@@ -134,23 +164,21 @@ def _segments(segment_rows: int, segment_postings: int) -> Callable:
         def close() -> pa.RecordBatch:
             row = np.repeat(np.array(rows, np.int64), [len(g) for g in grams])
             gram = np.concatenate(grams)
-            order = np.lexsort((row, gram))
+            # rows came in ascending order, and stay so within a trigram
+            order = np.argsort(gram, kind="stable")
             gram, row = gram[order], row[order]
             starts = np.flatnonzero(np.diff(gram, prepend=-1))
-            ends = [*starts[1:].tolist(), len(gram)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(gram[starts]), pa.array(np.full(len(starts), rows[0], np.int64)),
-                 pa.array(np.diff(starts, append=len(gram)).astype(np.int32)),
-                 pa.array([encode_postings(row[a:b]) for a, b in zip(starts.tolist(), ends)], pa.binary())],
+                 pa.array(np.diff(starts, append=len(gram)).astype(np.int32)), _encode_runs(row, starts)],
                 names=["gram", "segment", "n", "postings"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for row, fields in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = [g for g in map(grams_of, fields) if len(g)]
                     rows.append(row)
-                    grams.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
+                    grams.append(_grams_of_all(fields))
                     held += len(grams[-1])
                     if held >= segment_postings or len(rows) >= segment_rows:
                         yield close()

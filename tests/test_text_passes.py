@@ -44,3 +44,23 @@ def test_keyword_scan_looks_at_one_character_a_place(spark):
     df = spark.createDataFrame([("a(tax b",), ("(tax",), ("health tax",), ("taxes",)], "t string")
     got = [tuple(r) for r in df.select(labels.keyword_mask(F.col("t"), odd), labels.keyword_mask_per_label(F.col("t"), odd)).collect()]
     assert all(a == b for a, b in got)
+
+
+def test_index_segment_is_encoded_in_one_go(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from actlens.operators import text_index as ti
+
+    fields = [["ab", "", "\0x\0yz"], ["housing bill", "housing"], [], ["", "ab"], ["housing", "é\U0001F600a"]]
+    ids = [3, 200, 70000, 1 << 33, (1 << 33) + 5]
+    expected: dict[int, list[int]] = {}
+    for row, texts in zip(ids, fields):
+        for gram in {(ord(t[k]) << 42) | (ord(t[k + 1]) << 21) | ord(t[k + 2]) for t in texts for k in range(len(t) - 2)}:
+            expected.setdefault(gram, []).append(row)
+    monkeypatch.setattr(ti, "encode_postings", lambda rows: (_ for _ in ()).throw(AssertionError("one call a trigram")))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fields, pa.list_(pa.string()))], names=["_row", "fields"])
+    got = pa.Table.from_batches(list(ti._segments(100, 10_000)(iter([batch])))).to_pylist()
+    assert [r["gram"] for r in got] == sorted(expected)
+    assert all(r["n"] == len(expected[r["gram"]]) and r["segment"] == 3 for r in got)
+    assert all(np.array_equal(ti.decode_postings(r["postings"]), expected[r["gram"]]) for r in got)
