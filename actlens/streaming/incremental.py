@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from actlens.operators import labels as lab
 from actlens.operators import validate as val
+from actlens.session import materialize
 
 RAW_ACTION_SCHEMA = (
     "seq long, id string, title string, date string, source_system string, url string, primary_entity string, "
@@ -29,6 +30,13 @@ RAW_ACTION_SCHEMA = (
 )
 
 
+def processed(batch: DataFrame, run_ts: dt.datetime) -> DataFrame:
+    """The batch validated, checked and labelled.  Repaired records are stored before the check: its filter would be
+    pushed below the repairs, and the labels would repair the text once more."""
+    held = materialize(val.validate(batch, run_ts).withColumn("reject_reason", val.reject_reason()), "repaired")
+    return lab.assign_labels(held.where(F.col("reject_reason").isNull()).drop("reject_reason"))
+
+
 def ingest_incremental(spark: SparkSession, landing: str, output: str, checkpoint: str,
                        run_ts: dt.datetime, watermark: str = "1 day"):
     """Start (and wait for) one availableNow run; returns the finished query."""
@@ -41,8 +49,7 @@ def ingest_incremental(spark: SparkSession, landing: str, output: str, checkpoin
     def process(batch: DataFrame, batch_id: int) -> None:
         # idempotent: a micro-batch re-run after a failure overwrites its own
         # directory instead of appending its rows a second time
-        done = lab.assign_labels(val.schema_check(val.validate(batch, run_ts)).drop("reject_reason"))
-        done.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
+        processed(batch, run_ts).write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
