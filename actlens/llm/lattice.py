@@ -39,11 +39,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm.common import give_back_memory, mix64, numbering, table, u64, uniform
+from actlens.llm.common import give_back_memory, mix64, table, u64, uniform
 
 SAMPLES = 2
 ALPHA = 0.2
@@ -81,27 +80,28 @@ class Vocabulary:
             self.weight[i] = -alpha * math.log((1 + r) * zipf)
         self.byte_weight = -alpha * (math.log((1 + size) * zipf) + 2)
         self.longest = max(len(names[i]) for i in normal)
-        self.lengths = np.zeros(size, np.int64)
         known: dict[int, int] = {}
         for i in normal:
             h = 0
             for k, c in enumerate(names[i], 1):
                 h = (h * int(_ROLL) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
                 known[h] = i if k == len(names[i]) else known.get(h, -1)
-            self.lengths[i] = len(names[i])
         self.prefixes = pa.array(list(known), pa.uint64())
         self.piece_of = np.array(list(known.values()), np.int64)
-        self.none = size  # stands for the bytes of a character
         # one rounding for all: a unit with one segmentation has exactly its weight as log-sum
         self.weight = self.weight.astype(np.float32).astype(np.float64)
         self.byte_weight = float(np.float32(self.byte_weight))
-        self.all_weights = np.append(self.weight, 0.0)
-        self.weight_of = self.all_weights.tolist()
+        self.weight_of = self.weight.tolist()
         self.bytes_of = [b""] * size
         for i in normal:
             self.bytes_of[i] = names[i].replace(_SPACE, " ").encode()
         for b in range(256):
             self.bytes_of[self.byte0 + b] = bytes([b])
+        self.all_bytes = pa.array(self.bytes_of, pa.large_binary())
+
+    def byte_weights(self, points: np.ndarray) -> np.ndarray:
+        """Weights of the bytes of characters."""
+        return self.byte_weight * (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
 
 
 @lru_cache(2)
@@ -115,24 +115,33 @@ def units(text: str) -> list[str]:
 
 
 class Lattices:
-    """The lattices of many units: a node for each place of each unit and a lane for each piece length,
-    longest first."""
+    """The lattices of many units: a node for each place of each unit, numbered from the units' ends backwards, and
+    its edges one after another, longest first.
+
+    An edge has a piece's id, or the complement of a code point whose bytes it stands for."""
 
-    def __init__(self, vocab: Vocabulary, names: list[str]):
+    def __init__(self, vocab: Vocabulary, names: list[str], joined: tuple[str, np.ndarray] | None = None):
+        """joined: the names in one text, and their lengths; else they are joined here."""
         self.vocab = vocab
-        width = self.width = vocab.longest
-        points = np.frombuffer("".join(names).replace(" ", _SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lens = np.fromiter(map(len, names), np.int64, len(names))
-        unit = np.repeat(np.arange(len(names)), lens)
-        self.first = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]).astype(np.int64) if len(names) else lens
-        node = np.arange(len(points)) + unit
-        ahead = (self.first + lens)[unit] - node
-        count = len(points) + len(names)
-        # a lane without an edge has piece 0, which is no normal piece
-        self.piece = np.zeros((count, width), np.uint16 if vocab.none < 65536 else np.int32)
+        text, lens = joined or ("".join(names), np.fromiter(map(len, names), np.int64, len(names)))
+        points = np.frombuffer(text.replace(" ", _SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(lens + 1)
+        count = len(points) + len(lens)
+        left = np.repeat(ends, lens + 1) - np.arange(1, count + 1)
+        order = np.argsort(left.astype(np.uint16) if count and left.max() < 65536 else left, kind="stable")
+        number = np.empty(count, np.int64)
+        number[order] = np.arange(count)
+        self.first = number[ends - lens - 1]
+        # a group of nodes has the same number of characters before it to the end
+        groups = np.cumsum(np.bincount(left)).tolist() if count else [0]
+        inner = np.flatnonzero(left)
+        node, ahead = number[inner], left[inner]
+        del order
+        counts = np.zeros(count, np.int64)
+        found_at: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
         with np.errstate(over="ignore"):
-            for length in range(1, width + 1):
+            for length in range(1, vocab.longest + 1):
                 fits = ahead[at] >= length
                 at, h = at[fits], h[fits]
                 if not len(at):
@@ -143,93 +152,102 @@ class Lattices:
                 at, h = at[there], h[there]
                 piece = vocab.piece_of[found[there]]
                 whole = piece >= 0
-                self.piece[node[at[whole]], width - length] = piece[whole]
-        self.points = np.zeros(count, np.uint32)
-        self.points[node] = points
-        bare = node[self.piece[node, width - 1] == 0]
-        self.piece[bare, width - 1] = vocab.none
-        byte_weight = np.zeros(count, np.float32)
-        byte_weight[bare] = vocab.byte_weight * (
-            1 + (self.points[bare] >= 0x80) + (self.points[bare] >= 0x800) + (self.points[bare] >= 0x10000))
-        weights = np.append(vocab.weight, 0.0).astype(np.float32)
+                to, pieces = at[whole], piece[whole]
+                if length == 1:  # a character without a piece has an edge of its bytes
+                    bare = np.ones(len(points), bool)
+                    bare[to] = False
+                    bare = np.flatnonzero(bare)
+                    to, pieces = np.concatenate([to, bare]), np.concatenate([pieces, ~points[bare].astype(np.int64)])
+                nodes = node[to]
+                counts[nodes] += 1
+                found_at.append((nodes, pieces, number[inner[to] + length]))
+        self.offsets = np.concatenate([[0], np.cumsum(counts)])
+        total = int(self.offsets[-1])
+        self.piece = np.zeros(total, np.int32)
+        self.after = np.zeros(total, np.int64)
+        free = self.offsets[:-1].copy()
+        for length in range(len(found_at), 0, -1):
+            nodes, pieces, after = found_at.pop()
+            place = free[nodes]
+            self.piece[place] = pieces
+            self.after[place] = after
+            free[nodes] += 1
+        weight = self.vocab.weight.astype(np.float32)[np.maximum(self.piece, 0)]
+        bare = np.flatnonzero(self.piece < 0)
+        weight[bare] = self.vocab.byte_weights(~self.piece[bare])
         # from the ends backwards: the log-sum of all ways to the end
         self.sum = np.zeros(count)
-        self.cdf = np.zeros((count, width), np.float32)
-        self.is_end = np.ones(count, bool)
-        self.is_end[node] = False
-        order = np.argsort(ahead, kind="stable")
-        steps = np.arange(width, 0, -1)
-        for group in np.split(node[order], np.cumsum(np.bincount(ahead)[1:])[:-1]) if len(points) else ():
-            if not len(group):
+        self.cdf = np.zeros(total, np.float32)
+        self.is_end = np.arange(count) < len(lens)
+        for a, b in zip(groups, groups[1:]):
+            if a == b:
                 continue
-            reach = min(width, int(np.argmax(self.is_end[group[0]:group[0] + width + 1])) or width)
-            ways = weights[self.piece[group, width - reach:]] + self.sum[group[:, None] + steps[width - reach:]]
-            ways[:, -1] += byte_weight[group]
-            most = ways.max(axis=1)
-            part = np.cumsum(np.exp((ways - most[:, None]).astype(np.float32)), axis=1)
-            self.sum[group] = most + np.log(part[:, -1].astype(np.float64))
-            self.cdf[group, width - reach:] = part / part[:, -1:]
-        self.cdf[:, width - 1] = 2  # what rounding leaves is the shortest edge's
+            own, of = counts[a:b], slice(int(self.offsets[a]), int(self.offsets[b]))
+            flat = np.append(weight[of] + self.sum[self.after[of]], -np.inf)
+            lanes = np.arange(int(own.max()))[:, None]
+            edge = np.where(lanes < own, self.offsets[a:b] - of.start + lanes, len(flat) - 1)
+            ways = flat[edge]
+            most = ways.max(axis=0)
+            part = np.cumsum(np.exp((ways - most).astype(np.float32)), axis=0)
+            self.sum[a:b] = most + np.log(part[-1].astype(np.float64))
+            flat = flat.astype(np.float32)
+            flat[edge] = part / part[-1]
+            self.cdf[of] = flat[:-1]
+        self.cdf[self.offsets[len(lens) + 1:] - 1] = 2  # what rounding leaves is the shortest edge's
 
     def edges(self, node: int) -> Iterator[tuple[int, int, float]]:
         """Edges of a node: piece, node after it, weight."""
-        for lane, p in enumerate(self.piece[node].tolist()):
-            if p:
-                yield p, node + self.width - lane, self.weight_at(node, p)
+        of = slice(int(self.offsets[node]), int(self.offsets[node + 1]))
+        for p, after in zip(self.piece[of].tolist(), self.after[of].tolist()):
+            yield p, after, self.weight_at(p)
 
-    def weight_at(self, node: int, piece: int) -> float:
-        if piece != self.vocab.none:
+    def weight_at(self, piece: int) -> float:
+        if piece >= 0:
             return self.vocab.weight_of[piece]
-        c = int(self.points[node])
+        c = ~piece
         return self.vocab.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
 
-    def sample(self, of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation for each unit of ``of``, noise from its key: pieces in order, the code points behind
-        byte edges, the end of each unit's pieces and its log-probability."""
+    def sample(self, of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segmentation for each unit of ``of``, noise from its key: pieces in order, the end of each unit's
+        pieces and its log-probability."""
         node, who = self.first[of], np.arange(len(of))
-        pieces, points, owners, steps = [], [], [], []
-        step = 0
+        pieces, owners = [], []
+        counts = np.zeros(len(of), np.int64)
         with np.errstate(over="ignore"):
             key = keys.copy()
             while len(who):
                 key += _STEP
                 noise = (mix64(key) >> u64(40)).astype(np.float32) * np.float32(2**-24)
-                lane = (self.cdf[node] <= noise[:, None]).sum(axis=1)
-                pieces.append(self.piece[node, lane].astype(np.int32))
-                points.append(self.points[node])
+                edge = self.offsets[node]
+                on = np.flatnonzero(self.cdf[edge] <= noise)
+                while len(on):  # a node's last edge is above any noise
+                    edge[on] += 1
+                    on = on[self.cdf[edge[on]] <= noise[on]]
+                pieces.append(self.piece[edge])
                 owners.append(who)
-                steps.append(step)
-                node = node + self.width - lane
-                go = ~self.is_end[node]
+                counts[who] += 1
+                node = self.after[edge]
+                go = np.flatnonzero(~self.is_end[node])
                 node, who, key = node[go], who[go], key[go]
-                step += 1
-        counts = np.zeros(len(of), np.int64)
-        for w, s in zip(owners, steps):
-            counts[w] = s + 1
         ends = np.cumsum(counts)
         begin = ends - counts
-        total = int(ends[-1]) if len(ends) else 0
-        piece, point = np.empty(total, np.int32), np.empty(total, np.uint32)
-        for p, c, w, s in zip(pieces, points, owners, steps):
-            piece[begin[w] + s] = p
-            point[begin[w] + s] = c
-        weights = self.vocab.all_weights[piece]
-        bare = piece == self.vocab.none
-        if bare.any():
-            sizes = 1 + (point[bare] >= 0x80) + (point[bare] >= 0x800) + (point[bare] >= 0x10000)
-            weights[bare] = self.vocab.byte_weight * sizes
+        piece = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for step, (p, w) in enumerate(zip(pieces, owners)):
+            piece[begin[w] + step] = p
+        weights = self.vocab.weight[np.maximum(piece, 0)]
+        bare = np.flatnonzero(piece < 0)
+        weights[bare] = self.vocab.byte_weights(~piece[bare])
         sums = np.concatenate([[0.0], np.cumsum(weights)])
         log_prob = np.minimum(sums[ends] - sums[begin] - self.sum[self.first[of]], 0.0) if len(of) else np.empty(0)
         # one way only: nothing branches off
         log_prob[log_prob > -1e-7] = 0.0
-        return piece, point, ends, log_prob
+        return piece, ends, log_prob
 
-    def other(self, unit: int, taken: list[tuple[int, ...]], noise: Iterator[float]) -> tuple[tuple[int, ...], list[int], float]:
-        """A segmentation that is none of ``taken`` (piece sequences), drawn in proportion: pieces, code points,
-        log-probability."""
+    def other(self, unit: int, taken: list[tuple[int, ...]], noise: Iterator[float]) -> tuple[tuple[int, ...], float]:
+        """A segmentation that is none of ``taken`` (piece sequences), drawn in proportion: pieces, log-probability."""
         start = int(self.first[unit])
         done = {t: math.exp(self._log_prob(start, t)) for t in taken}
-        node, log_prefix, pieces, points = start, 0.0, (), []
+        node, log_prefix, pieces = start, 0.0, ()
         while not self.is_end[node]:
             options, masses = [], []
             here = float(self.sum[node])
@@ -247,15 +265,13 @@ class Lattices:
                 left -= masses[k]
                 k += 1
             p, after, step = options[k]
-            points.append(int(self.points[node]))
             pieces, log_prefix, node = (*pieces, p), log_prefix + step, after
-        return pieces, points, min(log_prefix, 0.0)
+        return pieces, min(log_prefix, 0.0)
 
     def _log_prob(self, start: int, pieces: tuple[int, ...]) -> float:
-        node, out = start, 0.0
+        out = 0.0
         for p in pieces:
-            out += self.weight_at(node, p)
-            node += 1 if p == self.vocab.none else int(self.vocab.lengths[p])
+            out += self.weight_at(p)
         return out - float(self.sum[start])
 
 
@@ -281,8 +297,7 @@ def _log_rest(log_prob: np.ndarray) -> np.ndarray:
 
 
 class _Text:
-    """The search over one text: ``fresh[k]`` has, for each unit, pieces, code points and log-probability of the
-    k-th plain sample."""
+    """The search over one text: ``fresh[k]`` has, for each unit, pieces and log-probability of the k-th plain sample."""
 
     def __init__(self, lattices: Lattices, of: np.ndarray, fresh: list[tuple], seed: int):
         self.lattices, self.of, self.fresh = lattices, of, fresh
@@ -325,8 +340,8 @@ class _Text:
 
     def _pieces(self, path: dict, unit: int) -> tuple[int, ...]:
         if unit in path["own"]:
-            return path["own"][unit][0]
-        piece, _, ends, _ = self.fresh[path["source"][unit]]
+            return path["own"][unit]
+        piece, ends, _ = self.fresh[path["source"][unit]]
         return tuple(piece[ends[unit]:ends[unit + 1]].tolist())
 
     def run(self, k: int) -> list[tuple[dict, float, float, float]]:
@@ -334,7 +349,7 @@ class _Text:
         if not self.n:
             return [({"source": np.empty(0, int), "own": {}}, 0.0, 0.0, 1.0)]
         bound = -math.log(-math.log(next(self.noise)))
-        path = {"source": np.zeros(self.n, int), "own": {}, "log_prob": self.fresh[0][3]}
+        path = {"source": np.zeros(self.n, int), "own": {}, "log_prob": self.fresh[0][2]}
         out = [(path, float(path["log_prob"].sum()), bound)]
         self._open(path, 0, 0.0, bound, False, k)
         while self.queue and len(out) < k:
@@ -344,12 +359,12 @@ class _Text:
                 self._open(item[1], item[2], item[3], value, True, k)
                 continue
             _, parent, unit, log_prefix, taken = item
-            pieces, points, log_prob = self.lattices.other(int(self.of[unit]), taken, self.noise)
+            pieces, log_prob = self.lattices.other(int(self.of[unit]), taken, self.noise)
             number = len(out)
             path = {"source": parent["source"].copy(), "own": {u: v for u, v in parent["own"].items() if u < unit}}
             path["source"][unit:] = number
-            path["own"][unit] = (pieces, points)
-            path["log_prob"] = np.concatenate([parent["log_prob"][:unit], [log_prob], self.fresh[number][3][unit + 1:]])
+            path["own"][unit] = pieces
+            path["log_prob"] = np.concatenate([parent["log_prob"][:unit], [log_prob], self.fresh[number][2][unit + 1:]])
             out.append((path, float(path["log_prob"].sum()), value))
             self._open(path, unit + 1, log_prefix + log_prob, value, False, k)
             taken = [*taken, pieces]
@@ -361,46 +376,55 @@ class _Text:
         return [(p, lp, g, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(lp - kappa, 50.0)))) for p, lp, g in out]
 
     def ids(self, path: dict) -> np.ndarray:
-        pieces, points, unit = [], [], 0
-        if not path["own"] and self.n:
-            pieces, points, unit = [self.fresh[0][0]], [self.fresh[0][1]], self.n
-        while unit < self.n:
-            if unit in path["own"]:
-                p, c = path["own"][unit]
-                pieces.append(np.array(p, np.int32))
-                points.append(np.array(c, np.uint32))
-                unit += 1
-                continue
-            upto = unit + 1
-            stops = [u for u in path["own"] if u > unit]
-            source = path["source"]
-            change = np.flatnonzero(source[unit:] != source[unit])
-            upto = min([unit + int(change[0]) if len(change) else self.n, *stops])
-            piece, point, ends, _ = self.fresh[source[unit]]
-            pieces.append(piece[ends[unit]:ends[upto]])
-            points.append(point[ends[unit]:ends[upto]])
-            unit = upto
-        piece = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
-        bare = piece == self.lattices.vocab.none
-        if bare.any():
-            point = np.concatenate(points)[bare]
-            sizes = 1 + (point >= 0x80).astype(int) + (point >= 0x800) + (point >= 0x10000)
+        own, source = path["own"], path["source"]
+        # from each of these units on, one source, or one unit of the path's own
+        stops = {0, self.n, *own, *(u + 1 for u in own), *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist()}
+        stops = sorted(stops)
+        pieces = [np.empty(0, np.int32)]
+        for unit, upto in zip(stops, stops[1:]):
+            if unit in own:
+                pieces.append(np.array(own[unit], np.int32))
+            else:
+                piece, ends, _ = self.fresh[source[unit]]
+                pieces.append(piece[ends[unit]:ends[upto]])
+        piece = np.concatenate(pieces)
+        bare = np.flatnonzero(piece < 0)
+        if len(bare):
+            point = ~piece[bare]
             counts = np.ones(len(piece), int)
-            counts[bare] = sizes
+            counts[bare] = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
             text = point.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
             piece = np.repeat(piece, counts)
-            piece[piece == self.lattices.vocab.none] = self.lattices.vocab.byte0 + np.frombuffer(text, np.uint8)
+            piece[piece < 0] = self.lattices.vocab.byte0 + np.frombuffer(text, np.uint8)
         return piece
 
 
+def _numbered(texts: list[str]) -> tuple[tuple[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct units of texts, joined, and their lengths; the numbers of each text's units one after another, and where each text's begin."""
+    encoded = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    begin = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
+    data = b"".join(encoded)
+    byte = np.frombuffer(data, np.uint8)
+    space, line = byte == 32, byte == 10
+    starts = line.copy()
+    starts[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    starts[begin[:-1][begin[1:] > begin[:-1]]] = True
+    offsets = np.append(np.flatnonzero(starts), len(data))
+    found = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    _, ends, names = found.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64)[:len(found.dictionary) + 1]
+    names = memoryview(names or b"")[:ends[-1]]
+    # the bytes that begin a character
+    chars = np.append(0, np.cumsum((np.frombuffer(names, np.uint8) & 0xC0) != 0x80))
+    return (str(names, "utf-8", "surrogatepass"), np.diff(chars[ends])), found.indices.to_numpy().astype(np.int64), np.searchsorted(offsets[:-1], begin)
+
+
 def segmentations(texts: list[str], keys: list[int], vocab: Vocabulary, k: int) -> Iterator[list[tuple]]:
     """For each text its k samples: (ids, log-probability, perturbed, inclusion score)."""
-    number = numbering()
-    of = [np.fromiter(map(number.__getitem__, found), np.int64, len(found)) for found in map(units, texts)]
-    lattices = Lattices(vocab, list(number))
-    flat = np.concatenate([np.empty(0, np.int64), *of])
-    sizes = np.array([len(x) for x in of], np.int64)
-    stops = np.concatenate([[0], np.cumsum(sizes)])
+    joined, flat, stops = _numbered(texts)
+    lattices = Lattices(vocab, [], joined)
+    sizes = np.diff(stops)
     seeds = mix64(np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64) + u64(1)) if keys else np.empty(0, np.uint64)
     place = np.arange(len(flat), dtype=np.uint64) - np.repeat(stops[:-1], sizes).astype(np.uint64)
     drawn = []
@@ -410,10 +434,10 @@ def segmentations(texts: list[str], keys: list[int], vocab: Vocabulary, k: int)
     for row in range(len(texts)):
         a, b = int(stops[row]), int(stops[row + 1])
         fresh = []
-        for piece, point, ends, log_prob in drawn:
+        for piece, ends, log_prob in drawn:
             start = int(ends[a - 1]) if a else 0
             own = np.concatenate([[0], ends[a:b] - start])
-            fresh.append((piece[start:start + int(own[-1])], point[start:start + int(own[-1])], own, log_prob[a:b]))
+            fresh.append((piece[start:start + int(own[-1])], own, log_prob[a:b]))
         search = _Text(lattices, flat[a:b], fresh, int(seeds[row]) ^ 0x5851F42D4C957F2D)
         yield [(search.ids(path), lp, g, score) for path, lp, g, score in search.run(k)]
 
@@ -456,8 +480,11 @@ def _with_ids(doc_ids: list, texts: list[str], found: list[list[tuple]], vocab:
     tokens = np.concatenate([np.empty(0, np.int32), *(s[0] for s in flat)]).astype(np.int32)
     ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32))
     lists = lambda values: pa.ListArray.from_arrays(ends, values)
-    pieces = vocab.bytes_of.__getitem__
-    back = [all(b"".join(map(pieces, s[0].tolist()))[1:] == whole for s in samples)
+    said = vocab.all_bytes.take(pa.array(tokens))
+    data = memoryview(said.buffers()[2] or b"")
+    at = np.frombuffer(said.buffers()[1], np.int64)[token_ends].tolist()
+    spans = zip(at, at[1:])
+    back = [all([bytes(data[a + 1:b]) == whole for _, (a, b) in zip(samples, spans)])
             for whole, samples in zip((t.replace(_SPACE, " ").encode() for t in texts), found)]
     return pa.RecordBatch.from_arrays(
         [pa.array(doc_ids, pa.int64()), lists(pa.ListArray.from_arrays(pa.array(token_ends), pa.array(tokens))),

@@ -342,6 +342,23 @@ def test_sampling_without_replacement():
     assert len({tuple(s[0].tolist()) for s in few}) == len(few) and few[0][3] == 1.0 or len(few) == 5
 
 
+def test_lattices_hold_edges_alone():
+    vocab = lattice.vocabulary(public_tokenizers.path(lattice.MODEL), lattice.ALPHA)
+    names = [" the", "\n", "日本", " x\U0001f600y", " "]
+    built = lattice.Lattices(vocab, names)
+    edges = [e for node in range(len(built.is_end)) for e in built.edges(node)]
+    assert len(edges) == len(built.piece) == len(built.cdf) < 2 * len("".join(names))
+
+
+def test_units_are_numbered_as_they_are_cut():
+    texts = ["", "  a  b\n c", "\n\n ", " ", "日本 ▁x", "a b a b", "\ud800 y"]
+    (joined, lens), flat, stops = lattice._numbered(texts)
+    ends = np.cumsum(lens)
+    names = [joined[e - n:e] for e, n in zip(ends.tolist(), lens.tolist())]
+    assert len(set(names)) == len(names)
+    assert [[names[k] for k in flat[a:b]] for a, b in zip(stops, stops[1:])] == [lattice.units(t) for t in texts]
+
+
 def test_pieces_decode(spark, odd):
     found = rows(lattice.sampled(odd, digests=True))
     assert len(found) == odd.count() and all(r["round_trip"] for r in found)
