@@ -22,18 +22,20 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def with_position(df: DataFrame, *order: Column | str, pos_col: str = "pos",
-                  total_col: str | None = None, bound: int = 0) -> DataFrame:
+                  total_col: str | None = None, bound: int = 0, stored: dict[str, Column] | None = None) -> DataFrame:
     """Sort by ``order`` and add ``pos`` (1-based, consecutive);
     ``total_col`` adds the row total (taken from the per-partition counts).
+    ``stored``: columns that are computed once, as the sorted rows are stored;
+    before the sort they would be computed for its sample too.
 
     ``bound`` is for stored tables that may be small, as a query's matches
     are: at most so many rows, counted first, are numbered by one task,
     which saves storing them a second time."""
     if bound and (n := df.count()) <= bound:
         total = {total_col: F.lit(n).cast("long")} if total_col else {}
-        return df.withColumns({pos_col: F.row_number().over(Window.orderBy(*order)).cast("long"), **total})
+        return df.withColumns(stored or {}).withColumns({pos_col: F.row_number().over(Window.orderBy(*order)).cast("long"), **total})
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
-        "_pid": F.spark_partition_id(),
+        **(stored or {}), "_pid": F.spark_partition_id(),
         "_idx": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)),
     })
     held = materialize(placed, "ordered")

@@ -126,7 +126,11 @@ def _checked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, dict[str,
     """The stage's stored records that the schema check accepts, those that it refuses, and by source how many are
     accepted and refused, and how many errors and repairs validation noted.  Sources are the run's readers or, after
     validation, the four source systems."""
-    held = materialize(df.withColumn("reject_reason", val.reject_reason()), name)
+    return _counted(materialize(df.withColumn("reject_reason", val.reject_reason()), name))
+
+
+def _counted(held: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int, int, int]]]:
+    """``_checked`` of stored records that have the schema check's ``reject_reason``."""
     refused = F.col("reject_reason").isNotNull()
     noted = [F.coalesce(F.sum(F.size("_errors")), F.lit(0)), F.coalesce(F.count_if("_fixed"), F.lit(0))] \
         if "_errors" in held.columns else [F.lit(0), F.lit(0)]
@@ -185,8 +189,9 @@ def convert(parts: dict[str, DataFrame], run_ts: dt.datetime, log: _Log,
             continue
         read[source] = (n, start)
         built = built.unionByName(records, allowMissingColumns=True)
-    ordered = with_position(built, "source_rank", "seq").withColumn("seq", F.col("pos") - 1).drop("pos", "source_rank")
-    good, bad, found = _checked(ordered.withColumn("_text", collapse_ws("summary")), "converted")
+    # text and check are stored with the sorted records: numbering them reads few columns and isn't stored again
+    ordered = with_position(built, "source_rank", "seq", stored={"_text": collapse_ws("summary"), "reject_reason": val.reject_reason()})
+    good, bad, found = _counted(ordered.withColumn("seq", F.col("pos") - 1).drop("pos", "source_rank"))
     log.refuse("convert", bad)
     for source, (n, start) in read.items():
         log.count("convert", source, n, *found.get(source, (0, 0))[:2], since=start)

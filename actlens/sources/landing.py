@@ -86,11 +86,12 @@ def land_release_feed(spark: SparkSession, path: str | list[str], feed_type: str
 
 def land_json(payloads: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_seq, payload) that parse as JSON, and the quarantine of the others."""
-    parses = F.try_parse_json("payload").isNotNull()
+    payloads = materialize(payloads.withColumn("_parses", F.try_parse_json("payload").isNotNull()), "payloads")
+    parses = F.col("_parses")
     bad = payloads.where(~parses).select(
         F.lit(source).alias("source"), F.lit(None).cast("string").alias("file"), F.col("doc_seq").cast("long").alias("place"),
         F.lit("not JSON").alias("reason"), F.substring(F.coalesce("payload", F.lit("")), 1, RAW).alias("raw"))
-    return payloads.where(parses), bad
+    return payloads.where(parses).drop("_parses"), bad
 
 
 def land_bill_json(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:

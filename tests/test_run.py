@@ -56,6 +56,21 @@ def test_broken_files_and_documents(spark, landed):
     assert [r.id for r in sorted(rows, key=lambda r: r.seq)][0].startswith("parl-") and sorted(r.seq for r in rows) == list(range(6))
 
 
+def test_documents_and_records_are_stored_once(spark, landed, monkeypatch):
+    """Quarantine and items read the same stored documents; ordered records hold their check and aren't stored again."""
+    good, bad = landing.land_json(spark.createDataFrame([(1, "{}"), (2, "{"), (3, None)], "doc_seq long, payload string"), "GAZETTE")
+    assert good.inputFiles() and set(good.inputFiles()) == set(bad.inputFiles())
+    assert good.columns == ["doc_seq", "payload"] and [r.doc_seq for r in good.collect()] == [1]
+    assert table(bad, "place", "raw") == [(2, "{"), (3, "")]
+    names = []
+    store = runs.materialize
+    monkeypatch.setattr(runs, "materialize", lambda df, name: (names.append(name), store(df, name))[1])
+    log = runs._Log(spark)
+    records, counts = runs.convert(runs.collect(landed, log), TS, log)
+    assert "converted" not in names and counts == {"LEGISLATION": 3, "PARLIAMENT": 3}
+    assert sorted(r.seq for r in records.collect()) == list(range(6)) and "reject_reason" not in records.columns
+
+
 def late(df, ts):
     """A stage whose plan only fails when it runs."""
     return df.withColumn("title", F.raise_error(F.lit("boom")).cast("string"))
