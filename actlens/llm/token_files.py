@@ -25,16 +25,19 @@ null doc_id comes first.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +58,32 @@ _WORD = np.uint64(32)
 _ROOM = np.uint64(31 - SCALE_BITS + 32)
 _CACHED = 1 << 20
 _GROUP = 256
-#: A space in the byte-level alphabet.
+#: Bytes of the texts that are encoded at a time.
+_BYTES = 1 << 22
+#: The byte-level alphabet, a character for each byte; a space in it.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = np.zeros(256, "<u2")
+_ALPHABET[_SHOWN] = _SHOWN
+_ALPHABET[[b for b in range(256) if b not in _SHOWN]] = np.arange(256, 512 - len(_SHOWN))
 _SPACE = "\u0120"
+#: A plain word: Latin letters, figures, signs but apostrophes (which may take letters along), single line breaks between.
+_PLAIN = re.compile("{0}+(?:\n{0}+)*".format("[!-&(-~\u00b5\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"))
+#: Tokens of letters alone (all bytes beyond ASCII count as such), of figures or of signs.
+_ALIKE = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+")
+
 
 class Encoder:
     """The library's encoding of texts; words with the space before them are encoded once and remembered.
 
     The byte-level model splits a text at a space before it merges bytes, so the ids of a text are those of its
     words.  Not so after other white space: a text with a word that ends in it (or an empty one, between two
-    spaces) goes to the library whole, and so does a text with a special token."""
+    spaces) goes to the library whole, and so does a text with a special token.
+
+    No token holds letters and figures, signs or line breaks alike, but for those with an apostrophe.  So what the
+    library's pattern would cut a plain word into is left apart by its model, and plain words go to the model
+    right away, cut at spaces alone.
+
+    A word is known by a number; the ids of all known words are one array, with the places where words end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,66 +95,135 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for name, i in names.items() if name.startswith(_SPACE)]] = True
-        #: ids of first words, and of words after a space; None where the text must go whole
-        self.known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
-
-    def _learn(self, words: set[str], space: str, known: dict[str, bytes | None]) -> None:
-        new = list(words - known.keys())
-        if len(known) + len(new) > _CACHED:
-            known.clear()
-            new = list(words)
-        apart = [w for w in new if w and not w[-1].isspace() and (space or not w[0].isspace())]
-        known.update(dict.fromkeys(new))
+        self.model = _plain_model(self.tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: numbers of first words, and of words after a space; 0, which has no ids, where the text must go whole
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.n_words = 0
+        self.ids, self.ends = _Growing(self.dtype), _Growing(np.dtype(np.int64))
+        self._add([""], np.zeros(0, self.dtype), np.zeros(1, np.int64), {})
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, known: dict[str, int]) -> None:
+        """Remember words, whose ids are one after another."""
+        self.ends.add(len(self.ids) + np.cumsum(sizes))
+        self.ids.add(ids)
+        known.update(zip(words, range(self.n_words, self.n_words + len(words))))
+        self.n_words += len(words)
+
+    def _learn(self, words: set[str], space: str, known: dict[str, int]) -> None:
+        new = words.difference(known)
+        known.update(dict.fromkeys(new, 0))
+        plain = [w for w in new if _PLAIN.fullmatch(w)] if space and self.model else []
+        apart = [w for w in new.difference(plain) if w and not w[-1].isspace() and (space or not w[0].isspace())]
         if not space:
             for word, found in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
-                known[word] = self._packed(found.ids)
+                self._add([word], np.array(found.ids, self.dtype), np.array([len(found.ids)]), known)
             return
         # many words in one call: a token that begins with a space begins a word
-        groups = [apart[k:k + _GROUP] for k in range(0, len(apart), _GROUP)]
-        size = self.dtype.itemsize
-        joined = [" " + " ".join(g) for g in groups]
-        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, self.dtype)
-            starts = np.flatnonzero(self.begins[ids]) * size
-            if len(starts) != len(group) or any(s in text for s in self.special):
-                for word in group:
-                    known[word] = self._whole(" " + word)
-                continue
-            packed, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * size]
-            known.update(zip(group, [packed[a:b] for a, b in zip(starts.tolist(), ends)]))
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        for words_, model, form in ((plain, self.model, _byte_level), (apart, self.tokenizer, None)):
+            groups = [words_[k:k + _GROUP] for k in range(0, len(words_), _GROUP)]
+            joined = [" " + " ".join(g) for g in groups]
+            texts = [form(t) for t in joined] if form else joined
+            for group, text, found in zip(groups, joined, model.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+                ids = np.array(found.ids, self.dtype)
+                starts = np.flatnonzero(self.begins[ids])
+                if len(starts) != len(group) or any(s in text for s in self.special):
+                    each = [self._whole(" " + word) for word in group]
+                    self._add(group, np.concatenate(each), np.array([len(e) for e in each]), known)
+                else:
+                    self._add(group, ids, np.diff(starts, append=len(ids)), known)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed.  Each word is looked up once; words are gathered from texts with unknown ones alone."""
-        split = [text.split(" ") for text in texts]
-        heads = [words.pop(0) for words in split]
-        self._learn(set(heads), "", self.known[0])
-        first, later = (d.__getitem__ for d in self.known)
-        out: list[bytes | None] = []
-        missed = []
-        for row, (text, head, words) in enumerate(zip(texts, heads, split)):
-            try:
-                if any(s in text for s in self.special):
-                    raise TypeError
-                out.append(first(head) + b"".join(map(later, words)))
-            except KeyError:  # a word that isn't known yet
-                out.append(None)
-                missed.append(row)
-            except TypeError:  # a word without ids of its own
-                out.append(self._whole(text))
-        if missed:
-            self._learn(set().union(*[split[row] for row in missed]), " ", self.known[1])
-        for row in missed:
-            try:
-                out[row] = first(heads[row]) + b"".join(map(later, split[row]))
-            except TypeError:
-                out[row] = self._whole(texts[row])
-        return out
+        """The ids of each text, packed.  Words are gathered from texts with unknown ones alone."""
+        if not texts:
+            return []
+        if self.n_words > _CACHED:
+            self._forget()
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        codes = coded.indices.to_numpy().copy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        heads = split.values.take(pa.array(edges[:-1])).to_pylist()
+        first, known = self.known
+        self._learn(set(heads), "", first)
+
+        # each distinct word is looked up once; first words come after the others
+        codes[edges[:-1]] = np.arange(len(words), len(words) + len(heads))
+        number = np.fromiter(chain(map(known.get, words.tolist(), repeat(-1)), map(first.get, heads)), np.int64)
+        rows = np.repeat(np.arange(len(texts)), np.diff(edges))
+        missed = np.zeros(len(texts), bool)
+        missed[rows[number[codes] < 0]] = True
+        if missed.any():
+            again = np.zeros(len(number), bool)
+            again[codes[missed[rows]]] = True
+            again = again[:len(words)]
+            self._learn(set(words[again].tolist()), " ", known)
+            again &= number[:len(words)] < 0
+            number[:len(words)][again] = [known[w] for w in words[again].tolist()]
+
+        numbers = number[codes]
+        whole = np.zeros(len(texts), bool)
+        whole[rows[numbers == 0]] = True  # a word without ids of its own
+        whole |= [any(s in text for s in self.special) for text in texts]
+        ends = self.ends.values()
+        ends, n = ends[numbers], np.diff(ends, prepend=0)[numbers]
+        total = np.cumsum(n)
+        ids = self.ids.values()[np.repeat(ends - total, n) + np.arange(total[-1])].tobytes()
+        cuts = (np.concatenate([[0], total])[edges] * self.dtype.itemsize).tolist()
+        return [self._whole(text).tobytes() if apart else ids[a:b]
+                for text, apart, a, b in zip(texts, whole.tolist(), cuts, cuts[1:])]
+
+
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: np.dtype):
+        self.room = np.zeros(1 << 10, dtype)
+        self.n = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+    def values(self) -> np.ndarray:
+        return self.room[:self.n]
+
+
+def _byte_level(text: str) -> str:
+    """A text in the byte-level alphabet, with a space before each that it holds."""
+    return _ALPHABET[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le").replace(_SPACE, " " + _SPACE)
+
+
+def _plain_model(tokenizer):
+    """The tokenizer's model behind a split at spaces, for plain words in the byte-level alphabet; None if the
+    tokenizer's pattern isn't the usual one or a token would join what the pattern cuts a plain word into."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    config = json.loads(tokenizer.to_str())
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if config["normalizer"] or {k: (config["pre_tokenizer"] or {}).get(k) for k in usual} != usual:
+        return None
+    byte_of = {chr(c): b for b, c in enumerate(_ALPHABET.tolist())}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    for name in tokenizer.get_vocab().keys() - special:
+        token = bytes([byte_of[c] for c in name]).removeprefix(b" ")
+        text = re.sub("[\udc80-\udcff]", "\u00e9", token.decode(errors="surrogateescape"))  # part of a character: maybe a letter's
+        if _PLAIN.fullmatch(text.replace("\n", "")) and not _ALIKE.fullmatch(token):
+            return None
+    model = Tokenizer.from_str(json.dumps(config | {"added_tokens": [], "pre_tokenizer": None, "post_processor": None}))
+    model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return model
 
 
 @lru_cache(1)
@@ -143,6 +232,16 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts, the second column, have up to ``_BYTES`` bytes; a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _tokenised(path: str, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
@@ -164,8 +263,7 @@ def _tokenised(path: str, end_id: int, shard_ids: int) -> Callable:
                 names=["task", "shard", "doc_ids", "counts", "n_ids", "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, found in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     ids.append(doc_id)
