@@ -12,7 +12,8 @@ it.  Only texts of billions of words would share hashes that their terms don't.
 
 A place costs one hash and one minimum of a long for each sample, the whole
 fingerprint is one hash aggregate, and there are as many places as words.
-A sample keeps the lower 32 bits of the least rank.  Texts are dealt once, by doc_id; what a
+A sample keeps the lower 32 bits of the least rank; fingerprints and hashes are stored and shuffled as
+bytes, one row per document.  Texts are dealt once, by doc_id; what a
 neighbour needs of a text (its first characters) is dealt to that neighbour.
 
 Defined results: a null text is an empty one; a text's last word, with
@@ -53,10 +54,16 @@ def as_text(sample: str) -> Column:
     return F.lower(F.array_join(F.transform(sample, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
+def packed(sample: str) -> Column:
+    """A fingerprint as bytes, four for each sample."""
+    return F.unhex(as_text(sample))
+
+
 def likeness(a: str, b: str) -> Column:
-    """The share of equal samples of two fingerprints."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    return same / F.size(a)
+    """The share of equal samples of two packed fingerprints."""
+    n = F.length(a) / F.lit(4)
+    one = lambda c, k: F.substring(F.col(c), k * 4 + 1, F.lit(4))
+    return F.size(F.filter(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: one(a, k) == one(b, k))) / n
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -90,24 +97,31 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     return both.select("id", "copy", "size", "next_id", "next_copy", "text", F.concat(kept, "head").alias("edited"))
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def _compared(docs: DataFrame) -> DataFrame:
+    """One stored row per document: id, copy, size, next_id, next_copy, sha (bytes), sample, edited_sample (packed)."""
     texts = edited_texts(docs)
     which = F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text")),
                               F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("x")
     samples = fingerprints(texts.select("id", "copy", which).select("id", "copy", "x.edit", "x.text"), ["id", "copy", "edit"])
-    facts = texts.select("id", "copy", "size", "next_id", "next_copy", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
-    held = stored(samples.join(facts.withColumnsRenamed({"id": "f_id", "copy": "f_copy"}),
-                               (F.col("id") == F.col("f_id")) & (F.col("copy") - F.col("f_copy") == 0)).drop("f_id", "f_copy"),
+    # both samples of a document lie where its text was dealt
+    pairs = samples.select("id", "copy", "edit", packed("sample").alias("sample")).groupBy("id", "copy").agg(
+        *[F.max(F.when(F.col("edit") == k, F.col("sample"))).alias(c) for k, c in enumerate(["sample", "edited_sample"])])
+    facts = texts.select(F.col("id").alias("f_id"), F.col("copy").alias("f_copy"), "size", "next_id", "next_copy",
+                         F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"))
+    return stored(pairs.join(facts, (F.col("id") == F.col("f_id")) & (F.col("copy") - F.col("f_copy") == 0)).drop("f_id", "f_copy"),
                   "fingerprints")
-    own = held.where("edit = 0")
-    edited = held.where("edit = 1").select("id", "copy", F.col("sample").alias("edited_sample"))
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    own = _compared(docs)
     after = own.select(F.col("id").alias("next_id"), F.col("copy").alias("next_copy"), F.col("sample").alias("next_sample"))
-    rows = own.join(edited, ["id", "copy"]).join(after, ["next_id", "next_copy"])
-    return rows.select(
-        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), F.col("size").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"),
-        as_text("sample").alias("fingerprint"), as_text("edited_sample").alias("edited_fingerprint"),
-        likeness("sample", "edited_sample").alias("near_edited"), likeness("sample", "next_sample").alias("near_next"))
+    hexed = lambda c: F.lower(F.hex(c))
+    return own.join(after, ["next_id", "next_copy"]).select(
+        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), F.col("size").cast("long").alias("n_chars"), hexed("sha").alias("edited_sha256"),
+        hexed("sample").alias("fingerprint"), hexed("edited_sample").alias("edited_fingerprint"),
+        likeness("sample", "edited_sample").alias("near_edited"),
+        likeness("sample", "next_sample").alias("near_next"))
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,16 @@ def test_fingerprints(spark, odd):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_fingerprints_are_stored_as_bytes_once_a_document(spark, odd, monkeypatch):
+    kept = {}
+    keep = fingerprint.stored
+    monkeypatch.setattr(fingerprint, "stored", lambda df, name: kept.setdefault(name, keep(df, name)))
+    fingerprint.compared(odd)
+    held = rows(kept["fingerprints"])
+    assert len(held) == odd.count()
+    assert {(len(r["sample"]), len(r["edited_sample"]), len(r["sha"])) for r in held} == {(4 * fingerprint.SAMPLES,) * 2 + (32,)}
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     a, b = words(1, 400, 60), words(1, 260, 60) + " " + words(2, 140, 60)
     weigh = lambda t: collections.Counter(zip(t.split(), t.split()[1:] + [None]))
